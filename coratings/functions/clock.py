@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed value: recordings are named YYYY-MM-DD_HH-MM-SS, padded or not.
-RECORDING_NAME = r"^\d{4}-\d{1,2}-\d{1,2}_\d{1,2}-\d{1,2}-\d{1,2}$"
-# Name of a kept frame.
-FRAME_TIME = "yyyy-MM-dd_HH-mm-ss"
+# Fixed value: recordings are named YYYY-MM-DD_HH-MM-SS, padded or not, and
+# there is no year 0.
+RECORDING_NAME = r"^(?!0000)(\d{4}-\d{1,2}-\d{1,2})_(\d{1,2})-(\d{1,2})-(\d{1,2})$"
+# Fixed value: kept frames are images of this type.
 FRAME_SUFFIX = ".jpg"
 
 
@@ -19,17 +19,11 @@ def base_name(path: Column) -> Column:
 def start_time(path: Column) -> Column:
     """Start of a recording as wall-clock time, null where the name is no time.
 
-    Built from the parts, so the session time zone has no say in it.
+    Read as a time without zone, so the session time zone has no say in it.
     """
     name = base_name(path)
-    parts = F.split(name, "[-_]")
-    year, month, day, hour, minute, second = (
-        F.get(parts, i).try_cast("int") for i in range(6)
-    )
-    start = F.try_make_timestamp_ntz(
-        year, month, day, hour, minute, second.cast("decimal(16,6)")
-    )
-    return F.when(name.rlike(RECORDING_NAME) & (year > 0) & (second < 60), start)
+    spelled = F.regexp_replace(name, RECORDING_NAME, "$1 $2:$3:$4")
+    return F.when(name.rlike(RECORDING_NAME), spelled.try_cast("timestamp_ntz"))
 
 
 def step_frames(fps: Column, interval_sec: float) -> Column:
@@ -37,12 +31,23 @@ def step_frames(fps: Column, interval_sec: float) -> Column:
     return (fps * F.lit(float(interval_sec))).try_cast("bigint")
 
 
-def frame_time(start: Column, frame_idx: Column, fps: Column) -> Column:
-    """Time of one frame, to the microsecond."""
-    seconds = F.round(frame_idx / fps, 6).cast("decimal(18,6)")
-    return start + F.make_dt_interval(secs=seconds)
+def offset_micros(frame_idx: Column, fps: Column) -> Column:
+    """Microseconds from the start to a frame, halves to the even one."""
+    return F.rint(frame_idx / fps * 1e6).cast("bigint")
+
+
+def later(start: Column, micros: Column) -> Column:
+    """``start`` moved on by microseconds."""
+    return start + micros * F.expr("INTERVAL '0.000001' SECOND")
+
+
+def stamp(time: Column) -> Column:
+    """``YYYY-MM-DD_HH-MM-SS`` of a time without zone."""
+    spelled = F.substring(time.cast("string"), 1, 19)
+    dashed = F.replace(spelled, F.lit(":"), F.lit("-"))
+    return F.replace(dashed, F.lit(" "), F.lit("_"))
 
 
 def frame_name(time: Column) -> Column:
     """Name of a kept frame, to the second."""
-    return F.concat(F.date_format(time, FRAME_TIME), F.lit(FRAME_SUFFIX))
+    return F.concat(stamp(time), F.lit(FRAME_SUFFIX))

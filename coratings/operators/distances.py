@@ -10,7 +10,7 @@ from coratings.plans.staging import join_small, sized, stored
 
 def target_ratings(ratings: DataFrame, targets: DataFrame) -> DataFrame:
     """Ratings of the targets: ``(target_id, movie_id, target_rating)``."""
-    wanted = sized(targets.select("user_id").distinct())
+    wanted = sized(targets.select("user_id"))
     return ratings.join(wanted, "user_id", "left_semi").select(
         F.col("user_id").alias("target_id"),
         "movie_id",

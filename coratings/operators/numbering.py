@@ -24,14 +24,17 @@ def number_rows(
     Groups up to ``hot_rows`` use a window. The rows of larger ones are range
     partitioned by key and order, so that one group spreads over many tasks;
     each slice is numbered on its own and shifted by the sizes of the slices
-    before it. ``df`` is computed twice: pass a stored table or a plain scan.
+    before it. ``df`` is also counted: pass a stored table or a plain scan.
     """
     keys, order = list(keys), list(order)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    hot = stored(df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
     window = Window.partitionBy(*keys).orderBy(*order)
+    windowed = df.withColumn(name, F.row_number().over(window).cast("bigint"))
+    if df.count() <= hot_rows:
+        return windowed
+    hot = stored(df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
     if hot.isEmpty():
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
+        return windowed
 
     hot = sized(hot.select(*[F.col(k).alias(f"hot_{k}") for k in keys]))
     is_hot = _same(keys, "hot_")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coratings.plans.staging import narrowed, sized, stored
+from coratings.plans.staging import fits_broadcast, sized, stored
 
 
 def latest_ratings(
@@ -60,7 +60,7 @@ def ratings_per_user(ratings: DataFrame) -> DataFrame:
 
 def user_ratings(ratings: DataFrame, wanted: DataFrame) -> DataFrame:
     """All movies and ratings of the wanted users; none for an unknown one."""
-    wanted = sized(wanted.select("user_id").distinct())
+    wanted = sized(wanted.select("user_id"))
     return ratings.join(wanted, "user_id", "left_semi").orderBy("user_id", "movie_id")
 
 
@@ -73,10 +73,13 @@ def lookup_ratings(ratings: DataFrame, requests: DataFrame) -> DataFrame:
     aggregated away before anything is shuffled.
     """
     wanted = stored(requests.select("user_id", "movie_id").distinct())
-    theirs = narrowed(ratings, wanted, "user_id")
-    asked = sized(wanted.withColumn("asked", F.lit(True)))
+    asked = wanted.withColumn("asked", F.lit(True))
+    known_to = wanted.select("user_id")
+    if fits_broadcast(wanted):
+        asked, known_to = F.broadcast(asked), F.broadcast(known_to)
     seen = stored(
-        theirs.join(asked, ["user_id", "movie_id"], "left")
+        ratings.join(known_to, "user_id", "left_semi")
+        .join(asked, ["user_id", "movie_id"], "left")
         .groupBy("user_id", F.when(F.col("asked"), F.col("movie_id")).alias("movie_id"))
         .agg(F.max("rating").alias("rating"))
     )

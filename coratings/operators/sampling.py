@@ -6,11 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coratings.functions.clock import frame_name, frame_time, start_time, step_frames
+from coratings.functions.clock import (
+    frame_name,
+    later,
+    offset_micros,
+    start_time,
+    step_frames,
+)
 from coratings.operators.numbering import number_rows
 
-# Kept frames one catalog row may turn into at once. Longer recordings are cut
-# into chunks of this many, which are then spread over the tasks.
+# Most kept frames one row turns into at once.
 CHUNK_FRAMES = 100_000
 
 
@@ -25,33 +30,42 @@ def _timed(videos: DataFrame, interval_sec: float) -> DataFrame:
     )
 
 
+def _whole_second() -> Column:
+    return later(F.col("start_time"), F.col("second") * 1_000_000)
+
+
 def sampling_plan(
     videos: DataFrame, interval_sec: float = 10, chunk_frames: int | None = None
 ) -> DataFrame:
-    """One row per frame to keep: ordinal 0, step, 2 * step, ..., its time and
-    its name. ``videos`` has ``path``, ``fps`` and ``total_frames``; further
-    columns are carried along. Recordings in ``rejected_videos`` are left out.
+    """One row per frame to keep: ordinal 0, step, 2 * step, ..., its time, the
+    whole second since the start and the name made of it. ``videos`` has
+    ``path``, ``fps`` and ``total_frames``; further columns are carried along.
+    Recordings in ``rejected_videos`` are left out.
 
-    No shuffle but for recordings of more than ``chunk_frames`` kept frames.
+    The catalog is small beside the frames, so it is spread evenly over the
+    tasks, long recordings in chunks, before a row turns into many.
     """
-    chunk = CHUNK_FRAMES if chunk_frames is None else chunk_frames
-    kept = F.expr("(total_frames + step - 1) div greatest(step, 1)")
-    usable = (
+    chunk = F.lit(CHUNK_FRAMES if chunk_frames is None else chunk_frames).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    tasks = int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A null sequence explodes to no row. A filter would have the start time
+    # worked out twice, once for itself.
+    usable = F.expr("start_time IS NOT NULL AND step >= 1 AND total_frames > 0")
+    firsts = F.when(usable, F.sequence(zero, F.col("kept") - 1, chunk))
+    chunks = (
         _timed(videos, interval_sec)
-        .where("start_time IS NOT NULL AND step >= 1 AND total_frames > 0")
-        .withColumn("kept", kept)
+        .withColumn("kept", F.expr("(total_frames + step - 1) div greatest(step, 1)"))
+        .withColumn("first", F.explode(firsts))
+        .repartition(tasks)
     )
-    short = usable.where(F.col("kept") <= chunk).withColumn("first", F.lit(0).cast("bigint"))
-    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("kept") - 1, F.lit(chunk).cast("bigint")))
-    long = usable.where(F.col("kept") > chunk).withColumn("first", chunks).repartition("path", "first")
-
     last = F.least(F.col("first") + chunk, F.col("kept")) - 1
-    frames = short.unionByName(long).withColumn("n", F.explode(F.sequence("first", last)))
-    time = frame_time(F.col("start_time"), F.col("frame_idx"), F.col("fps"))
+    micros = offset_micros(F.col("frame_idx"), F.col("fps"))
     return (
-        frames.withColumn("frame_idx", F.col("n") * F.col("step"))
-        .withColumn("frame_time", time)
-        .withColumn("frame_name", frame_name(F.col("frame_time")))
+        chunks.withColumn("n", F.explode(F.sequence("first", last)))
+        .withColumn("frame_idx", F.col("n") * F.col("step"))
+        .withColumn("frame_time", later(F.col("start_time"), micros))
+        .withColumn("second", F.floor(micros / 1_000_000))
+        .withColumn("frame_name", frame_name(_whole_second()))
         .drop("kept", "first", "n")
     )
 
@@ -72,9 +86,15 @@ def rejected_videos(videos: DataFrame, interval_sec: float = 10) -> DataFrame:
 
 def resolve_name_collisions(plan: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
     """Files that remain: of the frames of one recording that share a name the
-    last one wins; ``n_frames`` tells how many were written to it."""
-    return plan.groupBy(*by, "frame_name").agg(
-        F.max("frame_idx").alias("frame_idx"), F.count("*").alias("n_frames")
+    last one wins; ``n_frames`` tells how many were written to it.
+
+    Recordings start on a whole second, so frames share a name if they share
+    the second since the start; names are made only for what remains.
+    """
+    return (
+        plan.groupBy(*by, "start_time", "second")
+        .agg(F.max("frame_idx").alias("frame_idx"), F.count("*").alias("n_frames"))
+        .select(*by, frame_name(_whole_second()).alias("frame_name"), "frame_idx", "n_frames")
     )
 
 

@@ -51,23 +51,16 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
-def narrowed(ratings: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows of ``ratings`` whose key is in ``keys``, if ``keys`` fits a broadcast.
+def join_small(ratings: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """Inner join with a side that usually fits a broadcast: then ``ratings``
+    are narrowed to its keys first and joined where they lie.
 
-    A semi join on grouping keys moves below the aggregate that keeps the
+    A semi join on a grouping key moves below the aggregate that keeps the
     latest rating, so the shuffle there carries only the rows that matter.
-    Beyond the bound the pruning would cost a shuffle itself and is left to
-    the join that follows.
+    Beyond the bound that pruning would cost a shuffle itself; both sides are
+    shuffled once, and AQE splits the partition of a hot key.
     """
-    if not fits_broadcast(keys):
-        return ratings
-    return ratings.join(F.broadcast(keys.select(on).distinct()), on, "left_semi")
-
-
-def join_small(ratings: DataFrame, side: DataFrame, on: str) -> DataFrame:
-    """Inner join with a side that usually fits a broadcast: then ``ratings``
-    are narrowed to its keys first and joined where they lie."""
     if not fits_broadcast(side):
         return ratings.join(side, on)
-    keys = F.broadcast(side.select(on).distinct())
+    keys = F.broadcast(side.select(on))
     return ratings.join(keys, on, "left_semi").join(F.broadcast(side), on)

@@ -7,26 +7,23 @@ import duckdb
 from conftest import TABLES
 
 
-def oracle_rows(sql: str, sf_dir: str) -> tuple[list[str], list[tuple]]:
+def assert_same(df, sql: str, sf_dir: str) -> int:
+    """Same columns and the same rows, bit for bit, in any order."""
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    cursor = con.execute(sql)
-    names = [c[0] for c in cursor.description]
-    return names, cursor.fetchall()
-
+    con.execute(f"CREATE TABLE want AS {sql}")
+    con.register("got", df.toArrow())
+    names = [row[0] for row in con.execute("DESCRIBE want").fetchall()]
+    assert sorted(df.columns) == sorted(names)
 
-def _sorted(names, rows):
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    ordered = [tuple(row[i] for i in order) for row in rows]
-    return sorted(ordered, key=lambda r: tuple((x is None, x) for x in r if x is None or x == x))
+    columns = ", ".join(names)
+    got, want = (f"SELECT {columns} FROM {side}" for side in ("got", "want"))
+    for left, right in ((got, want), (want, got)):
+        assert con.execute(f"{left} EXCEPT ALL {right} LIMIT 5").fetchall() == []
+    return con.execute("SELECT count(*) FROM want").fetchall()[0][0]
 
 
-def assert_same(df, sql: str, sf_dir: str) -> int:
-    names, want = oracle_rows(sql, sf_dir)
-    assert sorted(df.columns) == sorted(names)
-    got = _sorted(df.columns, [tuple(r) for r in df.collect()])
-    want = _sorted(names, want)
-    assert len(got) == len(want)
-    assert got == want
-    return len(got)
+def plan_of(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    return df._jdf.queryExecution().explainString(mode)

@@ -1,7 +1,7 @@
 """Every registered query against its SQL, bit for bit."""
 
 import pytest
-from oracle import assert_same
+from oracle import assert_same, plan_of
 
 import __spark_entry__ as entry_point
 
@@ -19,7 +19,12 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_small(spark, sf_small, name):
-    assert_same(QUERIES[name](spark, sf_small), ORACLES[name], sf_small)
+    df = QUERIES[name](spark, sf_small)
+    assert_same(df, ORACLES[name], sf_small)
+    # All of it stays in the JVM, and nothing is a cross join.
+    plan = plan_of(df)
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ObjectHashAggregate"):
+        assert bad not in plan
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

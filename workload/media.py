@@ -51,9 +51,9 @@ QUERIES = {
     "sampling_rejects": lambda s, d: co.rejected_videos(_named_recordings(s, d), 0.04).select(
         *_BY, "reason"
     ),
-    "frames_per_video": lambda s, d: co.frames_per_video(co.sampling_plan(v.videos(s, d), 1), _BY),
+    "frames_per_video": lambda s, d: co.frames_per_video(co.sampling_plan(v.videos(s, d), 1), ["video_id"]),
     "frame_collisions": lambda s, d: co.resolve_name_collisions(
-        co.sampling_plan(v.videos(s, d), 1), _BY
+        co.sampling_plan(v.videos(s, d), 1), ["video_id"]
     ),
     "sample_every_nth": _sample(29),
     "sample_every_nth_split": _sample(7, hot_rows=70),
@@ -92,10 +92,10 @@ ORACLES = {
          CASE WHEN start_time IS NULL THEN 'name is not a time'
               ELSE 'interval is below one frame' END AS reason
   FROM ({_NAMED}) WHERE start_time IS NULL OR trunc(fps * 0.04::DOUBLE) < 1""",
-    "frames_per_video": f"""{_PLAN_1} SELECT video_id, path, count(*) AS n_saved,
-         count(DISTINCT frame_name) AS n_files FROM plan GROUP BY 1, 2""",
-    "frame_collisions": f"""{_PLAN_1} SELECT video_id, path, frame_name, max(frame_idx) AS frame_idx,
-         count(*) AS n_frames FROM plan GROUP BY 1, 2, 3""",
+    "frames_per_video": f"""{_PLAN_1} SELECT video_id, count(*) AS n_saved,
+         count(DISTINCT frame_name) AS n_files FROM plan GROUP BY 1""",
+    "frame_collisions": f"""{_PLAN_1} SELECT video_id, frame_name, max(frame_idx) AS frame_idx,
+         count(*) AS n_frames FROM plan GROUP BY 1, 2""",
     "sample_every_nth": _EVERY.format(29),
     "sample_every_nth_split": _EVERY.format(7),
 }

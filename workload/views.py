@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coratings import latest_ratings
+from coratings.functions.clock import stamp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +51,6 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as recordings, named after the order date."""
     key = F.col("o_orderkey")
-    stamp = F.date_format("o_orderdate", "yyyy-MM-dd_HH-mm-ss")
     fps = (
         F.when(key % 4 == 0, F.lit(24.0))
         .when(key % 4 == 1, F.lit(25.0))
@@ -59,7 +59,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "orders").select(
         key.alias("video_id"),
-        F.concat(F.lit("/v/"), stamp, F.lit(".mkv")).alias("path"),
+        F.concat(F.lit("/v/"), stamp(F.col("o_orderdate")), F.lit(".mkv")).alias("path"),
         fps.alias("fps"),
         (1000 + key % 500).alias("total_frames"),
     )

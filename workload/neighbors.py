@@ -40,16 +40,16 @@ def _overlap(ratings: str, targets: Iterable[int]) -> str:
   WHERE a.user_id IN ({ids}) GROUP BY 1, 2)"""
 
 
-def _distances_sql(ratings: str, targets: Iterable[int], metric: str, min_common: int) -> str:
+def distances_sql(ratings: str, targets: Iterable[int], metric: str, min_common: int) -> str:
     return f"""{_overlap(ratings, targets)},
   dist AS (
   SELECT target_id, user_id, {MEASURES[metric]} AS value, n_common > 0 AS intersects, n_common
   FROM overlap WHERE n_common >= {min_common})"""
 
 
-def _knn_sql(ratings: str, targets: Iterable[int], metric: str, k: int, min_common: int) -> str:
+def knn_sql(ratings: str, targets: Iterable[int], metric: str, k: int, min_common: int) -> str:
     direction = "DESC" if metric in ("cosine", "pearson") else "ASC"
-    return f"""{_distances_sql(ratings, targets, metric, min_common)},
+    return f"""{distances_sql(ratings, targets, metric, min_common)},
   nn AS (
   SELECT target_id, user_id AS neighbor_id,
          row_number() OVER (PARTITION BY target_id ORDER BY value {direction}, user_id) AS neighbor_rank,
@@ -65,7 +65,7 @@ _RECS = """,
            FROM nr WHERE rating >= {min_rating} {unseen})"""
 
 
-def _recs_sql(nearest: str, exclude_seen: bool = False) -> str:
+def recs_sql(nearest: str, exclude_seen: bool = False) -> str:
     unseen = (
         """AND NOT EXISTS (SELECT 1 FROM r s WHERE s.user_id = nr.target_id
                            AND s.movie_id = nr.movie_id)"""
@@ -91,7 +91,7 @@ def _nearest(s: SparkSession, d: str) -> DataFrame:
     return co.stored(co.knn(v.dense(s, d), _users(s, BATCH), "euclidean", 5, 1))
 
 
-_NEAREST = _knn_sql(v.DENSE, BATCH, "euclidean", 5, 1)
+_NEAREST = knn_sql(v.DENSE, BATCH, "euclidean", 5, 1)
 _DEBTORS = "SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000"
 
 
@@ -169,7 +169,7 @@ def _report(s: SparkSession, d: str):
 
 _DIST = "SELECT target_id, user_id, value, intersects, n_common FROM dist"
 _NN = "SELECT target_id, neighbor_id, neighbor_rank, value, intersects, n_common FROM nn"
-_RECS_SPARSE = _recs_sql(_knn_sql(v.SPARSE, BATCH, "cosine", 20, 1))
+_RECS_SPARSE = recs_sql(knn_sql(v.SPARSE, BATCH, "cosine", 20, 1))
 _COUNTS = """SELECT nn.target_id, nn.neighbor_id, nn.neighbor_rank, count({0}.movie_id) AS n_rows
   FROM nn LEFT JOIN {0} USING (target_id, neighbor_id) GROUP BY 1, 2, 3"""
 _PAIR_REPORT = """WITH r AS ({ratings}), pairs AS ({pairs}),
@@ -218,31 +218,31 @@ ORACLES = {
   JOIN r b ON b.user_id = user_b AND b.movie_id = a.movie_id""",
     "pair_report": _pair_report_sql(v.DENSE),
     "pair_report_sparse": _pair_report_sql(v.SPARSE),
-    "dist_euclidean": f"{_distances_sql(v.DENSE, [DENSE_TARGET], 'euclidean', 135)} {_DIST}",
-    "dist_manhattan": f"{_distances_sql(v.DENSE, [DENSE_TARGET], 'manhattan', 1)} {_DIST}",
-    "dist_cosine": f"{_distances_sql(v.DENSE, [DENSE_TARGET], 'cosine', 1)} {_DIST}",
-    "dist_pearson": f"{_distances_sql(v.DENSE, [DENSE_TARGET], 'pearson', 1)} {_DIST}",
-    "dist_euclidean_sparse": f"{_distances_sql(v.SPARSE, [SPARSE_TARGET], 'euclidean', 1)} {_DIST}",
-    "dist_manhattan_sparse": f"{_distances_sql(v.SPARSE, [SPARSE_TARGET], 'manhattan', 1)} {_DIST}",
-    "dist_cosine_sparse": f"{_distances_sql(v.SPARSE, [SPARSE_TARGET], 'cosine', 1)} {_DIST}",
-    "dist_pearson_sparse": f"{_distances_sql(v.SPARSE, [SPARSE_TARGET], 'pearson', 1)} {_DIST}",
-    "distance_lines": f"""{_distances_sql(v.DENSE, [DENSE_TARGET], 'cosine', 1)}
+    "dist_euclidean": f"{distances_sql(v.DENSE, [DENSE_TARGET], 'euclidean', 135)} {_DIST}",
+    "dist_manhattan": f"{distances_sql(v.DENSE, [DENSE_TARGET], 'manhattan', 1)} {_DIST}",
+    "dist_cosine": f"{distances_sql(v.DENSE, [DENSE_TARGET], 'cosine', 1)} {_DIST}",
+    "dist_pearson": f"{distances_sql(v.DENSE, [DENSE_TARGET], 'pearson', 1)} {_DIST}",
+    "dist_euclidean_sparse": f"{distances_sql(v.SPARSE, [SPARSE_TARGET], 'euclidean', 1)} {_DIST}",
+    "dist_manhattan_sparse": f"{distances_sql(v.SPARSE, [SPARSE_TARGET], 'manhattan', 1)} {_DIST}",
+    "dist_cosine_sparse": f"{distances_sql(v.SPARSE, [SPARSE_TARGET], 'cosine', 1)} {_DIST}",
+    "dist_pearson_sparse": f"{distances_sql(v.SPARSE, [SPARSE_TARGET], 'pearson', 1)} {_DIST}",
+    "distance_lines": f"""{distances_sql(v.DENSE, [DENSE_TARGET], 'cosine', 1)}
   SELECT user_id || ' ' || printf('%.10f', value) || ' ' || intersects::INTEGER AS line FROM dist""",
     "candidates_total": f"""{_overlap(v.DENSE, BATCH)}
   SELECT target_id, count(*) AS n_candidates FROM overlap WHERE n_common >= 15 GROUP BY 1""",
-    "knn_euclidean": f"{_knn_sql(v.DENSE, [DENSE_TARGET], 'euclidean', K, 15)} {_NN}",
-    "knn_manhattan": f"{_knn_sql(v.DENSE, [DENSE_TARGET], 'manhattan', K, 15)} {_NN}",
-    "knn_cosine": f"{_knn_sql(v.DENSE, [DENSE_TARGET], 'cosine', K, 15)} {_NN}",
-    "knn_pearson": f"{_knn_sql(v.DENSE, [DENSE_TARGET], 'pearson', K, 15)} {_NN}",
-    "knn_sparse": f"{_knn_sql(v.SPARSE, [SPARSE_TARGET], 'euclidean', K, 1)} {_NN}",
+    "knn_euclidean": f"{knn_sql(v.DENSE, [DENSE_TARGET], 'euclidean', K, 15)} {_NN}",
+    "knn_manhattan": f"{knn_sql(v.DENSE, [DENSE_TARGET], 'manhattan', K, 15)} {_NN}",
+    "knn_cosine": f"{knn_sql(v.DENSE, [DENSE_TARGET], 'cosine', K, 15)} {_NN}",
+    "knn_pearson": f"{knn_sql(v.DENSE, [DENSE_TARGET], 'pearson', K, 15)} {_NN}",
+    "knn_sparse": f"{knn_sql(v.SPARSE, [SPARSE_TARGET], 'euclidean', K, 1)} {_NN}",
     "knn_batch": f"{_NEAREST} {_NN}",
-    "knn_everybody": f"{_knn_sql(v.SPARSE, BATCH, 'manhattan', 1_000_000_000, 1)} {_NN}",
-    "neighbor_ratings": f"{_recs_sql(_NEAREST)} SELECT * FROM nr",
+    "knn_everybody": f"{knn_sql(v.SPARSE, BATCH, 'manhattan', 1_000_000_000, 1)} {_NN}",
+    "neighbor_ratings": f"{recs_sql(_NEAREST)} SELECT * FROM nr",
     "neighbor_rating_counts": f"{_RECS_SPARSE} {_COUNTS.format('nr')}",
-    "recommend": f"{_recs_sql(_NEAREST)} SELECT * FROM recs",
-    "recommend_titles": f"""{_recs_sql(_NEAREST)}
+    "recommend": f"{recs_sql(_NEAREST)} SELECT * FROM recs",
+    "recommend_titles": f"""{recs_sql(_NEAREST)}
   SELECT recs.*, p_name AS title FROM recs LEFT JOIN part ON p_partkey = movie_id""",
-    "recommend_unseen": f"{_recs_sql(_NEAREST, exclude_seen=True)} SELECT * FROM recs",
+    "recommend_unseen": f"{recs_sql(_NEAREST, exclude_seen=True)} SELECT * FROM recs",
     "recommend_sparse": f"{_RECS_SPARSE} SELECT * FROM recs",
     "recommend_counts": f"{_RECS_SPARSE} {_COUNTS.format('recs')}",
 }

@@ -68,23 +68,18 @@ def lookup_ratings(ratings: DataFrame, requests: DataFrame) -> DataFrame:
     """Rating of every requested (user, movie), with what was found.
 
     ``status`` is ``found``, ``movie_not_found`` (the user is known) or
-    ``user_not_found``. One pass over the ratings: each row of a requested
-    user counts either for its request or only for the user, and is
-    aggregated away before anything is shuffled.
+    ``user_not_found``. Both semi joins move below the aggregate that keeps
+    the latest rating: only requested ratings are aggregated, and who is known
+    takes no more than a scan of the user column.
     """
     wanted = stored(requests.select("user_id", "movie_id").distinct())
-    asked = wanted.withColumn("asked", F.lit(True))
-    known_to = wanted.select("user_id")
-    if fits_broadcast(wanted):
-        asked, known_to = F.broadcast(asked), F.broadcast(known_to)
-    seen = stored(
-        ratings.join(known_to, "user_id", "left_semi")
-        .join(asked, ["user_id", "movie_id"], "left")
-        .groupBy("user_id", F.when(F.col("asked"), F.col("movie_id")).alias("movie_id"))
-        .agg(F.max("rating").alias("rating"))
-    )
-    hits = seen.where("movie_id IS NOT NULL").withColumn("hit", F.lit(True))
-    known = seen.select("user_id").distinct().withColumn("known", F.lit(True))
+    # What is found has no more rows than what is wanted, so one count bounds
+    # all four sides.
+    small = F.broadcast if fits_broadcast(wanted) else (lambda side: side)
+    hits = ratings.join(small(wanted), ["user_id", "movie_id"], "left_semi")
+    known = users(ratings.join(small(wanted.select("user_id")), "user_id", "left_semi"))
+    hits = small(hits.withColumn("hit", F.lit(True)))
+    known = small(known.withColumn("known", F.lit(True)))
     status = (
         F.when(F.col("hit"), "found")
         .when(F.col("known"), "movie_not_found")

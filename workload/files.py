@@ -93,9 +93,10 @@ def _common_report(s: SparkSession, d: str) -> DataFrame:
 
 def _neighborhood_tables(s: SparkSession, d: str, name: str) -> DataFrame:
     path = _folder(s)
+    ratings = co.stored(v.dense(s, d))
     targets = s.createDataFrame([(t,) for t in n.BATCH], "user_id BIGINT")
     for metric in ("euclidean", "cosine"):
-        result = co.neighborhood(co.stored(v.dense(s, d)), targets, metric, 5, 1, n.MIN_RATING)
+        result = co.neighborhood(ratings, targets, metric, 5, 1, n.MIN_RATING)
         co.write_neighborhood(result, path, metric)
     return s.read.parquet(f"{path}/{name}")
 

@@ -14,14 +14,13 @@ METRICS = ("euclidean", "manhattan", "cosine", "pearson")
 def co_rated_sums(a: Column, b: Column) -> list[Column]:
     """Aggregates over co-rated movies. All buffers are fixed width, so they
     run as partial and final hash aggregates; unused ones are pruned."""
-    both = a.isNotNull() & b.isNotNull()
     return [
-        F.count_if(both).alias("n_common"),
-        F.sum(F.when(both, a)).alias("sum_a"),
-        F.sum(F.when(both, b)).alias("sum_b"),
+        F.count("*").alias("n_common"),
+        F.sum(a).alias("sum_a"),
+        F.sum(b).alias("sum_b"),
         F.sum(a * b).alias("sum_ab"),
-        F.sum(F.when(both, a * a)).alias("sum_aa"),
-        F.sum(F.when(both, b * b)).alias("sum_bb"),
+        F.sum(a * a).alias("sum_aa"),
+        F.sum(b * b).alias("sum_bb"),
         F.sum(F.abs(a - b)).alias("sum_abs"),
         F.sum((a - b) * (a - b)).alias("sum_sq"),
     ]

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coratings.functions.metrics import METRICS, co_rated_sums, metric_value
-from coratings.plans.staging import join_small, sized, stored
+from coratings.plans.staging import among, join_small, stored
 
 
 def target_ratings(ratings: DataFrame, targets: DataFrame) -> DataFrame:
     """Ratings of the targets: ``(target_id, movie_id, target_rating)``."""
-    wanted = sized(targets.select("user_id"))
-    return ratings.join(wanted, "user_id", "left_semi").select(
+    return among(ratings, targets, "user_id").select(
         F.col("user_id").alias("target_id"),
         "movie_id",
         F.col("rating").alias("target_rating"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from coratings.functions.metrics import METRICS, co_rated_sums, metric_value
-from coratings.plans.staging import sized, stored
+from coratings.plans.staging import among, sized, stored
 
 
 def _pairs_with_sizes(ratings: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -13,7 +13,7 @@ def _pairs_with_sizes(ratings: DataFrame, pairs: DataFrame) -> tuple[DataFrame,
     users in them; both stored, after one pass over ``ratings``."""
     pairs = stored(pairs.select("user_a", "user_b").distinct())
     members = pairs.select(F.explode(F.array("user_a", "user_b")).alias("user_id"))
-    theirs = stored(ratings.join(sized(members), "user_id", "left_semi"))
+    theirs = stored(among(ratings, members, "user_id"))
     sizes = theirs.groupBy("user_id").agg(F.count("*").alias("size"))
     with_sizes = (
         pairs.join(sizes.toDF("user_a", "size_a"), "user_a", "left")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coratings.plans.staging import fits_broadcast, sized, stored
+from coratings.plans.staging import among, fits_broadcast, stored
 
 
 def latest_ratings(
@@ -60,8 +60,7 @@ def ratings_per_user(ratings: DataFrame) -> DataFrame:
 
 def user_ratings(ratings: DataFrame, wanted: DataFrame) -> DataFrame:
     """All movies and ratings of the wanted users; none for an unknown one."""
-    wanted = sized(wanted.select("user_id"))
-    return ratings.join(wanted, "user_id", "left_semi").orderBy("user_id", "movie_id")
+    return among(ratings, wanted, "user_id").orderBy("user_id", "movie_id")
 
 
 def lookup_ratings(ratings: DataFrame, requests: DataFrame) -> DataFrame:
@@ -73,11 +72,12 @@ def lookup_ratings(ratings: DataFrame, requests: DataFrame) -> DataFrame:
     takes no more than a scan of the user column.
     """
     wanted = stored(requests.select("user_id", "movie_id").distinct())
-    # What is found has no more rows than what is wanted, so one count bounds
-    # all four sides.
+    # What is found has no more rows than what is wanted, so its count bounds
+    # all of these sides.
     small = F.broadcast if fits_broadcast(wanted) else (lambda side: side)
-    hits = ratings.join(small(wanted), ["user_id", "movie_id"], "left_semi")
-    known = users(ratings.join(small(wanted.select("user_id")), "user_id", "left_semi"))
+    theirs = among(ratings, wanted, "user_id")
+    hits = theirs.join(small(wanted), ["user_id", "movie_id"], "left_semi")
+    known = users(theirs)
     hits = small(hits.withColumn("hit", F.lit(True)))
     known = small(known.withColumn("known", F.lit(True)))
     status = (

@@ -51,16 +51,33 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def among(ratings: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``ratings`` whose ``on`` occurs in ``keys``.
+
+    A semi join on a grouping key moves below the aggregate that keeps the
+    latest rating, so the shuffle there carries only the rows that matter. The
+    range of the keys goes along as a filter: on ratings laid out by user it
+    lets the scan skip all files and row groups of other users.
+    """
+    return _among(ratings, keys, on)[0]
+
+
 def join_small(ratings: DataFrame, side: DataFrame, on: str) -> DataFrame:
     """Inner join with a side that usually fits a broadcast: then ``ratings``
-    are narrowed to its keys first and joined where they lie.
+    are narrowed by ``among`` first and joined where they lie.
 
-    A semi join on a grouping key moves below the aggregate that keeps the
-    latest rating, so the shuffle there carries only the rows that matter.
-    Beyond the bound that pruning would cost a shuffle itself; both sides are
-    shuffled once, and AQE splits the partition of a hot key.
+    Beyond the bound that narrowing would cost a shuffle itself; both sides
+    are shuffled once, and AQE splits the partition of a hot key.
     """
-    if not fits_broadcast(side):
+    narrowed, fits = _among(ratings, side, on)
+    if not fits:
         return ratings.join(side, on)
-    keys = F.broadcast(side.select(on))
-    return ratings.join(keys, on, "left_semi").join(F.broadcast(side), on)
+    return narrowed.join(F.broadcast(side), on)
+
+
+def _among(ratings: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, bool]:
+    rows, low, high = keys.agg(F.count("*"), F.min(on), F.max(on)).first()
+    fits = rows <= BROADCAST_ROWS
+    side = F.broadcast(keys.select(on)) if fits else keys.select(on)
+    in_range = ratings.where(F.col(on).between(F.lit(low), F.lit(high)))
+    return in_range.join(side, on, "left_semi"), fits

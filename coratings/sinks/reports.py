@@ -17,6 +17,14 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_ratings(ratings: DataFrame, path: str) -> None:
+    """Ratings laid out by user, for many queries on the same ratings: what is
+    asked of few users then reads few row groups. A user with very many
+    ratings spreads over several files."""
+    by_user = ratings.repartitionByRange("user_id", "movie_id")
+    write_table(by_user.sortWithinPartitions("user_id", "movie_id"), path)
+
+
 def write_metric_table(df: DataFrame, path: str, metric: str) -> None:
     """A result of one metric below ``path``, beside those of the others.
 

@@ -7,6 +7,7 @@ from oracle import plan_of
 import __spark_entry__ as entry_point
 import coratings as co
 from coratings.plans.staging import scratch_root
+from coratings.sinks.reports import write_ratings
 from workload import views as v
 
 QUERIES = entry_point.queries()
@@ -20,6 +21,22 @@ def test_targets_movies_prune_before_the_first_shuffle(spark, sf_small):
     assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
 
 
+def test_targets_range_reaches_the_scan(spark, sf_small, tmp_path):
+    path = str(tmp_path / "ratings")
+    write_ratings(v.dense(spark, sf_small), path)
+    ratings = spark.read.parquet(path)
+    target = spark.createDataFrame([(3,)], "user_id BIGINT")
+    found = co.user_ratings(ratings, target)
+    plan = plan_of(found)
+    assert "GreaterThanOrEqual(user_id,3), LessThanOrEqual(user_id,3)" in plan
+    assert found.count() == v.dense(spark, sf_small).where("user_id = 3").count() > 0
+    nobody = co.user_ratings(ratings, target.limit(0))
+    assert nobody.count() == 0
+    # Below the aggregate as well.
+    raw = co.user_ratings(v.dense(spark, sf_small), target)
+    assert "GreaterThanOrEqual(l_suppkey,3)" in plan_of(raw)
+
+
 def test_ranking_is_cut_before_its_shuffle(spark, sf_small):
     plan = plan_of(QUERIES["knn_batch"](spark, sf_small))
     assert re.search(r"WindowGroupLimit .* 5, Partial", plan)

@@ -32,12 +32,13 @@ def number_rows(
     windowed = df.withColumn(name, F.row_number().over(window).cast("bigint"))
     if df.count() <= hot_rows:
         return windowed
-    hot = stored(df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = stored(sizes.where(F.col("_rows") > hot_rows).select(*keys))
     if hot.isEmpty():
         return windowed
 
-    hot = sized(hot.select(*[F.col(k).alias(f"hot_{k}") for k in keys]))
-    is_hot = _same(keys, "hot_")
+    hot = sized(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    is_hot = _same(keys, "_hot_")
     cold = df.join(hot, is_hot, "left_anti")
     cold = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
 
@@ -46,25 +47,25 @@ def number_rows(
     slices = stored(
         df.join(hot, is_hot, "left_semi")
         .repartitionByRange(*keys, *order)
-        .withColumn("slice", F.spark_partition_id()),
+        .withColumn("_slice", F.spark_partition_id()),
         compact=False,
     )
     earlier = (
         Window.partitionBy(*keys)
-        .orderBy("slice")
+        .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     shifts = (
-        slices.groupBy(*keys, "slice")
-        .count()
-        .withColumn("shift", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-        .select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("slice").alias("of_slice"), "shift")
+        slices.groupBy(*keys, "_slice")
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_slice").alias("_of__slice"), "_shift")
     )
-    within = Window.partitionBy(*keys, "slice").orderBy(*order)
+    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
     numbered = (
         slices.withColumn(name, F.row_number().over(within))
-        .join(sized(stored(shifts)), _same([*keys, "slice"], "of_"))
-        .withColumn(name, F.col(name) + F.col("shift"))
+        .join(sized(stored(shifts)), _same([*keys, "_slice"], "_of_"))
+        .withColumn(name, F.col(name) + F.col("_shift"))
     )
     return cold.unionByName(numbered.select(*cold.columns))
 

@@ -51,22 +51,22 @@ def sampling_plan(
     # A null sequence explodes to no row. A filter would have the start time
     # worked out twice, once for itself.
     usable = F.expr("start_time IS NOT NULL AND step >= 1 AND total_frames > 0")
-    firsts = F.when(usable, F.sequence(zero, F.col("kept") - 1, chunk))
+    firsts = F.when(usable, F.sequence(zero, F.col("_kept") - 1, chunk))
     chunks = (
         _timed(videos, interval_sec)
-        .withColumn("kept", F.expr("(total_frames + step - 1) div greatest(step, 1)"))
-        .withColumn("first", F.explode(firsts))
+        .withColumn("_kept", F.expr("(total_frames + step - 1) div greatest(step, 1)"))
+        .withColumn("_first", F.explode(firsts))
         .repartition(tasks)
     )
-    last = F.least(F.col("first") + chunk, F.col("kept")) - 1
+    last = F.least(F.col("_first") + chunk, F.col("_kept")) - 1
     micros = offset_micros(F.col("frame_idx"), F.col("fps"))
     return (
-        chunks.withColumn("n", F.explode(F.sequence("first", last)))
-        .withColumn("frame_idx", F.col("n") * F.col("step"))
+        chunks.withColumn("_n", F.explode(F.sequence("_first", last)))
+        .withColumn("frame_idx", F.col("_n") * F.col("step"))
         .withColumn("frame_time", later(F.col("start_time"), micros))
         .withColumn("second", F.floor(micros / 1_000_000))
         .withColumn("frame_name", frame_name(_whole_second()))
-        .drop("kept", "first", "n")
+        .drop("_kept", "_first", "_n")
     )
 
 

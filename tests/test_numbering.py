@@ -43,11 +43,18 @@ def test_hot_group_is_spread(spark, rows, monkeypatch):
         co.number_rows(rows, ["k"], ["value", "id"], "n", hot_rows=600).count()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    slices = next(df for df in kept if "slice" in df.columns and "id" in df.columns)
-    sizes = [r["count"] for r in slices.groupBy("slice").count().collect()]
+    slices = next(df for df in kept if "_slice" in df.columns and "id" in df.columns)
+    sizes = [r["count"] for r in slices.groupBy("_slice").count().collect()]
     assert len(sizes) >= 4 and max(sizes) < sum(sizes) / 3
 
 
+def test_column_names_of_the_caller_are_safe(spark):
+    data = [(i % 2, i, -i) for i in range(50)]
+    df = co.stored(spark.createDataFrame(data, "count INT, slice BIGINT, shift BIGINT"))
+    got = co.number_rows(df, ["count"], ["slice"], "n", hot_rows=10).collect()
+    assert sorted(map(tuple, got)) == sorted((k, i, -i, i // 2 + 1) for k, i, _ in data)
+
+
 def test_two_keys(spark):
     data = [(a, b, i) for i in range(300) for a, b in [(i % 2, i % 3)]]
     df = co.stored(spark.createDataFrame(data, "a INT, b INT, id BIGINT"))

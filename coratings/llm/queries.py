@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coratings.llm.near_duplicates import near_duplicates
+from coratings.llm.repeated_text import repeated_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text(_table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_repeated_text": op2_repeated_text,
 }
 ORACLES: dict[str, str] = {}

@@ -49,19 +49,19 @@ class _Powers:
         return self.table[:n]
 
 
-_UP, _DOWN = _Powers(BASE), _Powers(INVERSE)
+UP, DOWN = _Powers(BASE), _Powers(INVERSE)
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``span_hash`` takes the hash of any byte span."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP.upto(len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * UP.upto(len(data)), out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans; equal bytes give equal hashes wherever they lie."""
-    value = (sums[end] - sums[start]) * _DOWN.upto(len(sums))[start]
+    value = (sums[end] - sums[start]) * DOWN.upto(len(sums))[start]
     return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

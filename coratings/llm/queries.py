@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coratings.llm.decontamination import contamination
 from coratings.llm.near_duplicates import near_duplicates
 from coratings.llm.repeated_text import repeated_text
+from coratings.llm.packing import packed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +23,26 @@ def op2_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_text(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def tokenizer_path() -> str:
+    """A public vocabulary file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), tokenizer_path(), longest=2048)
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_repeated_text": op2_repeated_text,
+    "op4_decontamination": op4_decontamination,
+    "op6_packing": op6_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from coratings.llm.decontamination import contamination
 from coratings.llm.near_duplicates import near_duplicates
 from coratings.llm.repeated_text import repeated_text
+from coratings.llm.toxicity import toxicity
 from coratings.llm.packing import packed
+from coratings.llm.quality import quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op2_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_text(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=3, held_out_fold=1)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -39,10 +46,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path(), longest=2048)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, held_out_fold=2)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_repeated_text": op2_repeated_text,
+    "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
 }
 ORACLES: dict[str, str] = {}

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coratings.llm.decontamination import contamination
+from coratings.llm.licenses import license_scan, license_sql
 from coratings.llm.near_duplicates import near_duplicates
 from coratings.llm.repeated_text import repeated_text
+from coratings.llm.rules import COUNTS, quality_rules
 from coratings.llm.toxicity import toxicity
+from coratings.llm.urls import rule_list, url_verdicts, verdict_sql
+from coratings.llm.warc import archived
 from coratings.llm.packing import packed
 from coratings.llm.quality import quality
 
@@ -42,6 +46,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages"), least=0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path(), longest=2048)
 
@@ -51,12 +59,35 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+URL_RULES = rule_list("allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/")
+
+
+def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_repeated_text": op2_repeated_text,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_url_verdicts": op8_url_verdicts,
+    "op9_license_scan": op9_license_scan,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLES: dict[str, str] = {
+    "op8_url_verdicts": verdict_sql(URL_RULES),
+    "op9_license_scan": license_sql(),
 }
-ORACLES: dict[str, str] = {}

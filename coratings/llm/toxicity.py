@@ -15,8 +15,8 @@ from coratings.llm.text import ALNUM, Words, mix, pieces, prefix, salt, span_has
 
 PER_CLASS = 5000  # labelled documents of each class that are learned from
 PREFIXES = (3, 4, 5, 6)  # bytes; a rare word is judged by its longest known prefix
-LEAST = 5  # documents a feature must be in
-PRIOR = 10.0  # weight of the Dirichlet prior, in documents
+LEAST = 3  # documents a feature must be in
+PRIOR = 5.0  # weight of the Dirichlet prior, in documents
 DRIFT = 1.0  # taken off every token, so that ordinary text scores below 0
 
 
@@ -28,11 +28,11 @@ def _features(words: Words) -> list[np.ndarray]:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class with a feature, combined within the batch."""
+    """Documents with a feature, by class and half, combined within the piece."""
     for batch in batches:
         for low, high, data, offsets in pieces(batch):
             words = Words(data, offsets, ALNUM)
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)[low:high].astype(np.int64)
+            kind = batch.column(1).to_numpy(zero_copy_only=False)[low:high].astype(np.int64)
             got = []
             for level in _features(words):
                 order = np.lexsort((level, words.row))
@@ -40,10 +40,22 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.ones(len(value), bool)
                 new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
                 value, which = np.unique(value[new], return_inverse=True)
-                label = toxic[row[new]]
-                got.append((value, np.bincount(which, label, len(value)).astype(np.int64), np.bincount(which, 1 - label, len(value)).astype(np.int64)))
-            value, bad, good = (np.concatenate(x) for x in zip(*got, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(bad), pa.array(good)], ["feature", "bad", "good"])
+                of = kind[row[new]]
+                got.append((value, *[np.bincount(which[of == k], minlength=len(value)) for k in range(4)]))
+            value, *counts = (np.concatenate(x) for x in zip(*got, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), *[pa.array(c, pa.int64()) for c in counts]], ["feature", *_KINDS])
+
+
+_KINDS = ("good_0", "bad_0", "good_1", "bad_1")  # label, then half of the sample
+
+
+def _log_odds(features: np.ndarray, good: np.ndarray, bad: np.ndarray, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features and the log-odds of label 1, against those of the sample, with a Dirichlet prior."""
+    base = (sizes[1] + 1e-9) / (sum(sizes) + 2e-9)
+    odds = np.log((bad + PRIOR * base) / (good + PRIOR * (1 - base))) - math.log(base / (1 - base))
+    enough = np.flatnonzero(bad + good >= LEAST)
+    order = enough[np.argsort(features[enough])]
+    return features[order], odds[order]
 
 
 class Segments:
@@ -169,9 +181,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold:
     """doc_id, held_out, score, predicted, n_words and passages (first word, end, score) per row of ``docs``.
 
     Learned from at most PER_CLASS labelled documents of each class outside the
-    held-out fold: half of them give the log-odds of words and prefixes with a
-    Dirichlet prior, the other half the extreme-value tail of clean segments
-    and the probability. Every document is scanned whole; passages are its
+    held-out fold: they give the log-odds of words and prefixes with a
+    Dirichlet prior; the extreme-value tail of clean segments and the
+    probability come from each half scored by what the other half taught. Every document is scanned whole; passages are its
     segments of which clean text of its length would have less than 0.05.
 
     Null and empty texts have no words, no passages and the least score.
@@ -185,29 +197,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold:
     source = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
     sample, counts = labelled_sample(labels.select("doc_id", "toxic"), "toxic", held, PER_CLASS)
     texts = cut(source.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"]))
-    first_half = F.xxhash64(F.lit(5), "doc_id") % 2 == 0
-
-    sizes = {r["label"]: r["count"] for r in texts.where(first_half).groupBy("label").count().collect()}
-    base = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    half = (F.xxhash64(F.lit(5), "doc_id") % 2 == 0).cast("int")
+    kinds = texts.select("doc_id", (half * 2 + F.col("label")).cast("long").alias("kind"), "text")
+    sizes = [0] * 4
+    for r in kinds.groupBy("kind").count().collect():
+        sizes[r["kind"]] = r["count"]
     counted = (
-        texts.where(first_half).select("doc_id", "label", "text").mapInArrow(_counter, "feature long, bad long, good long")
-        .groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where(F.col("bad") + F.col("good") >= LEAST)
+        kinds.mapInArrow(_counter, "feature long, " + ", ".join(f"{k} long" for k in _KINDS))
+        .groupBy("feature").agg(*[F.sum(k).alias(k) for k in _KINDS]).where(" + ".join(_KINDS) + f" >= {LEAST}")
     )
     # A bounded number of documents has a bounded number of features that LEAST of them share.
     table = counted.toArrow()
-    bad, good = (table.column(c).to_numpy().astype(float) for c in ("bad", "good"))
-    odds = np.log((bad + PRIOR * base + 1e-9) / (good + PRIOR * (1 - base) + 1e-9)) - math.log((base + 1e-9) / (1 - base + 1e-9))
     features = table.column("feature").to_numpy().view(np.uint64)
-    order = np.argsort(features)
-    arrays = (features[order], odds[order])
-
-    plain = spark.sparkContext.broadcast((arrays, None))
-    tuned = (
-        texts.where(~first_half).select("doc_id", "text").mapInArrow(_segmenter(plain), f"doc_id {kind}, n_words long, {_PASSAGES}")
-        .join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("label", "n_words", "passages")
-    )
-    model = spark.sparkContext.broadcast((arrays, _calibrate(tuned.collect(), counts)))  # at most 2 * PER_CLASS rows
+    n = [table.column(k).to_numpy().astype(float) for k in _KINDS]
+    halves = [_log_odds(features, n[2 * h], n[2 * h + 1], (sizes[2 * h], sizes[2 * h + 1])) for h in (0, 1)]
+    arrays = _log_odds(features, n[0] + n[2], n[1] + n[3], (sizes[0] + sizes[2], sizes[1] + sizes[3]))
+
+    # Each half is scored by what the other half taught.
+    tuned = []
+    for h in (0, 1):
+        plain = spark.sparkContext.broadcast((halves[h], None))
+        other = texts.where(half != h).select("doc_id", "text")
+        found = other.mapInArrow(_segmenter(plain), f"doc_id {kind}, n_words long, {_PASSAGES}")
+        # At most 2 * PER_CLASS rows.
+        tuned += found.join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("label", "n_words", "passages").collect()
+    model = spark.sparkContext.broadcast((arrays, _calibrate(tuned, counts)))
     scored = source.mapInArrow(_segmenter(model), f"doc_id {kind}, n_words long, score double, {_PASSAGES}")
     return scored.select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "passages"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -14,8 +16,15 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from coratings.llm.staging import cut, text_columns
 
 END = 1  # the id put after each document
-CACHED = 200_000  # chunks of text whose ids a task remembers at most
-BATCH = 4096  # new chunks encoded at once
+CACHED = 500_000  # chunks of text whose ids a task remembers at most, about 100 MB
+SYMBOLS = ".,;:!?$&%#*|"
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level models write for each byte: itself if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
 class ChunkEncoder:
@@ -25,29 +34,50 @@ class ChunkEncoder:
     of a text are those of its chunks in turn. Texts and chunks are UTF-8
     bytes, which split at ASCII white space only. What is remembered is
     bounded: a full memory is emptied.
+
+    A chunk of letters with or without symbols after them goes straight to the
+    tokenizer's model, normalised as the tokenizer would; any other chunk goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, np.ndarray] = {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        chunks = text.split()
+        self.model = self.tokenizer.model
+        self.letters = {b: x for b, x in enumerate(byte_letters())}
+        self.ids: dict[bytes, bytes] = {}
+
+    def _part(self, text: str) -> list[int]:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(text)] if text else []
+
+    def _encode(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        core = text.rstrip(SYMBOLS)
+        lower = core if core.isascii() else unicodedata.normalize("NFC", core)
+        lower = lower.lower()
+        if not core or (lower.isalpha() and not set("\u03a3\u03c2") & set(core)):
+            ids = self._part(lower) + self._part(text[len(core) :])
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, text: bytes) -> bytes:
+        """The ids, END included, as little-endian unsigned 32-bit numbers."""
+        chunks, known = text.split(), self.ids
         try:
-            parts = [self.ids[c] for c in chunks]
+            parts = [known[c] for c in chunks]
         except KeyError:
-            if len(self.ids) > CACHED:
-                self.ids.clear()
-            new = list({c for c in chunks if c not in self.ids})
-            for low in range(0, len(new), BATCH):
-                some = new[low : low + BATCH]
-                encodings = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-                for chunk, encoded in zip(some, encodings, strict=True):
-                    self.ids[chunk] = np.array(encoded.ids, np.uint32)
-            parts = [self.ids[c] for c in chunks]
-        return np.concatenate([*parts, np.array([END], np.uint32)])
+            if len(known) > CACHED:
+                known.clear()
+            for chunk in chunks:
+                if chunk not in known:
+                    known[chunk] = self._encode(chunk)
+            parts = [known[c] for c in chunks]
+        parts.append(struct.pack("<I", END))
+        return b"".join(parts)
 
 
 def binary_lengths(total: int, longest: int) -> list[int]:
@@ -73,14 +103,14 @@ def _packer(path: str, longest: int, with_ids: bool):
                 rows: dict[str, list] = {n: [] for n in ["row", *names, "ids"]}
                 for row, text in enumerate(some.column("text").cast(pa.binary()).to_pylist()):
                     ids = encode(text)
-                    start = 0
-                    for length in binary_lengths(len(ids), longest):
-                        piece = ids[start : start + length]
-                        values = (row, start, length, zlib.crc32(piece.astype("<u4").tobytes()), len(ids))
+                    start, total = 0, len(ids) // 4
+                    for length in binary_lengths(total, longest):
+                        piece = ids[4 * start : 4 * (start + length)]
+                        values = (row, start, length, zlib.crc32(piece), total)
                         for name, value in zip(["row", *names], values, strict=True):
                             rows[name].append(value)
                         if with_ids:
-                            rows["ids"].append(piece.astype(np.int32))
+                            rows["ids"].append(np.frombuffer(piece, "<i4"))
                         start += length
                 n = len(rows["row"])
                 arrays = [

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from coratings.llm.staging import cut, sized, text_columns
+from coratings.llm.staging import cut, sized, text_columns, text_key
 from coratings.llm.text import SPACED, Words, long_lists, mix, pieces, salt, shingles
 
 ROWS = 5  # signature values per band
@@ -81,12 +81,12 @@ def _signer(words: int, bands: int):
                 band += np.array([salt(500 + b) for b in range(bands)], np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(low, high - low),
+                        *[batch.column(c).slice(low, high - low) for c in ("doc_id", "key_a", "key_b")],
                         pa.array(np.diff(at), pa.int64()),
                         *[pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums],
                         long_lists(band.reshape(-1), np.arange(high - low + 1) * bands),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    ["doc_id", "key_a", "key_b", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return run
@@ -178,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and key_a, key_b of the shingle set, per row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, and key_a, key_b of the text, per row of ``docs``.
 
     Two documents are linked if 100 * common shingles >= ``percent`` * all
     shingles. Words are runs of non-space characters, A-Z lower-cased.
@@ -197,8 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     source = text_columns(docs)
     bands = bands_for(percent)
     key = StructField("doc_id", docs.schema["doc_id"].dataType)
-    longs = [StructField(n, LongType()) for n in ("n_shingles", "set_a", "set_b")]
-    signed = cut(source.mapInArrow(_signer(words, bands), StructType([key, *longs, StructField("bands", ArrayType(LongType()))])))
+    longs = [StructField(n, LongType()) for n in ("key_a", "key_b", "n_shingles", "set_a", "set_b")]
+    signed = cut(source.select("doc_id", "text", *text_key()).mapInArrow(_signer(words, bands), StructType([key, *longs, StructField("bands", ArrayType(LongType()))])))
     same = ["set_a", "set_b", "n_shingles"]
     classes = cut(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     )
 
     banded = classes.select("doc", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join below reads plain shuffles, of which Spark splits hot buckets.
+    hubs = cut(banded.groupBy("band").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub"))
     pairs = cut(banded.join(hubs, "band").where("hub <> doc").select("hub", "doc").distinct())
     wanted = cut(pairs.select(F.explode(F.array("hub", "doc")).alias("doc_id")).distinct())
     sets = cut(
@@ -254,6 +255,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     return (
         signed.drop("bands")
         .join(class_of, same, "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.col("set_a"), F.col("set_b"))
+        .select("doc_id", "n_shingles", component.alias("component_id"), "key_a", "key_b")
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

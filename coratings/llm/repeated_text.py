@@ -296,7 +296,8 @@ def _changed(source: DataFrame, length: int, as_text: bool = False) -> DataFrame
     )
     spots = texts.select("tid", F.explode(F.arrays_zip("grams", "positions")).alias("x")).select("tid", F.col("x.grams").alias("gram"), F.col("x.positions").alias("position"))
     twice = texts.select(F.explode("grams").alias("gram"), (F.col("copies") > 1).cast("int").alias("more"))
-    twice = twice.groupBy("gram").agg(F.sum(F.col("more") + 1).alias("n")).where("n > 1").select("gram")
+    # Written, so that the joins below read plain shuffles, of which Spark splits hot grams.
+    twice = cut(twice.groupBy("gram").agg(F.sum(F.col("more") + 1).alias("n")).where("n > 1").select("gram"))
     chosen = spots.join(twice, "gram").groupBy("tid").agg(F.collect_list("position").alias("positions"))
     chosen = cut(chosen.join(texts.select("tid", "key_a", "key_b", (F.col("copies") > 1).alias("many")), "tid"))
     needed = sized(chosen.select("key_a", "key_b"))
@@ -317,7 +318,7 @@ def _changed(source: DataFrame, length: int, as_text: bool = False) -> DataFrame
             F.sum("n").alias("n"), F.min(F.struct("tid", "position", "near", "far")).alias("at")
         ).select("gram", "ctx_a", "ctx_b", "n", "at.*")
     )
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("different")).where("different > 1")
+    grams = cut(contexts.groupBy("gram").agg(F.count("*").alias("different")).where("different > 1"))
     undecided = cut(contexts.join(grams, "gram"))
     decided = contexts.where("n > 1").select("ctx_a", "ctx_b", F.col("near").alias("low"), F.col("far").alias("high"))
 

@@ -1,8 +1,78 @@
-"""The training corpus pipeline: stages over ``documents``, each written and read again."""
+"""The training corpus pipeline: stages over ``documents``, each written and read again.
+
+Every stage takes all that the one before it kept. All but the last return the
+columns of documents; the last returns the packed pieces with their ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from coratings.llm.decontamination import contamination
+from coratings.llm.near_duplicates import near_duplicates
+from coratings.llm.packing import packed
+from coratings.llm.quality import quality
+from coratings.llm.queries import tokenizer_path
+from coratings.llm.repeated_text import without_repeats
+from coratings.llm.staging import cut, keep_by, sized
+
+KEYS = ("doc_id", "key_a", "key_b")
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    scored = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_by(docs, scored.select(*KEYS, (F.col("predicted") == 1).alias("keep")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates, once if its row is repeated."""
+    found = near_duplicates(docs)
+    kept = keep_by(docs, found.select(*KEYS, F.col("kept").alias("keep")))
+    again = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = cut(again.select(F.col("doc_id").alias("__again")))
+    if again.isEmpty():
+        return kept
+    again = sized(again)
+    repeated = kept.join(again, kept["doc_id"] == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"] == F.col("__again"), "left_anti").union(repeated)
+
+
+def without_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 200 bytes that occur twice."""
+    return without_repeats(docs, length=200)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keep_by(docs, found.select(*KEYS, (~F.col("contaminated")).alias("keep")))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids in sequences of powers of two."""
+    return packed(docs, tokenizer_path(), longest=2048, with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("near duplicates", one_of_each_group),
+    ("repeated text", without_repeated_text),
+    ("decontamination", without_benchmarks),
+    ("packing", sequences),
+]
+
+# SQL expresses neither the learned scores nor the groups; the tests compare
+# the stages with brute-force versions.
 ORACLE_SQL = None
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

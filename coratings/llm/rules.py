@@ -127,7 +127,7 @@ def learn_accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -
         odds[:, 0], odds[:, 1] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 1], 0)
         odds[:, 2] = 0
         now = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + np.einsum("prv,rv->p", said, odds), -30, 30)))
-        if np.abs(now - good).max() < 1e-9:
+        if np.abs(now - good).max(initial=0) < 1e-9:
             break
         good = now
     return share, odds

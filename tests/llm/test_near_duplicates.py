@@ -1,0 +1,85 @@
+import random
+
+import brute
+import numpy as np
+from coratings.llm import near_duplicates as module
+from coratings.llm.near_duplicates import bands_for, components, near_duplicates, superminhash
+from coratings.llm.text import mix
+
+
+def rows_of(df):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in df.collect()}
+
+
+def near_copies(seed, groups=4, copies=25):
+    """Groups of near copies around the threshold, exact copies, and short texts."""
+    pick = random.Random(seed)
+    rows = []
+    for _ in range(groups):
+        base = [f"w{pick.randrange(5000)}" for _ in range(pick.choice([30, 90, 200]))]
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(pick.randrange(5)):
+                text[pick.randrange(len(text))] = f"x{pick.randrange(9000)}"
+            rows.append(" ".join(text))
+    rows += ["a b", "A b", "a b c", "", "lone words here that nobody shares at all", *rows[:3]]
+    pick.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_links_and_groups(spark, monkeypatch):
+    rows = near_copies(1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.components(rows, 85)
+    assert rows_of(near_duplicates(docs, percent=85)) == want
+    # Blocks of any size lose nothing.
+    monkeypatch.setattr(module, "BLOCK", 3)
+    assert rows_of(near_duplicates(docs, percent=85)) == want
+    assert sum(not kept for _, _, kept in want.values()) > 20
+
+
+def test_test_tables(spark, sf_check):
+    docs = spark.read.parquet(f"{sf_check}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert rows_of(near_duplicates(docs, percent=85)) == brute.components(rows, 85)
+
+
+def test_components_of_a_chain(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 105)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 105: 100}
+
+
+def test_signatures_estimate_similarity():
+    draw = np.random.default_rng(1)
+    for n in (5, 40, 300):
+        a = mix(draw.integers(1, 2**62, n).astype(np.uint64))
+        b = np.concatenate([a[: n * 4 // 5], mix(draw.integers(1, 2**62, n - n * 4 // 5).astype(np.uint64))])
+        signature = superminhash(np.concatenate([a, b]), np.array([0, n, 2 * n]), 256)
+        same = (signature[0] == signature[1]).mean()
+        truth = (n * 4 // 5) / (2 * n - n * 4 // 5)
+        assert abs(same - truth) < 0.12
+        # Ranks below the number of slots: every slot was reached.
+        assert (signature >> np.uint64(40)).max() < 256
+
+
+def test_signature_does_not_depend_on_company():
+    values = mix(np.arange(1, 60, dtype=np.uint64))
+    alone = superminhash(values[:7], np.array([0, 7]), 64)
+    among = superminhash(values, np.array([0, 7, 7, 59]), 64)
+    assert (alone[0] == among[0]).all() and (among[1] == np.uint64(2**64 - 1)).all()
+
+
+def test_bands_miss_hardly_anything():
+    for percent in (80, 85, 90):
+        assert (1 - (percent / 100) ** module.ROWS) ** bands_for(percent) <= module.MISS
+
+
+def test_odd_rows(odd_docs, no_docs):
+    got = near_duplicates(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    by = {(r.doc_id, r.n_shingles): r for r in got}
+    assert by[1, 4].component_id == 1 and by[1, 4].kept
+    assert by[2, 0].component_id == 2 and by[2, 0].kept
+    assert by[None, 4].component_id is None and by[None, 4].kept
+    assert near_duplicates(no_docs).collect() == []

@@ -1,0 +1,86 @@
+import random
+
+import brute
+import numpy as np
+import pytest
+from coratings.llm import repeated_text as module
+from coratings.llm.repeated_text import anchors, multikey_quicksort, repeated_text, without_repeats
+
+COLUMNS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select(*COLUMNS).collect()), key=str)
+
+
+def random_rows(seed):
+    pick = random.Random(seed)
+    rows = []
+    for i in range(60):
+        rows.append((i, "".join(pick.choice("abcé") for _ in range(pick.choice([0, 5, 19, 20, 21, 60, 300])))))
+    for i in range(60, 90):
+        a, b = pick.choice(rows)[1], pick.choice(rows)[1]
+        j, k = pick.randrange(len(a) + 1), pick.randrange(len(b) + 1)
+        rows.append((i, a[j : j + 40] + b[k : k + 50] + "x" * pick.choice([0, 30])))
+    return [*rows, (5, rows[5][1]), (None, None), (None, rows[7][1]), (7, None), (8, "ab" * 100)]
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(module, "HOT", hot)
+    monkeypatch.setattr(module, "BUCKET", 40)
+    rows = random_rows(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(brute.repeats(rows, 20), key=str)
+    assert rows_of(repeated_text(docs, 20)) == want
+    assert any(0 < x[2] < x[1] for x in want)
+
+
+def test_common_passage_in_different_company(spark):
+    pick = random.Random(5)
+    noise = lambda n: "".join(pick.choice("abcdefgh ") for _ in range(n))
+    passage = noise(90)
+    rows = [(i, noise(pick.randrange(50)) + passage + noise(pick.randrange(50))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(repeated_text(docs, 40)) == sorted(brute.repeats(rows, 40), key=str)
+
+
+def test_test_tables(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert rows_of(repeated_text(docs, 200)) == sorted(brute.repeats(rows, 200), key=str)
+
+
+def test_texts_without_repeats(spark):
+    rows = [(1, "x" + "é" * 30 + "y", 62, 3), (2, "z" + "é" * 30, 61, 4), (3, None, 0, 5), (4, "plain", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, key_a int")
+    got = {r.doc_id: r for r in without_repeats(docs, 20).collect()}
+    assert (got[1].text, got[1].n_chars, got[1].key_a) == ("xy", 2, 3)
+    assert got[2].text == "z" and got[3].text is None and got[4].text == "plain"
+    assert without_repeats(docs, 20).schema == docs.schema
+
+
+def test_multikey_quicksort():
+    draw = np.random.default_rng(4)
+    words = draw.integers(0, 3, (500, 6)).astype(np.uint64)
+    got = words[multikey_quicksort(words)]
+    assert got.tolist() == sorted(words.tolist())
+
+
+def test_equal_windows_have_equal_anchors():
+    draw = np.random.default_rng(5)
+    data = draw.integers(97, 100, 3000).astype(np.uint8)
+    data[2000:2300] = data[500:800]
+    at, doc, near, far, _ = anchors(data, np.array([0, 1500, 3000]), 60)
+    of = {int(s): int(p) for p, n, f in zip(at, near, far, strict=True) for s in range(p - f, p - n + 1)}
+    assert set(of) == {*range(0, 1441), *range(1500, 2941)}
+    assert all(of[s + 1500] - of[s] == 1500 for s in range(500, 741))
+
+
+def test_odd_rows(odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect() if not r.text or len(r.text) < 1000]
+    short = odd_docs.where("text is null or length(text) < 1000")
+    assert rows_of(repeated_text(short, 10)) == sorted(brute.repeats(rows, 10), key=str)
+    long = [r for r in repeated_text(odd_docs).collect() if r.doc_id == 6]
+    assert long[0].n_bytes == 120_003 and long[0].n_removed == 120_000 and long[0].n_spans == 1
+    assert repeated_text(no_docs).collect() == []

@@ -1,6 +1,6 @@
 """Neighbourhood-based recommendation and light data preparation on DataFrames."""
 
-from coratings.operators.distances import candidate_totals, distances, overlaps
+from coratings.operators.distances import candidate_totals, distances, overlaps, ranked
 from coratings.operators.neighbors import knn
 from coratings.operators.numbering import number_rows
 from coratings.operators.pairs import common_movies, pair_report
@@ -23,7 +23,7 @@ from coratings.operators.sampling import (
     sampling_plan,
 )
 from coratings.plans.neighborhood import neighborhood, write_neighborhood
-from coratings.plans.staging import stored
+from coratings.plans.staging import release, stored
 
 __all__ = [
     "candidate_totals",
@@ -41,9 +41,11 @@ __all__ = [
     "number_rows",
     "overlaps",
     "pair_report",
+    "ranked",
     "ratings_per_user",
     "recommend",
     "rejected_videos",
+    "release",
     "resolve_name_collisions",
     "rows_per_neighbor",
     "sample_every",

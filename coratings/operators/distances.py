@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coratings.functions.metrics import METRICS, co_rated_sums, metric_value
-from coratings.plans.staging import among, join_small, stored
+from coratings.operators.numbering import number_rows
+from coratings.plans.staging import among, join_small, sized, stored
 
 
 def target_ratings(ratings: DataFrame, targets: DataFrame) -> DataFrame:
@@ -17,16 +20,21 @@ def target_ratings(ratings: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(ratings: DataFrame, targets: DataFrame) -> DataFrame:
+def overlaps(ratings: DataFrame, targets: DataFrame, min_common: int = 1) -> DataFrame:
     """Sums over the co-rated movies of every (target, other user) that have
     at least one. One join serves all measures.
 
     The targets' ratings are written once. If they fit a broadcast, the
     ratings are cut down to the targets' movies before anything is shuffled,
     and joined where they lie. If not, both sides are shuffled by movie, and
-    AQE splits the movies that very many users have rated.
+    AQE splits the movies that very many users have rated. Targets with fewer
+    than ``min_common`` ratings are left out before the join.
+    Runs jobs: the targets' ratings are written.
     """
-    mine = stored(target_ratings(ratings, targets))
+    mine = stored(target_ratings(ratings, targets), compact=True)
+    if min_common > 1:
+        enough = mine.groupBy("target_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_common)
+        mine = stored(mine.join(sized(stored(enough.select("target_id"))), "target_id", "left_semi"))
     return (
         join_small(ratings, mine, "movie_id")
         .where(F.col("user_id") != F.col("target_id"))
@@ -36,21 +44,21 @@ def overlaps(ratings: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def candidates(
-    ratings: DataFrame, targets: DataFrame, metric: str, min_common: int
+    ratings: DataFrame, targets: DataFrame, metric: str | Sequence[str], min_common: int
 ) -> DataFrame:
-    """``distances`` in no order, for a plan that goes on from here."""
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
-    return (
-        overlaps(ratings, targets)
-        .where(F.col("n_common") >= min_common)
-        .select(
-            "target_id",
-            "user_id",
-            metric_value(metric).alias("value"),
-            (F.col("n_common") > 0).alias("intersects"),
-            "n_common",
-        )
+    """``distances`` in no order, for a plan that goes on from here. Several
+    metrics are read off one join, with a column ``metric``."""
+    metrics = [metric] if isinstance(metric, str) else list(metric)
+    for name in metrics:
+        if name not in METRICS:
+            raise ValueError(f"unknown metric {name!r}, expected one of {METRICS}")
+    found = overlaps(ratings, targets, min_common).where(F.col("n_common") >= min_common)
+    intersects = (F.col("n_common") > 0).alias("intersects")
+    if isinstance(metric, str):
+        return found.select("target_id", "user_id", metric_value(metric).alias("value"), intersects, "n_common")
+    values = [F.struct(F.lit(m).alias("metric"), metric_value(m).alias("value")) for m in metrics]
+    return found.select("target_id", "user_id", "n_common", intersects, F.explode(F.array(*values)).alias("m")).select(
+        "m.metric", "target_id", "user_id", "m.value", "intersects", "n_common"
     )
 
 
@@ -73,5 +81,11 @@ def candidate_totals(
     ratings: DataFrame, targets: DataFrame, min_common: int
 ) -> DataFrame:
     """How many users are left per target after the overlap threshold."""
-    left = overlaps(ratings, targets).where(F.col("n_common") >= min_common)
+    left = overlaps(ratings, targets, min_common).where(F.col("n_common") >= min_common)
     return left.groupBy("target_id").agg(F.count("*").alias("n_candidates"))
+
+
+def ranked(found: DataFrame, metric: str) -> DataFrame:
+    """``distances`` with ``listing_rank``, each row's place in the list of its
+    target, from 1. Runs jobs: ``found`` is written."""
+    return number_rows(stored(found), ["target_id"], [listing_order(metric), "user_id"], "listing_rank")

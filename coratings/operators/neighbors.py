@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from coratings.operators.distances import candidates
 from coratings.operators.numbering import number_rows
 from coratings.plans.staging import stored
 
-# Up to this k a window is cut to k rows per task before its shuffle. Beyond,
-# a target's list is numbered in slices instead of in one task.
-WINDOW_K = 10_000
+
+def window_k(spark: SparkSession) -> int:
+    """Up to this k Spark cuts a window to k rows per task before its shuffle.
+    Beyond, a target's list is numbered in slices instead of in one task."""
+    return int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
 
 
 def nearness(metric: str) -> Column:
@@ -20,26 +24,33 @@ def nearness(metric: str) -> Column:
 
 
 def knn(
-    ratings: DataFrame, targets: DataFrame, metric: str, k: int, min_common: int
+    ratings: DataFrame, targets: DataFrame, metric: str | Sequence[str], k: int, min_common: int
 ) -> DataFrame:
     """The ``k`` nearest users of every target, ranked from 1, ties by user id.
 
-    All candidates if there are fewer than ``k``, none for ``k = 0``. Store
-    the result before using it more than once.
+    With a list of metrics one join serves all of them, and a column
+    ``metric`` comes first. All candidates if there are fewer than ``k``, none
+    for ``k = 0``. Runs jobs; store the result before using it more than once.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     found = candidates(ratings, targets, metric, min_common).withColumnRenamed(
         "user_id", "neighbor_id"
     )
-    order = [nearness(metric), "neighbor_id"]
-    if k <= WINDOW_K:
-        rank = F.row_number().over(Window.partitionBy("target_id").orderBy(*order))
+    if isinstance(metric, str):
+        lists, order = ["target_id"], [nearness(metric), F.asc("neighbor_id")]
+    else:
+        # Similarities turned round, so that one order serves all metrics.
+        alike = F.col("metric").isin("cosine", "pearson")
+        distance = F.when(alike, F.lit(0.0) - F.col("value")).otherwise(F.col("value"))
+        lists, order = ["metric", "target_id"], [distance.asc(), F.asc("neighbor_id")]
+    if k <= window_k(found.sparkSession):
+        rank = F.row_number().over(Window.partitionBy(*lists).orderBy(*order))
         ranked = found.withColumn("neighbor_rank", rank).where(F.col("neighbor_rank") <= k)
         ranked = ranked.withColumn("neighbor_rank", F.col("neighbor_rank").cast("bigint"))
     else:
-        ranked = number_rows(stored(found), ["target_id"], order, "neighbor_rank")
+        ranked = number_rows(stored(found), lists, order, "neighbor_rank")
         ranked = ranked.where(F.col("neighbor_rank") <= k)
     return ranked.select(
-        "target_id", "neighbor_id", "neighbor_rank", "value", "intersects", "n_common"
+        *lists, "neighbor_id", "neighbor_rank", "value", "intersects", "n_common"
     )

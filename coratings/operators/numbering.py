@@ -12,6 +12,18 @@ from coratings.plans.staging import sized, stored
 HOT_ROWS = 5_000_000
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` has in no spelling."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -22,9 +34,10 @@ def number_rows(
     """Add ``name``: 1, 2, ... within ``keys`` by ``order``, a total order.
 
     Groups up to ``hot_rows`` use a window. The rows of larger ones are range
-    partitioned by key and order, so that one group spreads over many tasks;
-    each slice is numbered on its own and shifted by the sizes of the slices
-    before it. ``df`` is also counted: pass a stored table or a plain scan.
+    partitioned by key and order into slices of about ``hot_rows`` rows, so
+    that one group spreads over many tasks; each slice is sorted and counted
+    through as it is written, and shifted by the sizes of the slices before
+    it. Runs jobs: ``df`` is counted, so pass a stored table or a plain scan.
     """
     keys, order = list(keys), list(order)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
@@ -32,46 +45,51 @@ def number_rows(
     windowed = df.withColumn(name, F.row_number().over(window).cast("bigint"))
     if df.count() <= hot_rows:
         return windowed
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot = stored(sizes.where(F.col("_rows") > hot_rows).select(*keys))
-    if hot.isEmpty():
+    rows, place, part, first, shift, *hot_keys = free_names(
+        df, "_rows", "_place", "_slice", "_first", "_shift", *[f"_hot_{k}" for k in keys]
+    )
+    sizes = df.groupBy(*keys).agg(F.count("*").alias(rows))
+    hot = sizes.where(F.col(rows) > hot_rows).select(*[F.col(k).alias(h) for k, h in zip(keys, hot_keys, strict=True)], rows)
+    hot = stored(hot)
+    total = hot.agg(F.sum(rows)).first()[0]
+    if total is None:
         return windowed
 
-    hot = sized(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
-    is_hot = _same(keys, "_hot_")
+    hot = sized(hot.select(*hot_keys))
+    is_hot = _same(keys, hot_keys)
     cold = df.join(hot, is_hot, "left_anti")
     cold = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
 
-    # The slice number must not change between the two uses below, so the
-    # sliced rows are written before they are counted.
+    # Places count on from row to row of a slice, so the rank within a slice is
+    # the distance from the key's first place there. An explicit number of
+    # slices also keeps AQE from merging them.
     slices = stored(
         df.join(hot, is_hot, "left_semi")
-        .repartitionByRange(*keys, *order)
-        .withColumn("_slice", F.spark_partition_id()),
-        compact=False,
+        .repartitionByRange(-(-total // max(hot_rows, 1)), *keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn(place, F.monotonically_increasing_id())
+        .withColumn(part, F.spark_partition_id())
     )
     earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_slice")
+        Window.partitionBy(*hot_keys)
+        .orderBy(part)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    (of_part,) = free_names(slices, "_of_slice")
     shifts = (
-        slices.groupBy(*keys, "_slice")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_slice").alias("_of__slice"), "_shift")
-    )
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    numbered = (
-        slices.withColumn(name, F.row_number().over(within))
-        .join(sized(stored(shifts)), _same([*keys, "_slice"], "_of_"))
-        .withColumn(name, F.col(name) + F.col("_shift"))
+        slices.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, hot_keys, strict=True)], part)
+        .agg(F.count("*").alias(rows), F.min(place).alias(first))
+        .withColumn(shift, F.coalesce(F.sum(rows).over(earlier), F.lit(0)))
+        .select(*hot_keys, F.col(part).alias(of_part), first, shift)
     )
+    same_slice = _same([*keys, part], [*hot_keys, of_part])
+    rank = F.col(place) - F.col(first) + F.col(shift) + 1
+    numbered = slices.join(sized(stored(shifts)), same_slice).withColumn(name, rank)
     return cold.unionByName(numbered.select(*cold.columns))
 
 
-def _same(keys: Sequence[str], prefix: str) -> Column:
+def _same(keys: Sequence[str], others: Sequence[str]) -> Column:
     match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    for k, other in zip(keys, others, strict=True):
+        match = match & F.col(k).eqNullSafe(F.col(other))
     return match

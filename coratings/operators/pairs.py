@@ -13,7 +13,7 @@ def _pairs_with_sizes(ratings: DataFrame, pairs: DataFrame) -> tuple[DataFrame,
     users in them; both stored, after one pass over ``ratings``."""
     pairs = stored(pairs.select("user_a", "user_b").distinct())
     members = pairs.select(F.explode(F.array("user_a", "user_b")).alias("user_id"))
-    theirs = stored(among(ratings, members, "user_id"))
+    theirs = stored(among(ratings, members, "user_id"), compact=True)
     sizes = theirs.groupBy("user_id").agg(F.count("*").alias("size"))
     with_sizes = (
         pairs.join(sizes.toDF("user_a", "size_a"), "user_a", "left")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coratings.plans.staging import among, fits_broadcast, stored
+from coratings.plans.staging import among, sized, stored
 
 
 def latest_ratings(
@@ -67,19 +67,21 @@ def lookup_ratings(ratings: DataFrame, requests: DataFrame) -> DataFrame:
     """Rating of every requested (user, movie), with what was found.
 
     ``status`` is ``found``, ``movie_not_found`` (the user is known) or
-    ``user_not_found``. Both semi joins move below the aggregate that keeps
-    the latest rating: only requested ratings are aggregated, and who is known
-    takes no more than a scan of the user column.
+    ``user_not_found``. One scan serves both questions: of the ratings of the
+    users asked for, the requested ones keep their movie and all others fall
+    into one row per user, which says that the user is known. Runs jobs.
     """
     wanted = stored(requests.select("user_id", "movie_id").distinct())
-    # What is found has no more rows than what is wanted, so its count bounds
-    # all of these sides.
-    small = F.broadcast if fits_broadcast(wanted) else (lambda side: side)
     theirs = among(ratings, wanted, "user_id")
-    hits = theirs.join(small(wanted), ["user_id", "movie_id"], "left_semi")
-    known = users(theirs)
-    hits = small(hits.withColumn("hit", F.lit(True)))
-    known = small(known.withColumn("known", F.lit(True)))
+    asked = sized(wanted.withColumn("asked", F.lit(True)))
+    seen = theirs.join(asked, ["user_id", "movie_id"], "left")
+    movie = F.when(F.col("asked"), F.col("movie_id"))
+    answers = stored(
+        seen.groupBy("user_id", movie.alias("movie_id"))
+        .agg(F.max(F.when(F.col("asked"), F.col("rating"))).alias("rating"))
+    )
+    hits = sized(answers.where("movie_id IS NOT NULL").withColumn("hit", F.lit(True)))
+    known = sized(answers.select("user_id").distinct().withColumn("known", F.lit(True)))
     status = (
         F.when(F.col("hit"), "found")
         .when(F.col("known"), "movie_not_found")

@@ -11,6 +11,11 @@ from coratings.plans.staging import join_small, sized, stored
 _NEIGHBOR = ["target_id", "neighbor_id", "neighbor_rank"]
 
 
+def _lists(df: DataFrame) -> list[str]:
+    """What names one neighbour's list; the metric as well if there are several."""
+    return ["metric", *_NEIGHBOR] if "metric" in df.columns else _NEIGHBOR
+
+
 def _best_first() -> list[Column]:
     return [F.desc("rating"), F.asc("movie_id")]
 
@@ -18,14 +23,10 @@ def _best_first() -> list[Column]:
 def rated_by_neighbors(ratings: DataFrame, neighbors: DataFrame) -> DataFrame:
     """All ratings of every neighbour, in no order. ``neighbors`` is what
     ``knn`` returns, stored."""
-    side = neighbors.select("target_id", F.col("neighbor_id").alias("user_id"), "neighbor_rank")
-    return join_small(ratings, side, "user_id").select(
-        "target_id",
-        F.col("user_id").alias("neighbor_id"),
-        "neighbor_rank",
-        "movie_id",
-        "rating",
-    )
+    lists = _lists(neighbors)
+    side = neighbors.select(*lists).withColumnRenamed("neighbor_id", "user_id")
+    rows = join_small(ratings, side, "user_id").withColumnRenamed("user_id", "neighbor_id")
+    return rows.select(*lists, "movie_id", "rating")
 
 
 def neighbor_ratings(ratings: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def recommend(
 
     The lists stay apart: nothing is merged or scored across neighbours, and
     what the target has already rated stays in unless ``exclude_seen``. With
-    ``movies`` a title column is added.
+    ``movies`` a title column is added. Runs jobs.
     """
     rows = rated_by_neighbors(ratings, neighbors)
     return recommend_from(
@@ -53,6 +54,7 @@ def recommend(
         min_rating,
         movies,
         ratings if exclude_seen else None,
+        neighbors,
     )
 
 
@@ -61,17 +63,19 @@ def recommend_from(
     min_rating: float,
     movies: DataFrame | None = None,
     seen_in: DataFrame | None = None,
+    neighbors: DataFrame | None = None,
 ) -> DataFrame:
     """``recommend`` on rows of ``rated_by_neighbors``; ``seen_in`` are the
-    ratings to take what the targets have seen from."""
+    ratings to take what the targets have seen from, and ``neighbors`` tells
+    the targets without a look at ``rows``."""
     liked = rows.where(F.col("rating") >= F.lit(float(min_rating)))
     if seen_in is not None:
-        liked = stored(liked)
-        wanted = stored(liked.select(F.col("target_id").alias("user_id")).distinct())
-        seen = stored(target_ratings(seen_in, wanted).select("target_id", "movie_id"))
+        wanted = stored((rows if neighbors is None else neighbors).select(F.col("target_id").alias("user_id")).distinct())
+        seen = stored(target_ratings(seen_in, wanted).select("target_id", "movie_id"), compact=True)
         liked = liked.join(sized(seen), ["target_id", "movie_id"], "left_anti")
-    ranked = number_rows(stored(liked), _NEIGHBOR, _best_first(), "rec_rank")
-    columns = [*_NEIGHBOR, "movie_id", "rating", "rec_rank"]
+    lists = _lists(rows)
+    ranked = number_rows(stored(liked), lists, _best_first(), "rec_rank")
+    columns = [*lists, "movie_id", "rating", "rec_rank"]
     if movies is not None:
         ranked = ranked.join(movies.select("movie_id", "title"), "movie_id", "left")
         columns.append("title")
@@ -81,10 +85,11 @@ def recommend_from(
 def rows_per_neighbor(neighbors: DataFrame, rows: DataFrame) -> DataFrame:
     """Number of rows of every neighbour, 0 included: of ``neighbor_ratings``
     or of ``recommend``."""
-    counts = rows.groupBy("target_id", "neighbor_id").agg(F.count("*").alias("n_rows"))
+    lists = _lists(neighbors)
+    counts = rows.groupBy(*lists).agg(F.count("*").alias("n_rows"))
     return (
-        neighbors.select(*_NEIGHBOR)
-        .join(counts, ["target_id", "neighbor_id"], "left")
+        neighbors.select(*lists)
+        .join(counts, lists, "left")
         .fillna(0, subset=["n_rows"])
-        .select(*_NEIGHBOR, "n_rows")
+        .select(*lists, "n_rows")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,8 @@ from coratings.operators.recommend import (
     recommend_from,
     rows_per_neighbor,
 )
-from coratings.plans.staging import stored
-from coratings.sinks.reports import write_metric_table
+from coratings.plans.staging import release, stored
+from coratings.sinks.reports import write_metric_table, write_metric_tables
 
 
 class Neighborhood(NamedTuple):
@@ -27,7 +28,7 @@ class Neighborhood(NamedTuple):
 def neighborhood(
     ratings: DataFrame,
     targets: DataFrame,
-    metric: str,
+    metric: str | Sequence[str],
     k: int,
     min_common: int,
     min_rating: float,
@@ -35,11 +36,12 @@ def neighborhood(
     exclude_seen: bool = False,
 ) -> Neighborhood:
     """The k nearest of every target and what follows from them. Neighbours
-    and their ratings are written once and shared by all results."""
+    and their ratings are written once and shared by all results; several
+    metrics are read off one join and kept apart by a column ``metric``."""
     neighbors = stored(knn(ratings, targets, metric, k, min_common))
     rows = stored(rated_by_neighbors(ratings, neighbors))
     recommendations = recommend_from(
-        rows, min_rating, movies, ratings if exclude_seen else None
+        rows, min_rating, movies, ratings if exclude_seen else None, neighbors
     )
     return Neighborhood(
         neighbors,
@@ -50,7 +52,17 @@ def neighborhood(
     )
 
 
-def write_neighborhood(result: Neighborhood, path: str, metric: str) -> None:
-    """Each result as a table below ``path``, with one folder per metric."""
+def write_neighborhood(
+    result: Neighborhood, path: str, metric: str | Sequence[str], release_after: bool = False
+) -> None:
+    """Each result as a table below ``path``, with one folder per metric;
+    ``metric`` as given to ``neighborhood``. ``release_after`` removes the
+    intermediate tables, after which ``result`` cannot be used any more."""
     for name, table in result._asdict().items():
-        write_metric_table(table, f"{path.rstrip('/')}/{name}", metric)
+        where = f"{path.rstrip('/')}/{name}"
+        if isinstance(metric, str):
+            write_metric_table(table, where, metric)
+        else:
+            write_metric_tables(table, where, metric)
+    if release_after:
+        release(*result)

@@ -6,8 +6,6 @@ Intermediate tables go to the shared folder the cluster names in
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,21 +15,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+# Up to this many wanted keys are named in the filter itself.
+NAMED_KEYS = 1_000
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for this application's intermediate tables."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for this application's intermediate tables, below the shared
+    folder of the session (``spark.checkpoint.dir``, or the context's
+    checkpoint folder where that is set instead)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = os.path.join(tempfile.gettempdir(), "spark-checkpoints")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{shared.rstrip('/')}/coratings/{spark.conf.get('spark.app.id')}"
 
 
-def stored(df: DataFrame, compact: bool = True) -> DataFrame:
-    """Write ``df`` once and return the written table.
+def stored(df: DataFrame, compact: bool = False) -> DataFrame:
+    """Write ``df`` once, in a job of its own, and return the written table.
 
-    ``compact`` lets AQE merge the output into few files; leave it off where
-    the partitioning of ``df`` must stay as it is.
+    Partitions behind a shuffle are merged by AQE as they are. ``compact`` is
+    for results without one, such as a narrow filter of a wide scan: it adds a
+    shuffle that merges them into few files.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
@@ -39,6 +42,20 @@ def stored(df: DataFrame, compact: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> int:
+    """Remove the intermediate tables that ``frames`` read, once their results
+    are written; returns how many. The frames cannot be used any more."""
+    folders = set()
+    for df in frames:
+        root = scratch_root(df.sparkSession).split(":")[-1].lstrip("/")
+        folders |= {f.rsplit("/", 1)[0] for f in df.inputFiles() if root in f}
+    for folder in folders:
+        spark = frames[0].sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """True if ``df`` is small enough to broadcast. Counts ``df``: give it a
     stored table (a count of footers) or a frame that is cheap to compute."""
@@ -54,10 +71,11 @@ def sized(df: DataFrame) -> DataFrame:
 def among(ratings: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``ratings`` whose ``on`` occurs in ``keys``.
 
-    A semi join on a grouping key moves below the aggregate that keeps the
-    latest rating, so the shuffle there carries only the rows that matter. The
-    range of the keys goes along as a filter: on ratings laid out by user it
-    lets the scan skip all files and row groups of other users.
+    A few keys are named in the filter, so that the scan skips all files and
+    row groups without them. Beyond, a semi join on a grouping key moves below
+    the aggregate that keeps the latest rating, so the shuffle there carries
+    only the rows that matter, and the range of the keys goes to the scan.
+    Runs a job: ``keys`` is counted.
     """
     return _among(ratings, keys, on)[0]
 
@@ -78,6 +96,9 @@ def join_small(ratings: DataFrame, side: DataFrame, on: str) -> DataFrame:
 def _among(ratings: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, bool]:
     rows, low, high = keys.agg(F.count("*"), F.min(on), F.max(on)).first()
     fits = rows <= BROADCAST_ROWS
+    if rows <= NAMED_KEYS:
+        named = [r[0] for r in keys.select(on).distinct().collect()]
+        return ratings.where(F.col(on).isin(named)), fits
     side = F.broadcast(keys.select(on)) if fits else keys.select(on)
     in_range = ratings.where(F.col(on).between(F.lit(low), F.lit(high)))
     return in_range.join(side, on, "left_semi"), fits

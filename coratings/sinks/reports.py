@@ -6,10 +6,13 @@ lines; the totals are tables of their own (``totals``, ``rows_per_neighbor``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coratings.functions.text import ten_decimals
 from coratings.operators.ratings import users
+from coratings.plans.staging import stored
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -34,6 +37,27 @@ def write_metric_table(df: DataFrame, path: str, metric: str) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/metric={metric}")
 
 
+def write_metric_tables(df: DataFrame, path: str, metrics: Sequence[str]) -> None:
+    """A result of several metrics, told apart by its column ``metric``: the
+    folders of all of ``metrics`` are replaced, also of one without rows."""
+    df = stored(df)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric").parquet(path)
+    present = {r.metric for r in df.select("metric").distinct().collect()}
+    for metric in metrics:
+        if metric not in present:
+            write_metric_table(df.drop("metric").limit(0), path, metric)
+
+
+def neighbor_lines(neighbors: DataFrame) -> DataFrame:
+    """``id value flag`` of every neighbour, like ``distance_lines``."""
+    return distance_lines(neighbors.withColumnRenamed("neighbor_id", "user_id"))
+
+
+def rated_lines(rows: DataFrame) -> DataFrame:
+    """``movie rating`` per row of ``neighbor_ratings`` or ``recommend``, ten decimals."""
+    return rows.select(F.concat_ws(" ", F.col("movie_id"), ten_decimals(F.col("rating"))).alias("line"))
+
+
 def distance_lines(distances: DataFrame) -> DataFrame:
     """``id value flag`` per row, ten decimals, flag 1 or 0."""
     flag = F.col("intersects").cast("int")

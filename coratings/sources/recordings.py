@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coratings.sources.tables import read_lines
+
 CATALOG_SCHEMA = "path STRING, fps DOUBLE, total_frames BIGINT"
+CATALOG_COLUMNS = ("path", "fps", "total_frames")
 
 
 def read_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path, fps, total_frames`` from CSV, one line per recording."""
-    return spark.read.schema(CATALOG_SCHEMA).csv(path, header=True)
+    """``path, fps, total_frames`` from CSV, one line per recording, with the
+    lines that do not fit: ``accepted`` and ``rejected`` part the two, given
+    ``CATALOG_COLUMNS``."""
+    return read_lines(spark, path, CATALOG_SCHEMA)
 
 
 def list_recordings(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -19,7 +19,8 @@ MOVIES_SCHEMA = "movie_id BIGINT, title STRING, genres STRING"
 NAMES_SCHEMA = "Name STRING, Role STRING"
 
 
-def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Every line of CSV files, with ``load_order`` and, where it does not fit, ``_corrupt_record``."""
     # Without column pruning a line is judged by all its fields, whichever of
     # them a query goes on to use.
     return (
@@ -41,20 +42,20 @@ def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame
 def read_ratings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``user_id, movie_id, rating, ts`` with ``load_order``, the position of
     the line in its file, as an order for ``latest_ratings``."""
-    return _lines(spark, path, RATINGS_SCHEMA)
+    return read_lines(spark, path, RATINGS_SCHEMA)
 
 
 def read_movies(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``movie_id, title, genres`` with genres as an array; quoted titles may
     hold commas."""
-    return _lines(spark, path, MOVIES_SCHEMA).withColumn(
+    return read_lines(spark, path, MOVIES_SCHEMA).withColumn(
         "genres", split_genres(F.col("genres"))
     )
 
 
 def read_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``Name, Role``."""
-    return _lines(spark, path, NAMES_SCHEMA)
+    return read_lines(spark, path, NAMES_SCHEMA)
 
 
 def accepted(lines: DataFrame, *required: str) -> DataFrame:

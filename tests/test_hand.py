@@ -138,7 +138,7 @@ def test_knn(spark, ratings):
 
 def test_knn_beyond_the_window(spark, ratings, monkeypatch):
     everybody = nearest(spark, ratings, 100)
-    monkeypatch.setattr("coratings.operators.neighbors.WINDOW_K", 1)
+    monkeypatch.setattr("coratings.operators.neighbors.window_k", lambda spark: 1)
     monkeypatch.setattr("coratings.operators.numbering.HOT_ROWS", 2)
     assert nearest(spark, ratings, 100) == everybody
     assert nearest(spark, ratings, 3) == everybody[:3]

@@ -66,23 +66,42 @@ def logical(df):
 
 
 def test_stored_tables_are_compact(spark, hot_movie):
-    one = co.stored(hot_movie.repartition(40).where("user_id = 7"))
+    one = co.stored(hot_movie.repartition(40).where("user_id = 7"), compact=True)
     assert len(one.inputFiles()) == 1
     assert one.schema == hot_movie.schema
 
 
-def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
-    class Conf:
-        @staticmethod
-        def get(key, default=None):
-            return {"spark.master": "yarn", "spark.app.id": "app"}.get(key, default)
+def test_session_without_shared_folder_is_refused():
+    class Context:
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
 
     class Session:
-        conf = Conf
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.app.id": "app"}.get(key, default)
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.scratch_root(Session)
-    monkeypatch.setattr(
-        Conf, "get", staticmethod(lambda k, d=None: {"spark.master": "local[2]"}.get(k, d))
-    )
-    assert "coratings" in staging.scratch_root(Session)
+    Context.folder = "file:/shared"
+    assert staging.scratch_root(Session) == "file:/shared/coratings/app"
+
+
+def test_release_removes_the_tables_a_frame_reads(spark):
+    kept, gone = co.stored(spark.range(5)), co.stored(spark.range(7))
+    joined = gone.join(spark.range(3), "id")
+    assert co.release(joined) == 1
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist|FILE_NOT_EXIST"):
+        spark.read.schema("id long").parquet(*gone.inputFiles()).count()
+
+
+def test_hot_targets_below_min_common_are_left_out(spark, hot_movie):
+    targets = ids(spark, *range(20))
+    want = sorted(map(tuple, co.distances(hot_movie, targets, "cosine", 1).where("n_common >= 3").collect()))
+    assert sorted(map(tuple, co.distances(hot_movie, targets, "cosine", 3).collect())) == want

@@ -169,3 +169,15 @@ def test_neighborhood_tables(spark, tmp_path):
     co.write_neighborhood(nobody, out, "cosine")
     again = spark.read.parquet(f"{out}/neighbors")
     assert [r.metric for r in again.select("metric").distinct().collect()] == ["euclidean"]
+
+    # Several metrics at once give the same tables.
+    several = str(tmp_path / "several")
+    result = co.neighborhood(ratings, targets, ["euclidean", "cosine"], 3, 1, 3.0)
+    co.write_neighborhood(result, several, ["euclidean", "cosine"], release_after=True)
+    for name in ("recommendations", "recommendation_counts", "rating_counts"):
+        one, two = (spark.read.parquet(f"{x}/{name}").where("metric = 'euclidean'") for x in (out, several))
+        assert sorted(map(tuple, one.select(*sorted(one.columns)).collect())) == sorted(map(tuple, two.select(*sorted(two.columns)).collect()))
+    nobody = co.neighborhood(ratings, targets, ["euclidean"], 3, 100, 3.0)
+    co.write_neighborhood(nobody, several, ["euclidean"])
+    again = spark.read.parquet(f"{several}/neighbors")
+    assert [r.metric for r in again.select("metric").distinct().collect()] == ["cosine"]

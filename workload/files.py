@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import coratings as co
 from coratings.plans.staging import scratch_root
 from coratings.sinks import reports
-from coratings.sources.recordings import read_catalog
+from coratings.sources.recordings import CATALOG_COLUMNS, read_catalog
 from coratings.sources.tables import accepted, read_movies, read_names, read_ratings, rejected
 from workload import neighbors as n
 from workload import views as v
@@ -71,8 +71,38 @@ def _names_from_csv(s: SparkSession, d: str) -> DataFrame:
     return co.count_uppercase(accepted(read_names(s, _csv(people))), "Name", by="Role")
 
 
+def _movies_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Every part twice in one file, the second time under another title."""
+    part = v.table(s, d, "part").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), "*")
+    lines = part.orderBy("n", "p_partkey").select(
+        F.col("p_partkey").alias("movieId"),
+        F.when(F.col("n") == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(", again"))).alias("title"),
+        F.concat_ws("|", "p_brand", "p_type").alias("genres"),
+    )
+    movies = co.latest_movies(accepted(read_movies(s, _csv(lines))), "load_order")
+    return movies.select("movie_id", "title", F.concat_ws("/", "genres").alias("genres"))
+
+
+def _catalog_csv(s: SparkSession, d: str) -> str:
+    """Recordings as lines; of some the rate or the frame count is no number."""
+    key = F.col("video_id")
+    return _csv(
+        v.videos(s, d).select(
+            "path",
+            F.when(key % 11 == 0, F.lit("thirty")).otherwise(F.col("fps").cast("string")).alias("fps"),
+            F.when(key % 7 == 0, F.lit("abc")).when(key % 5 == 0, F.lit(None)).otherwise(F.col("total_frames").cast("string")).alias("total_frames"),
+        )
+    )
+
+
+def _catalog_rejects(s: SparkSession, d: str) -> DataFrame:
+    lines = rejected(read_catalog(s, _catalog_csv(s, d)), *CATALOG_COLUMNS)
+    return lines.groupBy("path").agg(F.count("*").alias("n_rejected"))
+
+
 def _catalog_from_csv(s: SparkSession, d: str) -> DataFrame:
-    return read_catalog(s, _csv(v.videos(s, d).select("path", "fps", "total_frames")))
+    lines = accepted(read_catalog(s, _catalog_csv(s, d)), *CATALOG_COLUMNS)
+    return lines.select(*CATALOG_COLUMNS)
 
 
 def _lines(s: SparkSession, write, *args) -> DataFrame:
@@ -93,14 +123,26 @@ def _common_report(s: SparkSession, d: str) -> DataFrame:
 
 def _neighborhood_tables(s: SparkSession, d: str, name: str) -> DataFrame:
     path = _folder(s)
-    ratings = co.stored(v.dense(s, d))
     targets = s.createDataFrame([(t,) for t in n.BATCH], "user_id BIGINT")
-    for metric in ("euclidean", "cosine"):
-        result = co.neighborhood(ratings, targets, metric, 5, 1, n.MIN_RATING)
-        co.write_neighborhood(result, path, metric)
+    result = co.neighborhood(v.dense(s, d), targets, list(n.MEASURES), 5, 1, n.MIN_RATING)
+    co.write_neighborhood(result, path, list(n.MEASURES), release_after=True)
     return s.read.parquet(f"{path}/{name}")
 
 
+def _report_overwritten(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    reports.write_users(v.sparse(s, d), path)
+    reports.write_users(v.dense(s, d), path)
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
+def _neighborhood_lines(s: SparkSession, d: str) -> DataFrame:
+    """The text views of neighbours and recommendations, one after the other."""
+    targets = s.createDataFrame([(n.DENSE_TARGET,)], "user_id BIGINT")
+    result = co.neighborhood(v.dense(s, d), targets, "cosine", 5, 1, n.MIN_RATING)
+    return reports.neighbor_lines(result.neighbors).union(reports.rated_lines(result.recommendations))
+
+
 QUERIES = {
     "ratings_from_csv": lambda s, d: co.latest_ratings(
         accepted(_read_ratings(s, d), *_REQUIRED), "load_order"
@@ -109,7 +151,9 @@ QUERIES = {
     .groupBy("user_id")
     .agg(F.count("*").alias("n_rejected")),
     "movies_from_csv": _movies_from_csv,
+    "movies_upsert": _movies_upsert,
     "names_from_csv": _names_from_csv,
+    "catalog_rejects": _catalog_rejects,
     "catalog_from_csv": _catalog_from_csv,
     "users_report": lambda s, d: _lines(s, reports.write_users, v.dense(s, d)),
     "movies_report": lambda s, d: _lines(s, reports.write_movies, v.movies(s, d)),
@@ -117,13 +161,16 @@ QUERIES = {
     "common_movies_report": _common_report,
     "neighbors_table": lambda s, d: _neighborhood_tables(s, d, "neighbors"),
     "recommendations_table": lambda s, d: _neighborhood_tables(s, d, "recommendations"),
+    "neighbor_ratings_table": lambda s, d: _neighborhood_tables(s, d, "ratings"),
+    "neighborhood_lines": _neighborhood_lines,
+    "report_overwritten": _report_overwritten,
 }
 
 
-def _both_metrics(select: str) -> str:
+def _all_metrics(select: str) -> str:
     return " UNION ALL ".join(
         f"SELECT * FROM ({n.recs_sql(n.knn_sql(v.DENSE, n.BATCH, m, 5, 1))} {select.format(m)})"
-        for m in ("euclidean", "cosine")
+        for m in n.MEASURES
     )
 
 
@@ -138,7 +185,17 @@ ORACLES = {
          p_brand || '/' || p_type AS genres FROM part""",
     "names_from_csv": """SELECT lower(c_mktsegment) AS "Role",
          count(*) FILTER (regexp_matches(c_name, '[A-Z]')) AS n_uppercase FROM customer GROUP BY 1""",
-    "catalog_from_csv": f"SELECT path, fps, total_frames FROM ({v.VIDEOS})",
+    "movies_upsert": """SELECT p_partkey AS movie_id, p_name || ', again' AS title,
+         p_brand || '/' || p_type AS genres FROM part""",
+    "catalog_from_csv": f"""SELECT path, fps, total_frames FROM ({v.VIDEOS})
+  WHERE video_id % 11 <> 0 AND video_id % 7 <> 0 AND video_id % 5 <> 0""",
+    "catalog_rejects": f"""SELECT path, count(*) AS n_rejected FROM ({v.VIDEOS})
+  WHERE video_id % 11 = 0 OR video_id % 7 = 0 OR video_id % 5 = 0 GROUP BY 1""",
+    "report_overwritten": "SELECT DISTINCT l_suppkey::VARCHAR AS line FROM lineitem",
+    "neighborhood_lines": f"""{n.recs_sql(n.knn_sql(v.DENSE, [n.DENSE_TARGET], 'cosine', 5, 1))}
+  SELECT neighbor_id || ' ' || printf('%.10f', value) || ' ' || intersects::INTEGER AS line FROM nn
+  UNION ALL SELECT movie_id || ' ' || printf('%.10f', rating) FROM recs""",
+    "neighbor_ratings_table": _all_metrics("SELECT nr.*, '{0}' AS metric FROM nr"),
     "users_report": "SELECT DISTINCT l_suppkey::VARCHAR AS line FROM lineitem",
     "movies_report": "SELECT p_partkey || ' ' || p_name AS line FROM part",
     "distances_report": f"""{n.distances_sql(v.SPARSE, [n.SPARSE_TARGET], 'euclidean', 1)}
@@ -146,9 +203,9 @@ ORACLES = {
     "common_movies_report": f"""WITH r AS ({v.DENSE})
   SELECT a.movie_id::VARCHAR AS line FROM r a JOIN r b ON a.movie_id = b.movie_id
   WHERE a.user_id = 1 AND b.user_id = 2""",
-    "neighbors_table": _both_metrics(
+    "neighbors_table": _all_metrics(
         """SELECT target_id, neighbor_id, neighbor_rank, value, intersects, n_common,
   '{0}' AS metric FROM nn"""
     ),
-    "recommendations_table": _both_metrics("SELECT recs.*, '{0}' AS metric FROM recs"),
+    "recommendations_table": _all_metrics("SELECT recs.*, '{0}' AS metric FROM recs"),
 }

@@ -51,14 +51,20 @@ QUERIES = {
     "sampling_rejects": lambda s, d: co.rejected_videos(_named_recordings(s, d), 0.04).select(
         *_BY, "reason"
     ),
-    "frames_per_video": lambda s, d: co.frames_per_video(co.sampling_plan(v.videos(s, d), 1), ["video_id"]),
+    "frames_per_video": lambda s, d: co.frames_per_video(
+        co.sampling_plan(v.videos(s, d), 1), ["video_id"], whole_plan=True
+    ),
     "frame_collisions": lambda s, d: co.resolve_name_collisions(
-        co.sampling_plan(v.videos(s, d), 1), ["video_id"]
+        co.sampling_plan(v.videos(s, d), 1), ["video_id"], whole_plan=True
+    ),
+    "frame_collisions_grouped": lambda s, d: co.resolve_name_collisions(
+        co.sampling_plan(v.videos(s, d), 1).where("frame_idx % 3 = 0"), ["video_id"]
     ),
     "sample_every_nth": _sample(29),
     "sample_every_nth_split": _sample(7, hot_rows=70),
 }
 
+# The form of frame names here, the greeting and the reasons below.
 _PLAN = """WITH videos AS ({videos}),
   steps AS (SELECT *, trunc(fps * {interval})::BIGINT AS step FROM videos),
   idx AS (SELECT *, unnest(range(0, total_frames, step)) AS frame_idx FROM steps),
@@ -96,6 +102,8 @@ ORACLES = {
          count(DISTINCT frame_name) AS n_files FROM plan GROUP BY 1""",
     "frame_collisions": f"""{_PLAN_1} SELECT video_id, frame_name, max(frame_idx) AS frame_idx,
          count(*) AS n_frames FROM plan GROUP BY 1, 2""",
+    "frame_collisions_grouped": f"""{_PLAN_1} SELECT video_id, frame_name, max(frame_idx) AS frame_idx,
+         count(*) AS n_frames FROM plan WHERE frame_idx % 3 = 0 GROUP BY 1, 2""",
     "sample_every_nth": _EVERY.format(29),
     "sample_every_nth_split": _EVERY.format(7),
 }

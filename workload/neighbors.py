@@ -145,7 +145,13 @@ QUERIES = {
     "knn_pearson": _knn(v.dense, [DENSE_TARGET], "pearson", K, 15),
     "knn_sparse": _knn(v.sparse, [SPARSE_TARGET], "euclidean", K, 1),
     "knn_batch": _knn(v.dense, BATCH, "euclidean", 5, 1),
-    "knn_everybody": _knn(v.sparse, BATCH, "manhattan", 1_000_000_000, 1),
+    "knn_unbounded": _knn(v.sparse, BATCH, "manhattan", 1_000_000_000, 1),
+    "knn_wide": _knn(v.sparse, BATCH, "cosine", 2000, 1),
+    "knn_metrics": _knn(v.dense, BATCH, list(MEASURES), 5, 1),
+    **{
+        f"dist_{m}_ranked": lambda s, d, m=m: co.ranked(_distances(v.sparse, SPARSE_TARGET, m, 1)(s, d), m)
+        for m in MEASURES
+    },
     "neighbor_ratings": lambda s, d: co.neighbor_ratings(v.dense(s, d), _nearest(s, d)),
     "neighbor_rating_counts": lambda s, d: _report(s, d).rating_counts,
     "recommend": lambda s, d: co.recommend(v.dense(s, d), _nearest(s, d), MIN_RATING),
@@ -236,7 +242,17 @@ ORACLES = {
     "knn_pearson": f"{knn_sql(v.DENSE, [DENSE_TARGET], 'pearson', K, 15)} {_NN}",
     "knn_sparse": f"{knn_sql(v.SPARSE, [SPARSE_TARGET], 'euclidean', K, 1)} {_NN}",
     "knn_batch": f"{_NEAREST} {_NN}",
-    "knn_everybody": f"{knn_sql(v.SPARSE, BATCH, 'manhattan', 1_000_000_000, 1)} {_NN}",
+    "knn_unbounded": f"{knn_sql(v.SPARSE, BATCH, 'manhattan', 1_000_000_000, 1)} {_NN}",
+    "knn_wide": f"{knn_sql(v.SPARSE, BATCH, 'cosine', 2000, 1)} {_NN}",
+    "knn_metrics": " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, * FROM ({knn_sql(v.DENSE, BATCH, m, 5, 1)} {_NN})" for m in MEASURES
+    ),
+    **{
+        f"dist_{m}_ranked": f"""{distances_sql(v.SPARSE, [SPARSE_TARGET], m, 1)}
+  SELECT target_id, user_id, value, intersects, n_common,
+         row_number() OVER (ORDER BY value {'DESC' if m == 'cosine' else 'ASC'}, user_id) AS listing_rank FROM dist"""
+        for m in MEASURES
+    },
     "neighbor_ratings": f"{recs_sql(_NEAREST)} SELECT * FROM nr",
     "neighbor_rating_counts": f"{_RECS_SPARSE} {_COUNTS.format('nr')}",
     "recommend": f"{recs_sql(_NEAREST)} SELECT * FROM recs",

@@ -99,6 +99,7 @@ SPARSE = _RATED.format(
 )
 MOVIES = """
   SELECT p_partkey AS movie_id, p_name AS title, p_brand || '|' || p_type AS genres FROM part"""
+# Fixed value: the form of the names of recordings.
 VIDEOS = """
   SELECT o_orderkey AS video_id,
          '/v/' || strftime(o_orderdate, '%Y-%m-%d_%H-%M-%S') || '.mkv' AS path,

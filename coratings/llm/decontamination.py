@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from coratings.llm.staging import cut, sized, text_key
+from coratings.llm.staging import BROADCAST_TEXT_ROWS, cut, sized, text_key
 from coratings.llm.text import ALNUM, Words, pieces
 
 # Distinct benchmark words in one pass over the documents: 16 MB, sent to every task.
@@ -194,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
     marked = cut(hit_words.join(listed, "rid", "left").join(loosely, "rid", "full"))
     zero = F.lit(0).cast("long")
     n_hit, names = F.coalesce("n_hit", zero), F.coalesce("items", F.array().cast("array<string>"))
-    return documents.join(sized(marked), "rid", "left").select(
+    return documents.join(sized(marked, BROADCAST_TEXT_ROWS), "rid", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         F.coalesce("n_near", zero).alias("n_near"), "key_a", "key_b",

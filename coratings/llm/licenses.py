@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coratings.llm.staging import cut, sized, text_columns
+from coratings.llm.staging import BROADCAST_TEXT_ROWS, cut, sized, text_columns
 
 # Notices by which well-known licences are granted.
 KNOWN = (
@@ -93,7 +93,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     lines = text_columns(docs).select("doc_id", F.monotonically_increasing_id().alias("rid"), canonical_lines(F.col("text")).alias("lines"))
     hashed = lines.select("rid", "doc_id", digest(F.col("lines")).alias("text_digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("lines"))
     hashed = cut(hashed)
-    lookup = sized(cut(lookup))
+    lookup = sized(cut(lookup), BROADCAST_TEXT_ROWS)
     by_line = (
         hashed.select("rid", F.explode("lines").alias("digest"))
         .join(lookup, "digest")
@@ -106,7 +106,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return (
         hashed.drop("lines")
         .join(whole, "text_digest", "left")
-        .join(sized(cut(by_line)), "rid", "left")
+        .join(sized(cut(by_line), BROADCAST_TEXT_ROWS), "rid", "left")
         .select(
             "doc_id", "text_digest", "whole_license",
             F.array_join(F.array_sort(F.array_union(found, own)), ",").alias("licenses"),

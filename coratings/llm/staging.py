@@ -10,6 +10,8 @@ from coratings.plans.staging import scratch_root
 
 # Rows of a broadcast side are a few fixed-width columns here, at most 100 bytes.
 BROADCAST_ROWS = 1_000_000
+# Rows with a host or a path among their columns are wider.
+BROADCAST_TEXT_ROWS = 100_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,9 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A written, narrow ``df``, broadcast if it has at most BROADCAST_ROWS rows; else it is shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written, narrow ``df``, broadcast if it has at most ``most`` rows; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def text_columns(docs: DataFrame) -> DataFrame:

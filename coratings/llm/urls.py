@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coratings.llm.staging import cut, sized
+from coratings.llm.staging import BROADCAST_TEXT_ROWS, cut, sized
 
 ROUNDS = 20
 DAMPING = 0.85
@@ -26,7 +26,7 @@ def _ruled(places: DataFrame, rules: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = rules.select("action", "rule", F.substring_index("rule", "/", 1).alias("of"), F.expr("substring(rule, instr(rule, '/'))").alias("under"))
     return (
-        places.where("host <> ''").select("host", "path", F.explode(above).alias("of")).join(sized(cut(hosts)), "of")
+        places.where("host <> ''").select("host", "path", F.explode(above).alias("of")).join(sized(cut(hosts), BROADCAST_TEXT_ROWS), "of")
         .where(F.col("path").startswith(F.col("under")))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "action")).alias("best"))
@@ -84,7 +84,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: floa
     )
     table = spark.createDataFrame(rules, "action string, rule string")
     ruled = cut(_ruled(read.select("host", "path").distinct(), table))
-    judged = read.drop("links").join(sized(ruled), ["host", "path"], "left")
+    judged = read.drop("links").join(sized(ruled, BROADCAST_TEXT_ROWS), ["host", "path"], "left")
 
     counted = judged.groupBy("host", "action").agg(F.count("*").alias("n"))
     pages_of = counted.groupBy("host").agg(F.sum("n").alias("all"))
@@ -106,7 +106,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: floa
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     blocked = (distrust > 0) & (distrust >= (trust + distrust) * threshold)
     verdict = F.coalesce("action", F.when(blocked, "block").otherwise("allow"))
-    return judged.join(sized(by_host), "host", "left").select(
+    return judged.join(sized(by_host, BROADCAST_TEXT_ROWS), "host", "left").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )
 

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from coratings.llm.staging import cut, folder, sized
+from coratings.llm.staging import BROADCAST_TEXT_ROWS, cut, folder, sized
 
 ARCHIVE = 256 << 20  # bytes after which a task begins another archive
 READ = 8 << 20  # bytes read at once, a larger record excepted
@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, where: str, least: int = 0, date: str = DAT
         rows.where(size >= least).select("page_id", F.sha2("html", 256).alias("same"))
         .groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
     )
-    firsts = sized(cut(firsts))
+    firsts = sized(cut(firsts), BROADCAST_TEXT_ROWS)
     refers_to = F.when((size >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     joined = rows.withColumn("same", F.sha2("html", 256)).join(firsts, "same", "left").select("page_id", "url", "html", refers_to.alias("refers_to"))
     return cut(

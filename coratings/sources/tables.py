@@ -6,11 +6,16 @@ have ``_corrupt_record`` set: ``accepted`` and ``rejected`` part the two.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coratings.functions.text import split_genres
+from coratings.plans.staging import sized
 
 CORRUPT = "_corrupt_record"
+# The listing and the scan write the slashes after a scheme differently.
+SLASHES = (r"^(\w+):/+", r"\1:/")
 
 # Column order of the three files. A reader skips the header
 # line of each file without looking at it.
@@ -20,28 +25,43 @@ NAMES_SCHEMA = "Name STRING, Role STRING"
 
 
 def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Every line of CSV files, with ``load_order`` and, where it does not fit, ``_corrupt_record``."""
+    """Every line of CSV files, with ``load_order`` and, where it does not fit,
+    ``_corrupt_record``.
+
+    ``load_order`` is one number of fixed width for a line's place in all files,
+    files by name: rank of the file, start of its block, line in the block. No
+    two lines share one, so it is a total order.
+    """
     # Without column pruning a line is judged by all its fields, whichever of
     # them a query goes on to use.
-    return (
+    lines = (
         spark.read.schema(f"{schema}, {CORRUPT} STRING")
         .options(header=True, enforceSchema=True, mode="PERMISSIVE", quote='"', escape='"')
         .options(columnNameOfCorruptRecord=CORRUPT, columnPruning=False)
         .csv(path)
-        .withColumn(
-            "load_order",
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("line"),
-            ),
-        )
     )
+    # The driver has listed the files to plan the scan.
+    files = sorted({re.sub(*SLASHES, f) for f in lines.inputFiles()})
+    ranks = list(enumerate(files))
+    ranks = sized(spark.createDataFrame(ranks, "_rank BIGINT, _file STRING"))
+    placed = lines.withColumns(
+        {
+            "_path": F.regexp_replace("_metadata.file_path", SLASHES[0], SLASHES[1].replace("\\", "$")),
+            "_block": F.col("_metadata.file_block_start"),
+            "_line": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
+        }
+    ).join(ranks, F.col("_path") == F.col("_file"), "left")
+    wide = "DECIMAL(38,0)"
+    rank = F.coalesce("_rank", F.raise_error(F.lit("a file that was not listed")).cast("bigint"))
+    order = rank.cast("DECIMAL(9,0)") * F.lit("1" + "0" * 29).cast("DECIMAL(30,0)").cast(wide)
+    order = order.cast(wide) + (F.col("_block").cast("DECIMAL(19,0)") * F.lit(10**10).cast("DECIMAL(11,0)")).cast(wide)
+    order = order.cast(wide) + F.col("_line").cast(wide)
+    return placed.select(*lines.columns, order.cast(wide).alias("load_order"))
 
 
 def read_ratings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``user_id, movie_id, rating, ts`` with ``load_order``, the position of
-    the line in its file, as an order for ``latest_ratings``."""
+    the line in its files, as a total order for ``latest_ratings``."""
     return read_lines(spark, path, RATINGS_SCHEMA)
 
 

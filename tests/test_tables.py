@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import coratings as co
+from oracle import plan_of
 from coratings.sinks import reports
 from coratings.sources.recordings import list_recordings, read_catalog
 from coratings.sources.tables import accepted, read_movies, read_names, read_ratings, rejected
@@ -39,7 +40,8 @@ def test_ratings(spark, write):
     assert sorted(r._corrupt_record for r in bad.collect()) == ["1,20", "2,10,bad,7", "x,10,3.0,1"]
     assert good.select("user_id").count() == 4
     assert good.select("user_id").distinct().count() == 2
-    latest = co.latest_ratings(good, "load_order")
+    latest = co.latest_ratings(good, "load_order", total_order=True)
+    assert "SortAggregate" not in plan_of(latest)
     assert sorted(map(tuple, latest.collect())) == [(1, 10, 2.5), (1, 20, 5.0), (2, 30, 3.0)]
 
 
@@ -50,13 +52,21 @@ def test_file_order_decides_across_blocks(spark, write):
     try:
         lines = read_ratings(spark, path)
         assert lines.rdd.getNumPartitions() > 4
-        latest = co.latest_ratings(accepted(lines), "load_order").collect()
+        latest = co.latest_ratings(accepted(lines), "load_order", total_order=True).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     last = {(i % 7, i % 5): i % 10 / 2 for i in range(3000)}
     assert {(r.user_id, r.movie_id): r.rating for r in latest} == last
 
 
+def test_files_by_name(spark, write, tmp_path):
+    for name, rating in (("b.csv", 2.0), ("a.csv", 1.0), ("c d.csv", 3.0)):
+        write(f"many/{name}", f"userId,movieId,rating,timestamp\n1,1,{rating},0\n")
+    lines = accepted(read_ratings(spark, str(tmp_path / "many")))
+    assert [r.rating for r in lines.orderBy("load_order").collect()] == [1.0, 2.0, 3.0]
+    assert co.latest_ratings(lines, "load_order", total_order=True).collect()[0].rating == 3.0
+
+
 def test_timestamp_as_order(spark, write):
     lines = read_ratings(spark, write("ratings.csv", RATINGS))
     latest = co.latest_ratings(accepted(lines), [F.expr("try_cast(ts AS BIGINT)")])

@@ -145,7 +145,7 @@ def _neighborhood_lines(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "ratings_from_csv": lambda s, d: co.latest_ratings(
-        accepted(_read_ratings(s, d), *_REQUIRED), "load_order"
+        accepted(_read_ratings(s, d), *_REQUIRED), "load_order", total_order=True
     ),
     "ratings_rejects": lambda s, d: rejected(_read_ratings(s, d), *_REQUIRED)
     .groupBy("user_id")

@@ -108,15 +108,8 @@ def _enough(both, left, right, percent: int):
     return both * 100 >= (left + right - both) * percent
 
 
-def _find(parent: dict, x: int) -> int:
-    while parent.setdefault(x, x) != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def _block_edges(percent: int):
-    """Links between the probes and targets of a block, thinned to a spanning forest by union-find."""
+    """Groups that the links between the probes and targets of a block make, as edges to their least member."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         probe, target = block[block.probe], block[~block.probe]
@@ -138,14 +131,17 @@ def _block_edges(percent: int):
                 m[i[here], c[here] - low] = 1
             both += a @ b.T
         linked = _enough(both.astype(np.int64), n[:, None], n2[None, :], percent)
-        parent: dict = {}
-        edges = []
-        for i, j in zip(*np.nonzero(linked & (ids[:, None] != ids2[None, :])), strict=True):
-            a, b = _find(parent, int(ids[i])), _find(parent, int(ids2[j]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        linked &= ids[:, None] != ids2[None, :]
+        # Union-find with flat roots: a probe and its targets get the least of their roots.
+        nodes = np.unique(np.concatenate([ids, ids2]))
+        root = np.arange(len(nodes))
+        own, other = np.searchsorted(nodes, ids), np.searchsorted(nodes, ids2)
+        for i in np.flatnonzero(linked.any(axis=1)):
+            roots = np.unique(root[np.append(other[linked[i]], own[i])])
+            if len(roots) > 1:
+                root[np.isin(root, roots)] = roots[0]
+        joined = np.flatnonzero(root != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[root[joined]], "b": nodes[joined]}, dtype="int64")
 
     return run
 

@@ -27,15 +27,15 @@ def labelled_sample(labels: DataFrame, label: str, held_out: Column, per_class:
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton steps with a weak prior on both."""
+    """Intercept and slope by short Newton steps, with a weak prior on both that holds them where the classes part clean."""
     design = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(2)
-    for _ in range(50):
+    for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (weight * (y - p)) - 0.01 * beta
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
+        gradient = design.T @ (weight * (y - p)) - 0.1 * beta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -5, 5)
+        beta += np.clip(step, -np.array([1.0, 0.2]), np.array([1.0, 0.2]))
         if np.abs(step).max() < 1e-9:
             break
     return float(beta[0]), float(beta[1])

@@ -17,6 +17,7 @@ PER_CLASS = 5000  # labelled documents of each class that are learned from
 PREFIXES = (3, 4, 5, 6)  # bytes; a rare word is judged by its longest known prefix
 LEAST = 3  # documents a feature must be in
 PRIOR = 5.0  # weight of the Dirichlet prior, in documents
+CERTAIN = 40.0  # evidence is cut here
 DRIFT = 1.0  # taken off every token, so that ordinary text scores below 0
 
 
@@ -33,29 +34,44 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high, data, offsets in pieces(batch):
             words = Words(data, offsets, ALNUM)
             kind = batch.column(1).to_numpy(zero_copy_only=False)[low:high].astype(np.int64)
-            got = []
-            for level in _features(words):
+            got, above = [], np.zeros(len(words.row), np.uint64)
+            for depth, level in enumerate(_features(words)):
                 order = np.lexsort((level, words.row))
                 value, row = level[order], words.row[order]
                 new = np.ones(len(value), bool)
                 new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-                value, which = np.unique(value[new], return_inverse=True)
-                of = kind[row[new]]
-                got.append((value, *[np.bincount(which[of == k], minlength=len(value)) for k in range(4)]))
-            value, *counts = (np.concatenate(x) for x in zip(*got, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), *[pa.array(c, pa.int64()) for c in counts]], ["feature", *_KINDS])
+                of, up = kind[row[new]], above[order][new]
+                value, first, which = np.unique(value[new], return_index=True, return_inverse=True)
+                got.append((value, up[first], np.full(len(value), depth), *[np.bincount(which[of == k], minlength=len(value)) for k in range(4)]))
+                above = level
+            value, up, depth, *counts = (np.concatenate(x) for x in zip(*got, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value.view(np.int64)), pa.array(up.view(np.int64)), pa.array(depth, pa.int64()), *[pa.array(c, pa.int64()) for c in counts]],
+                ["feature", "above", "depth", *_KINDS],
+            )
 
 
 _KINDS = ("good_0", "bad_0", "good_1", "bad_1")  # label, then half of the sample
 
 
-def _log_odds(features: np.ndarray, good: np.ndarray, bad: np.ndarray, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted features and the log-odds of label 1, against those of the sample, with a Dirichlet prior."""
+def _log_odds(table: dict[str, np.ndarray], good: np.ndarray, bad: np.ndarray, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features and the log-odds of label 1, against those of the sample.
+
+    The Dirichlet prior of a prefix or word is what the next shorter prefix
+    gives, and that of the shortest the share in the sample, so that a rare
+    form of a telling stem tells as much as the stem.
+    """
     base = (sizes[1] + 1e-9) / (sum(sizes) + 2e-9)
-    odds = np.log((bad + PRIOR * base) / (good + PRIOR * (1 - base))) - math.log(base / (1 - base))
-    enough = np.flatnonzero(bad + good >= LEAST)
-    order = enough[np.argsort(features[enough])]
-    return features[order], odds[order]
+    order = np.argsort(table["feature"])
+    feature, above, depth, good, bad = (x[order] for x in (table["feature"], table["above"], table["depth"], good, bad))
+    share = np.full(len(feature), base)
+    for level in range(len(PREFIXES) + 1):
+        at = np.flatnonzero(depth == level)
+        prior = share[np.minimum(np.searchsorted(feature, above[at]), len(feature) - 1)] if level else np.full(len(at), base)
+        share[at] = (bad[at] + PRIOR * prior) / (bad[at] + good[at] + PRIOR)
+    odds = np.log(share / (1 - share)) - math.log(base / (1 - base))
+    enough = bad + good >= LEAST
+    return feature[enough], odds[enough]
 
 
 class Segments:
@@ -65,8 +81,11 @@ class Segments:
         self.features, self.scores = features, scores
 
     def words(self, words: Words) -> np.ndarray:
-        """Log-odds of each word's most specific known feature, less DRIFT."""
+        """Log-odds of each word's most specific known feature, less DRIFT; no gain from a word the document has had."""
         levels = _features(words)
+        order = np.lexsort((np.arange(len(words.row)), levels[-1], words.row))
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (levels[-1][order][1:] == levels[-1][order][:-1]) & (words.row[order][1:] == words.row[order][:-1])
         _, first, which = np.unique(levels[-1], return_index=True, return_inverse=True)
         score = np.full(len(first), -DRIFT)
         for level in levels:
@@ -74,7 +93,8 @@ class Segments:
             hit = np.flatnonzero(at < len(self.features))
             hit = hit[self.features[at[hit]] == level[first][hit]]
             score[hit] = self.scores[at[hit]] - DRIFT
-        return score[which]
+        score = score[which]
+        return np.where(again, np.minimum(score, 0), score)
 
     def of_piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Words per document, and its segments (first word, word after the last, score)."""
@@ -129,8 +149,12 @@ class Calibration:
         for r, score in enumerate(sorted(scores, reverse=True), 1):
             mean = max(self.expected(score, n_words), 1e-300)
             # Chance of r or more such segments, at most mean^r / r!, times the choices of r.
-            best = max(best, -(r * math.log(mean) - math.lgamma(r + 1)) - math.log(r) if mean < r else 0.0)
-        return min(best, 200.0)
+            # Segments that are common anyway vary too much from text to text to be counted.
+            if mean >= 1:
+                break
+            best = max(best, -(r * math.log(mean) - math.lgamma(r + 1)) - math.log(r))
+        # Beyond this nothing is left to tell, and a mislabelled text must not tilt the fit.
+        return min(best, CERTAIN)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * evidence))))
@@ -167,8 +191,11 @@ def _calibrate(rows: list, counts: dict[int, int]) -> tuple[float, ...]:
     clean = [r for r in rows if r["label"] == 0]
     scores = np.array([p["score"] for r in clean for p in r["passages"]])
     words = max(1, sum(r["n_words"] for r in clean))
-    scale = 1 / max(0.1, scores.mean()) if len(scores) else 1.0
-    calibration = Calibration(max(1, len(scores)) / words, scale, 0.0, 1.0)
+    # The tail falls tenfold between these quantiles; a few mislabelled texts do not move them.
+    low, high = np.quantile(scores, [0.9, 0.99]) if len(scores) else (0.0, 1.0)
+    scale = math.log(10) / max(0.1, high - low)
+    rate = max(1, len(scores)) / 10 / words * math.exp(scale * low)
+    calibration = Calibration(rate, scale, 0.0, 1.0)
     x = np.array([calibration.evidence([p["score"] for p in r["passages"]], r["n_words"]) for r in rows])
     y = np.array([r["label"] for r in rows], float)
     share = {c: counts.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
@@ -203,15 +230,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold:
     for r in kinds.groupBy("kind").count().collect():
         sizes[r["kind"]] = r["count"]
     counted = (
-        kinds.mapInArrow(_counter, "feature long, " + ", ".join(f"{k} long" for k in _KINDS))
-        .groupBy("feature").agg(*[F.sum(k).alias(k) for k in _KINDS]).where(" + ".join(_KINDS) + f" >= {LEAST}")
+        kinds.mapInArrow(_counter, "feature long, above long, depth long, " + ", ".join(f"{k} long" for k in _KINDS))
+        .groupBy("feature").agg(F.min("above").alias("above"), F.min("depth").alias("depth"), *[F.sum(k).alias(k) for k in _KINDS]).where(" + ".join(_KINDS) + f" >= {LEAST}")
     )
     # A bounded number of documents has a bounded number of features that LEAST of them share.
     table = counted.toArrow()
-    features = table.column("feature").to_numpy().view(np.uint64)
+    known = {k: table.column(k).to_numpy() for k in ("feature", "above", "depth")}
+    known |= {k: known[k].view(np.uint64) for k in ("feature", "above")}
     n = [table.column(k).to_numpy().astype(float) for k in _KINDS]
-    halves = [_log_odds(features, n[2 * h], n[2 * h + 1], (sizes[2 * h], sizes[2 * h + 1])) for h in (0, 1)]
-    arrays = _log_odds(features, n[0] + n[2], n[1] + n[3], (sizes[0] + sizes[2], sizes[1] + sizes[3]))
+    halves = [_log_odds(known, n[2 * h], n[2 * h + 1], (sizes[2 * h], sizes[2 * h + 1])) for h in (0, 1)]
+    arrays = _log_odds(known, n[0] + n[2], n[1] + n[3], (sizes[0] + sizes[2], sizes[1] + sizes[3]))
 
     # Each half is scored by what the other half taught.
     tuned = []

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coratings.plans.staging import among, sized, stored
+from coratings.plans.staging import among, fits_broadcast, stored
 
 
 def latest_ratings(
@@ -72,16 +72,19 @@ def lookup_ratings(ratings: DataFrame, requests: DataFrame) -> DataFrame:
     into one row per user, which says that the user is known. Runs jobs.
     """
     wanted = stored(requests.select("user_id", "movie_id").distinct())
+    # Answers are at most twice as many as what is wanted, so one count bounds
+    # all of these sides.
+    small = F.broadcast if fits_broadcast(wanted) else (lambda side: side)
     theirs = among(ratings, wanted, "user_id")
-    asked = sized(wanted.withColumn("asked", F.lit(True)))
+    asked = small(wanted.withColumn("asked", F.lit(True)))
     seen = theirs.join(asked, ["user_id", "movie_id"], "left")
     movie = F.when(F.col("asked"), F.col("movie_id"))
     answers = stored(
         seen.groupBy("user_id", movie.alias("movie_id"))
         .agg(F.max(F.when(F.col("asked"), F.col("rating"))).alias("rating"))
     )
-    hits = sized(answers.where("movie_id IS NOT NULL").withColumn("hit", F.lit(True)))
-    known = sized(answers.select("user_id").distinct().withColumn("known", F.lit(True)))
+    hits = small(answers.where("movie_id IS NOT NULL").withColumn("hit", F.lit(True)))
+    known = small(answers.select("user_id").distinct().withColumn("known", F.lit(True)))
     status = (
         F.when(F.col("hit"), "found")
         .when(F.col("known"), "movie_not_found")

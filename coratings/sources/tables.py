@@ -11,7 +11,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coratings.functions.text import split_genres
-from coratings.plans.staging import sized
 
 CORRUPT = "_corrupt_record"
 # The listing and the scan write the slashes after a scheme differently.
@@ -42,8 +41,10 @@ def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     )
     # The driver has listed the files to plan the scan.
     files = sorted({re.sub(*SLASHES, f) for f in lines.inputFiles()})
+    if len(files) >= 1 << 18:
+        raise ValueError("more than 262,143 files in one load; load them in parts")
     ranks = list(enumerate(files))
-    ranks = sized(spark.createDataFrame(ranks, "_rank BIGINT, _file STRING"))
+    ranks = F.broadcast(spark.createDataFrame(ranks, "_rank BIGINT, _file STRING"))
     placed = lines.withColumns(
         {
             "_path": F.regexp_replace("_metadata.file_path", SLASHES[0], SLASHES[1].replace("\\", "$")),
@@ -51,12 +52,12 @@ def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
             "_line": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
         }
     ).join(ranks, F.col("_path") == F.col("_file"), "left")
-    wide = "DECIMAL(38,0)"
     rank = F.coalesce("_rank", F.raise_error(F.lit("a file that was not listed")).cast("bigint"))
-    order = rank.cast("DECIMAL(9,0)") * F.lit("1" + "0" * 29).cast("DECIMAL(30,0)").cast(wide)
-    order = order.cast(wide) + (F.col("_block").cast("DECIMAL(19,0)") * F.lit(10**10).cast("DECIMAL(11,0)")).cast(wide)
-    order = order.cast(wide) + F.col("_line").cast(wide)
-    return placed.select(*lines.columns, order.cast(wide).alias("load_order"))
+    # 18 bits of rank and 44 of a byte in a file are one long; a line counter
+    # is below ten thousand million.
+    block = rank * (1 << 44) + F.col("_block")
+    order = block.cast("DECIMAL(19,0)") * F.lit(10**10).cast("DECIMAL(11,0)") + F.col("_line")
+    return placed.select(*lines.columns, order.cast("DECIMAL(38,0)").alias("load_order"))
 
 
 def read_ratings(spark: SparkSession, path: str | list[str]) -> DataFrame:

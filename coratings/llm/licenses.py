@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coratings.llm.staging import BROADCAST_TEXT_ROWS, cut, sized, text_columns
@@ -26,6 +29,16 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
 )
 
+# Headings that short licences are given under; none is one of them.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+}
+# Long licences are also given without what follows their terms.
+ENDS = r"(?s)(.*END OF TERMS AND CONDITIONS)"
+
 # Spellings that mean the same.
 SPELLINGS = (
     ("licence", "license"),
@@ -70,8 +83,29 @@ def known_digests(known: DataFrame) -> DataFrame:
     return known.select("license", digest(canonical_lines(F.col("text"))).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of the whole licences in ``license_texts``, in the forms they are usually given in.
+
+    Those are: with or without a heading, "All rights reserved", numbers before
+    the clauses and the part after the terms; lines as filed or a line a
+    paragraph, because a line that starts with "copyright" is left out.
+    """
+    found = set()
+    for file in resources.files("coratings.llm").joinpath("license_texts").iterdir():
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        bodies = [text, *re.findall(ENDS, text)]
+        if name in TITLES:
+            bodies += [re.sub(r"(?m)^\d\. ", "", text)]
+            bodies += [f"All rights reserved.\n\n{body}" for body in bodies]
+            bodies += [f"{title}\n\n{body}" for title in TITLES[name] for body in bodies]
+        for body in bodies:
+            found |= {(name, body), (name, "\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", body)))}
+    return sorted(found)
+
+
 def built_in(spark) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license string, text string")
+    """Notices and whole licences."""
+    return spark.createDataFrame([*KNOWN, *full_texts()], "license string, text string")
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -116,7 +150,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def license_sql() -> str:
-    """The same scan of the documents table by the built-in licences, in DuckDB's SQL."""
+    """The same scan of the documents table by the built-in notices, in DuckDB's SQL; the whole licences are not in it."""
     words = r"(' ' || trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', '  ', 'g')) || ' ')"
     for other, usual in SPELLINGS:
         words = f"replace({words}, ' {other} ', ' {usual.replace(' ', '  ')} ')"

@@ -1,3 +1,7 @@
+import re
+from importlib import resources
+
+import pytest
 from coratings.llm.licenses import license_scan
 
 
@@ -19,3 +23,29 @@ def test_whole_texts_and_lines(spark):
 
 def test_no_documents(no_docs):
     assert license_scan(no_docs).collect() == []
+
+
+@pytest.fixture(scope="module")
+def filed():
+    return {f.name.removesuffix(".txt"): f.read_text() for f in resources.files("coratings.llm").joinpath("license_texts").iterdir()}
+
+
+def test_whole_licenses(spark, filed):
+    """Every text with another copyright line, respelled, in other case and wrapped otherwise."""
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"} <= filed.keys()
+    respelled = lambda t: re.sub(r"\b([Ll])icens(es?|ed)\b", r"\1icenc\2", t).replace("authorized", "authorised").replace(" organization ", " organisation ")
+    rows = [(name, f"Copyright (c) 1999 Another One\n\n{respelled(text)}") for name, text in filed.items()]
+    rows += [(name, f"(C) 2001 Me and others\n{text.upper()}") for name, text in filed.items()]
+    rows += [(name, text.replace("\n\n", "\r").replace("\n", " ").replace("\r", "\n")) for name, text in filed.items() if name in ("MIT", "ISC", "BSD-3-Clause")]
+    rows += [("MIT", f"The MIT License (MIT)\n\nCopyright © 2020 X\n\n{filed['MIT']}")]
+    rows += [("BSD-3-Clause", f"Copyright 2020, X\nAll rights reserved.\n\n{filed['BSD-3-Clause'].replace('1. ', '* ').replace('2. ', '* ').replace('3. ', '* ')}")]
+    rows += [("Apache-2.0", filed["Apache-2.0"].split("   APPENDIX")[0])]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.whole_license, r.licenses) for r in license_scan(docs).collect()}
+    assert {i: w for i, (w, _) in got.items()} == {i: name for i, (name, _) in enumerate(rows)}
+    assert all(name in got[i][1].split(",") for i, (name, _) in enumerate(rows))
+
+
+def test_part_of_a_license(spark, filed):
+    docs = spark.createDataFrame([(1, filed["MIT"].split("\n\n")[0]), (2, f"{filed['MIT']}\nand more")], "doc_id long, text string")
+    assert all(r.whole_license is None for r in license_scan(docs).collect())

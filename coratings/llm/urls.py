@@ -9,6 +9,9 @@ from coratings.llm.staging import BROADCAST_TEXT_ROWS, cut, sized
 ROUNDS = 20
 DAMPING = 0.85
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# href in any case, blanks around =, and a value in double, single or no quotes.
+HREF = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]*)"""
+# What verdict_sql reads: double quotes alone.
 LINK = r'href="(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"]*)'
 
 
@@ -70,6 +73,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: floa
     forward and distrust backward. A host is blocked if its share of distrust
     is ``threshold`` or more; without either it is allowed.
 
+    Links are href attributes in any case, with double, single or no quotes.
     Null urls or html: host and path empty, no links; verdict allow. Repeated
     rows each count as pages. Links within a host are no edges. Empty input:
     no rows.
@@ -79,7 +83,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: floa
     read = cut(
         pages.select(
             "page_id", host.alias("host"), path.alias("path"),
-            F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1), lambda h: F.translate(h, UPPER, LOWER)).alias("links"),
+            F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1), lambda h: F.translate(h, UPPER, LOWER)).alias("links"),
         )
     )
     table = spark.createDataFrame(rules, "action string, rule string")
@@ -117,7 +121,7 @@ def rule_list(text: str) -> list[tuple[str, str]]:
 
 
 def verdict_sql(rules: list[tuple[str, str]], threshold: float = 0.5) -> str:
-    """The same verdicts on the pages table in DuckDB's SQL, a common table expression a round."""
+    """The same verdicts on the pages table in DuckDB's SQL, a common table expression a round; of the links only those that LINK fits."""
     values = ", ".join(f"('{action}', '{rule}')" for action, rule in rules)
     lower = f"translate({{}}, '{UPPER}', '{LOWER}')"
     host = lower.format(r"regexp_extract(rest, '^[^/?#]*')")

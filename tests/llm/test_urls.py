@@ -42,3 +42,20 @@ def test_page_rank_by_hand(spark):
 
 def test_no_pages(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).collect() == []
+
+
+FORMS = [
+    '<a href="http://bad.net/x">', '<A HREF="HTTP://BAD.net/">', "<a href='https://bad.net'>", "<a href=http://bad.net/>", "<a href=//bad.net>",
+    '<a Href = "//bad.net/">', "<a href =\n'http://bad.net?q'>", "<a class=x href= http://bad.net/ id=y>", '<a href=" http://bad.net/ ">',
+]
+
+
+NO_LINKS = ["<a href='/bad.net/'>", "<a href=bad.net>", "<a title='http://bad.net/'>", '<a href="http://other.net/bad.net">']
+
+
+def test_forms_of_links(spark):
+    pages = [(i, f"http://helper{i}.org/", html) for i, html in enumerate([*FORMS, *NO_LINKS])]
+    pages = spark.createDataFrame([*pages, (-1, "http://bad.net/es/1", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_verdicts(pages, URL_RULES).collect() if r.page_id >= 0}
+    assert {i: r.verdict for i, r in got.items()} == {i: "block" if i < len(FORMS) else "allow" for i in got}
+    assert len(got) == len(FORMS) + len(NO_LINKS)

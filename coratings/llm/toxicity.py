@@ -19,6 +19,7 @@ LEAST = 3  # documents a feature must be in
 PRIOR = 5.0  # weight of the Dirichlet prior, in documents
 CERTAIN = 40.0  # evidence is cut here
 DRIFT = 1.0  # taken off every token, so that ordinary text scores below 0
+APART = 5.0  # a run ends where its score has fallen so far, about that many ordinary words
 
 
 def _features(words: Words) -> list[np.ndarray]:
@@ -80,12 +81,9 @@ class Segments:
     def __init__(self, features: np.ndarray, scores: np.ndarray):
         self.features, self.scores = features, scores
 
-    def words(self, words: Words) -> np.ndarray:
-        """Log-odds of each word's most specific known feature, less DRIFT; no gain from a word the document has had."""
+    def words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each word's most specific known feature, less DRIFT, and the number of the distinct word."""
         levels = _features(words)
-        order = np.lexsort((np.arange(len(words.row)), levels[-1], words.row))
-        again = np.zeros(len(order), bool)
-        again[order[1:]] = (levels[-1][order][1:] == levels[-1][order][:-1]) & (words.row[order][1:] == words.row[order][:-1])
         _, first, which = np.unique(levels[-1], return_index=True, return_inverse=True)
         score = np.full(len(first), -DRIFT)
         for level in levels:
@@ -93,21 +91,83 @@ class Segments:
             hit = np.flatnonzero(at < len(self.features))
             hit = hit[self.features[at[hit]] == level[first][hit]]
             score[hit] = self.scores[at[hit]] - DRIFT
-        score = score[which]
-        return np.where(again, np.minimum(score, 0), score)
+        return score[which], which
 
-    def of_piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """Words per document, and its segments (first word, word after the last, score)."""
+    def of_piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]], list[list[float]]]:
+        """Words per document, its segments (first word, word after the last, score), and what each adds as evidence."""
         words = Words(data, offsets, ALNUM)
-        score = self.words(words)
-        total = np.concatenate(([0.0], np.cumsum(score)))
+        score, which = self.words(words)
         up = np.flatnonzero(score > 0)
-        out: list[list[tuple[int, int, float]]] = [[] for _ in words.count]
+        gain = score.copy()
+        edge = np.searchsorted(up, words.first)
+        total = np.concatenate(([0.0], np.cumsum(score)))
+        for row in np.flatnonzero(np.diff(edge)):
+            mine = up[edge[row] : edge[row + 1]]
+            gain[mine[repeats_in_runs(mine, which, total)]] = 0.0
+        total = np.concatenate(([0.0], np.cumsum(gain)))
+        up = np.flatnonzero(gain > 0)
         edge = np.searchsorted(up, words.first)
+        out: list[list[tuple[int, int, float]]] = [[] for _ in words.count]
+        fresh: list[list[float]] = [[] for _ in words.count]
         for row in np.flatnonzero(np.diff(edge)):
-            base = int(words.first[row])
-            out[row] = [(a - base, b - base, s) for a, b, s in maximal_segments(up[edge[row] : edge[row + 1]], total)]
-        return words.count, out
+            base, mine = int(words.first[row]), up[edge[row] : edge[row + 1]]
+            found = maximal_segments(mine, total)
+            out[row] = [(a - base, b - base, s) for a, b, s in found]
+            fresh[row] = new_evidence(found, mine, which, gain)
+        return words.count, out, fresh
+
+
+def repeats_in_runs(up: np.ndarray, which: np.ndarray, total: np.ndarray) -> list[int]:
+    """Which of the positive words ``up`` their run has had before.
+
+    A run starts at a positive word and ends where its score is used up or has
+    fallen by APART from its highest; the next one starts afresh. So a word
+    said over and over counts once, and a passage counts whole whatever the
+    text had before it. ``total`` are running sums over all words.
+    """
+    again: list[int] = []
+    seen: set[int] = set()
+    now = high = 0.0
+    last = 0
+    before, after, word = total[up].tolist(), total[up + 1].tolist(), which[up].tolist()
+    for i, w in enumerate(word):
+        now += before[i] - last if i else 0.0
+        if now <= 0 or high - now >= APART:
+            seen.clear()
+            now = high = 0.0
+        if w in seen:
+            again.append(i)
+        else:
+            seen.add(w)
+            now += after[i] - before[i]
+            high = max(high, now)
+        last = after[i]
+    return again
+
+
+def new_evidence(found: list[tuple[int, int, float]], up: np.ndarray, which: np.ndarray, gain: np.ndarray) -> list[float]:
+    """Scores of the segments, best first, without the gain of words that a better one has had.
+
+    The same line again is another passage, but tells nothing new of the document.
+    """
+    if len(found) < 2:
+        return [s for _, _, s in found]
+    word, worth = which[up].tolist(), gain[up].tolist()
+    low, high = (np.searchsorted(up, [x[i] for x in found]).tolist() for i in (0, 1))
+    seen: set[int] = set()
+    out = []
+    for k in sorted(range(len(found)), key=lambda k: (-found[k][2], k)):
+        inside = {}
+        score = found[k][2]
+        for i in range(low[k], high[k]):
+            if word[i] in seen:
+                score -= worth[i]
+            else:
+                inside[word[i]] = True
+        seen.update(inside)
+        if score > 0:
+            out.append(score)
+    return out
 
 
 def maximal_segments(up: np.ndarray, total: np.ndarray) -> list[tuple[int, int, float]]:
@@ -161,7 +221,7 @@ class Calibration:
 
 
 def _segmenter(model):
-    """n_words and segments of each document."""
+    """n_words and segments of each document; without a calibration only what its segments add as evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, tail = model.value
@@ -169,14 +229,16 @@ def _segmenter(model):
         passage = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             for low, high, data, offsets in pieces(batch):
-                counts, found = finder.of_piece(data, offsets)
+                counts, found, fresh = finder.of_piece(data, offsets)
                 columns = [batch.column(0).slice(low, high - low), pa.array(counts, pa.int64())]
                 names = ["doc_id", "n_words"]
                 if calibration:
-                    evidence = [calibration.evidence([s for _, _, s in f], int(n)) for f, n in zip(found, counts, strict=True)]
+                    evidence = [calibration.evidence(f, int(n)) for f, n in zip(fresh, counts, strict=True)]
                     columns.append(pa.array([calibration.probability(e) for e in evidence], pa.float64()))
                     names.append("score")
                     found = [[x for x in f if calibration.expected(x[2], int(n)) < 0.05] for f, n in zip(found, counts, strict=True)]
+                else:
+                    found = [[(0, 0, s) for s in f] for f in fresh]
                 rows = [[dict(zip(("first", "end", "score"), x, strict=True)) for x in f] for f in found]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(passage))], [*names, "passages"])
 
@@ -211,7 +273,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold:
     held-out fold: they give the log-odds of words and prefixes with a
     Dirichlet prior; the extreme-value tail of clean segments and the
     probability come from each half scored by what the other half taught. Every document is scanned whole; passages are its
-    segments of which clean text of its length would have less than 0.05.
+    segments of which clean text of its length would have less than 0.05. In a
+    run of telling words each word counts once (see repeats_in_runs); a passage
+    that comes again is listed again, but is evidence only once.
 
     Null and empty texts have no words, no passages and the least score.
     Without labels of both classes every score is the share of label 1 (0 if

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from coratings.llm.queries import QUERIES
 from coratings.llm.quality import quality
-from coratings.llm.toxicity import Calibration, maximal_segments, toxicity
+from coratings.llm.text import ALNUM, Words
+from coratings.llm.toxicity import Calibration, Segments, maximal_segments, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,33 @@ def test_evidence_grows_with_scores_and_shrinks_with_length():
     assert c.evidence([], 100) == 0
     assert c.evidence([8.0], 100) > c.evidence([8.0], 10_000) > 0
     assert c.evidence([8.0, 7.0], 100) > c.evidence([8.0], 100)
+
+
+def segments_of(*texts):
+    """Segments where the words bad0 .. bad9 score 2 each and others -1, and what they add as evidence."""
+    telling = " ".join(f"bad{i}" for i in range(10)).encode()
+    hashes = np.sort(Words(np.frombuffer(telling, np.uint8), np.array([0, len(telling)]), ALNUM).hashes())
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    return Segments(hashes, np.full(10, 3.0)).of_piece(np.frombuffer(b"".join(data), np.uint8), offsets)
+
+
+def test_a_passage_again():
+    passage = " ".join(f"bad{i}" for i in range(10))
+    gap = " ".join(f"w{i}" for i in range(30))
+    _, found, fresh = segments_of(f"{passage} {gap} {passage}", passage)
+    assert found == [[(0, 10, 20.0), (40, 50, 20.0)], [(0, 10, 20.0)]]
+    assert fresh == [[20.0], [20.0]]
+
+
+def test_scattered_words_before_a_passage():
+    passage = " ".join(f"bad{i}" for i in range(10))
+    scattered = " ".join(f"bad{i} " + "word " * 8 for i in range(10))
+    _, found, fresh = segments_of(f"{scattered}{passage}")
+    assert found[0][-1] == (90, 100, 20.0) and [x[2] for x in found[0][:-1]] == [2.0] * 10
+    assert fresh[0] == [20.0]
+
+
+def test_one_word_over_and_over():
+    _, found, _ = segments_of("bad0 " * 50)
+    assert found == [[(0, 1, 2.0)]]

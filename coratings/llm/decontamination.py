@@ -89,8 +89,10 @@ class PositionalIndex:
         self.postings = self.stored.select("rid", F.explode("postings").alias("p")).select("rid", "p.term", "p.places")
 
     def found(self, windows: DataFrame, slop: int = 0) -> tuple[DataFrame, DataFrame]:
-        """(exact, near): rid, wid, start of whole windows, and of windows whose two rarest terms
-        lie up to ``slop`` words nearer or further than in the window (slop = 0: no near ones).
+        """(exact, near): rid, wid, start of whole windows, and rid, wid of windows all of whose words
+        occur, each at a place of its own, moved by at least some a and at most a + ``slop`` places from
+        the window's (slop = 0: no near ones). So up to ``slop`` words may be between its words, or two
+        neighbours be exchanged for slop = 2; a window with a word replaced or left out is no match.
 
         ``windows``: wid, terms (hashes). Lists are intersected from the rarest
         term on; the terms left are looked up only in documents that both of
@@ -141,8 +143,61 @@ class PositionalIndex:
             .where(F.coalesce("held", F.lit(0)) == F.greatest(F.col("size") - 2, F.lit(0)))
             .select("rid", "wid", "start", "size")
         )
-        apart = F.exists("starts", lambda a: F.exists("more", lambda b: (F.abs(a - b) <= slop) & (a != b)))
-        return exact, both.where(apart if slop else F.lit(False)).select("rid", "wid")
+        return exact, self._near(placed, both, slop) if slop else exact.select("rid", "wid").limit(0)
+
+    def _near(self, placed: DataFrame, both: DataFrame, slop: int) -> DataFrame:
+        """rid, wid of windows found with ``slop``: the rarest two first, then all terms left near each start of the rarest."""
+        close = F.filter("more", lambda b: F.abs(b - F.col("start")) <= slop)
+        starts = both.select("rid", "wid", F.explode("starts").alias("start"), "more").select("rid", "wid", "start", close.alias("near"))
+        starts = cut(starts.where("size(near) > 0"))
+        terms = placed.where("rank > 2").select("wid", "term", "place")
+        here = sized(cut(starts.select("rid").distinct()))
+        wanted = sized(cut(terms.join(starts.select("wid").distinct(), "wid", "left_semi").select("term").distinct()))
+        lists = self.postings.join(here, "rid", "left_semi").join(wanted, "term", "left_semi")
+        moved = F.transform("places", lambda p: p - F.col("place"))
+        left = (
+            starts.drop("near").join(sized(cut(terms)), "wid").join(lists, ["rid", "term"])
+            .select("rid", "wid", "start", "term", "place", F.filter(moved, lambda o: F.abs(o - F.col("start")) <= slop).alias("near"))
+            .where("size(near) > 0")
+        )
+        first = placed.where("rank = 1").select("wid", "term", "place", F.lit(True).alias("first"))
+        second = placed.where("rank = 2").select("wid", "term", "place", F.lit(False).alias("first"))
+        head = starts.join(sized(cut(first.union(second))), "wid").select(
+            "rid", "wid", "start", "term", "place", F.when(F.col("first"), F.array("start")).otherwise(F.col("near")).alias("near")
+        )
+        sizes = sized(cut(placed.groupBy("wid").agg(F.first("size").alias("size"))))
+        whole = (
+            head.union(left).groupBy("rid", "wid", "start").agg(F.collect_list(F.struct("place", "term", "near")).alias("words"))
+            .join(sizes, "wid").where("size(words) = size").select("rid", "wid", "start", "words")
+        )
+        return cut(whole.mapInArrow(_fitting(slop), "rid long, wid long").distinct())
+
+
+def fits(start: int, words: list[tuple[int, int, list[int]]], slop: int) -> bool:
+    """Whether all ``words`` (place, term, moves) have a place of their own with moves from a to a + slop, for an a that allows ``start``."""
+    words = sorted(words)
+    for a in range(start - slop, start + 1):
+        last: dict[int, int] = {}
+        for place, term, moves in words:
+            # Of one term the places allowed grow with the word's own, so the first free one is as good as any.
+            free = [place + m for m in moves if a <= m <= a + slop and place + m > last.get(term, -1)]
+            if not free:
+                break
+            last[term] = min(free)
+        else:
+            return True
+    return False
+
+
+def _fitting(slop: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, words = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            good = [fits(s, [(w["place"], w["term"], w["near"]) for w in ws], slop) for s, ws in zip(starts, words, strict=True)]
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["rid", "wid"])
+
+    return run
 
 
 def _blocks(windows: DataFrame) -> list[DataFrame]:
@@ -159,7 +214,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near and key_a, key_b per row of ``docs``.
 
     A word inside any occurrence of a window of ``benchmark`` is hit. n_near
-    counts windows found only loosely, see PositionalIndex.found.
+    counts windows found only loosely, see PositionalIndex.found; contaminated
+    is by whole windows alone.
 
     Null or empty texts have no words and no windows. Repeated documents are
     judged each; items with the same window all count, those without item_id

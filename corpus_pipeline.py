@@ -44,9 +44,9 @@ def without_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keep_by(docs, found.select(*KEYS, (~F.col("contaminated")).alias("keep")))
+    """Documents in which no window of a benchmark item occurs, also with up to two words between."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=2)
+    return keep_by(docs, found.select(*KEYS, (~F.col("contaminated") & (F.col("n_near") == 0)).alias("keep")))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import brute
@@ -48,6 +49,43 @@ def test_near_matches(spark):
     assert got == {1: (True, 0), 2: (False, 1), 3: (False, 0)}
 
 
+def near_by_hand(words, window, slop):
+    """Whether places of their own for all words of ``window`` exist, moved by at most ``slop`` more for one than for another."""
+    places = [[q for q, w in enumerate(words) if w == x] for x in window]
+    return any(
+        len(set(p)) == len(p) and max(q - k for k, q in enumerate(p)) - min(q - k for k, q in enumerate(p)) <= slop
+        for p in itertools.product(*places)
+    )
+
+
+def test_near_matches_of_long_windows(spark):
+    item = "one two three four five six seven eight nine ten".split()
+    put = lambda at, *more: item[:at] + list(more) + item[at:]
+    docs = [
+        item, put(5, "x"), put(5, "x", "y"), put(3, "x")[:7] + ["y"] + put(3, "x")[7:], put(5, "x", "y", "z"),
+        item[:4] + [item[5], item[4]] + item[6:], [*item[:5], "x", *item[6:]], item[:1] + list("abcdefg") + item[8:], item[:2] + item[:1] + item[2:], [],
+    ]
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.n_near) for r in contamination(rows, items, slop=2).collect()}
+    want = {i: (False, int(near_by_hand(d, item, 2))) for i, d in enumerate(docs)}
+    want |= {i: (True, 0) for i in (0,)}
+    assert got == want
+    assert [i for i, (_, n) in got.items() if n] == [1, 2, 3, 5, 8]
+
+
+def test_near_matches_against_brute_force(spark):
+    pick = random.Random(3)
+    docs = [[pick.choice("abcde") for _ in range(pick.randrange(9))] for _ in range(60)]
+    windows = {tuple(pick.choice("abcde") for _ in range(n)) for n in (2, 3, 4, 4, 4)}
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(windows)], "item_id long, text string")
+    got = {r.doc_id: r.n_near for r in contamination(rows, items, slop=2).collect()}
+    exact = lambda d, w: any(tuple(d[k : k + len(w)]) == w for k in range(len(d)))
+    want = {i: sum(near_by_hand(d, w, 2) and not exact(d, w) for w in windows) for i, d in enumerate(docs)}
+    assert got == want and sum(want.values()) > 10
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "c d e f", 0)], "item_id long, text string, doc_id int")
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]

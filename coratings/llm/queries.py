@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coratings.llm.decontamination import contamination
 from coratings.llm.licenses import license_scan, license_sql
+from coratings.llm.merkle import merkle_manifest, merkle_sql
 from coratings.llm.near_duplicates import near_duplicates
 from coratings.llm.repeated_text import repeated_text
 from coratings.llm.rules import COUNTS, quality_rules
@@ -75,6 +76,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_repeated_text": op2_repeated_text,
@@ -86,8 +91,10 @@ QUERIES = {
     "op8_url_verdicts": op8_url_verdicts,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op8_url_verdicts": verdict_sql(URL_RULES),
     "op9_license_scan": license_sql(),
+    "op12_merkle_manifest": merkle_sql(),
 }

@@ -10,6 +10,7 @@ from coratings.llm.merkle import merkle_manifest, merkle_sql
 from coratings.llm.near_duplicates import near_duplicates
 from coratings.llm.repeated_text import repeated_text
 from coratings.llm.rules import COUNTS, quality_rules
+from coratings.llm.token_files import token_files
 from coratings.llm.toxicity import toxicity
 from coratings.llm.urls import rule_list, url_verdicts, verdict_sql
 from coratings.llm.warc import archived
@@ -40,11 +41,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """A public vocabulary file, installed on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def byte_tokenizer_path() -> str:
+    return tokenizer_path("byte_bpe_50k.json")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +81,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"), byte_tokenizer_path())
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"))
 
@@ -91,6 +100,7 @@ QUERIES = {
     "op8_url_verdicts": op8_url_verdicts,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_files": op11_token_files,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES: dict[str, str] = {

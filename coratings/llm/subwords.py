@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 
 from coratings.llm.packing import byte_letters
 
@@ -35,18 +37,30 @@ def piece_of(word: str) -> str:
 
 
 class Memory(dict):
-    """Values by piece of text; emptied when it is full. ``forgotten`` counts how often."""
+    """Values by word, made by ``make`` when first asked for.
 
-    size = forgotten = 0
+    A word that isn't ``ends_in_word`` is a KeyError: its neighbours matter.
+    When half of HELD is used, the words are put aside, and those put aside
+    before and not asked for since are forgotten; ``turns`` counts that.
+    """
 
-    def keep(self, piece: str, value, cost: int) -> None:
-        if len(piece) > LONGEST:
-            return
-        self.size += 200 + 4 * len(piece) + cost
-        if self.size > HELD:
-            self.clear()
-            self.size, self.forgotten = 0, self.forgotten + 1
-        self[piece] = value
+    def __init__(self, make):
+        self.make, self.size, self.turns, self.aside = make, 0, 0, {}
+
+    def __missing__(self, word: str):
+        value = self.aside.get(word)
+        if value is None:
+            if not ends_in_word(word):
+                raise KeyError(word)
+            value = self.make(word)
+        if len(word) <= LONGEST:
+            self.size += 200 + 4 * len(word) + len(value)
+            if 2 * self.size > HELD:
+                self.aside = dict(self)
+                self.clear()
+                self.size, self.turns = 0, self.turns + 1
+            self[word] = value
+        return value
 
 
 class ByteBpe:
@@ -62,42 +76,60 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
+        self.blank = self.letters[32]
         self.size = self.tokenizer.get_vocab_size()
-        self.known = Memory()
+        self.known = Memory(self._make)
+        self.symbols: dict[str, bytes] = {}
 
-    def ids(self, piece: str) -> list[int]:
-        word = piece[1:] if piece[:1] == " " else piece
-        core = word.rstrip(SYMBOLS)
-        if core and core.isalpha() and max(core) < SETTLED:
-            text = piece[: len(piece) - len(word) + len(core)].encode().decode("latin-1").translate(self.letters)
-            out = [token.id for token in self.model.tokenize(text)]
-            if len(core) < len(word):
-                out += [token.id for token in self.model.tokenize(word[len(core) :])]
-            return out
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
-
-    def packed(self, piece: str) -> bytes:
-        ids = self.ids(piece)
+    def whole(self, piece: str) -> bytes:
+        """The ids of any piece of text, little-endian unsigned 32-bit, by the whole tokenizer."""
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _pre_token(self, text: str) -> bytes:
+        ids = [token.id for token in self.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _make(self, word: str) -> bytes:
+        if word.isalpha():
+            if word.isascii():
+                return self._pre_token(self.blank + word)
+            if max(word) < SETTLED:
+                return self._pre_token(self.blank + word.encode().decode("latin-1").translate(self.letters))
+            return self.whole(" " + word)
+        core = word.rstrip(SYMBOLS)
+        if core.isalpha() and len(core) <= LONGEST:
+            tail = word[len(core) :]
+            if tail not in self.symbols:
+                if len(self.symbols) > 10_000:
+                    self.symbols.clear()
+                self.symbols[tail] = self._pre_token(tail)
+            return self.known[core] + self.symbols[tail]
+        return self.whole(piece_of(word))
+
     def __call__(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
-        words, known = joints(text), self.known
-        first = self.packed(words[0]) if words[0] else b""
-        try:
-            return first + b"".join([known[w] for w in words[1:]])
-        except KeyError:
-            pass
-        if all(map(ends_in_word, words[1:-1])) and "" not in words[1:] and (not words[0] or ends_in_word(words[0])):
-            parts = [first]
-            for word in words[1:]:
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.packed(piece_of(word))
-                    if ends_in_word(word):
-                        known.keep(word, ids, len(ids))
-                parts.append(ids)
-            return b"".join(parts)
-        return b"".join(map(self.packed, CUTS.split(text)))
+        first, *words = joints(text)
+        if not first or not words or ends_in_word(first):
+            known = self.known
+            try:
+                parts = [known[w] for w in words[:-1]]
+            except KeyError:
+                pass
+            else:
+                if words:
+                    last = words[-1]
+                    parts.append(known[last] if ends_in_word(last) else self.whole(piece_of(last)))
+                return (self.whole(first) if first else b"") + b"".join(parts)
+        return b"".join(map(self.whole, CUTS.split(text)))
+
+
+def of_process(make, *key):
+    """``make(*key)``, once in each worker process: its tasks share what is remembered."""
+    held = sys.modules.setdefault("coratings_llm_of_process", types.ModuleType("coratings_llm_of_process")).__dict__
+    name = (make.__qualname__, *key)
+    if name not in held:
+        held[name] = make(*key)
+    return held[name]

@@ -13,17 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from coratings.llm.staging import cut, folder, text_columns
-from coratings.llm.subwords import ByteBpe
+from coratings.llm.subwords import ByteBpe, of_process
 from coratings.llm.warc import _filesystem
 from coratings.plans.staging import release
 
 END = 0  # the id put after each document
 LIMIT = 20  # bits of the longest code
 BLOCK = 256  # ids between two checkpoints
-SEGMENT = 4 << 20  # bytes of code that are written together
+SEGMENT = 1 << 20  # bytes of code that are written together
 FILE = 256 << 20  # bytes of code that a task writes, about
 READ = 32 << 20  # bytes of code that a task reads, about
-PIECE = 1 << 20  # ids that are coded at once, those of one document at least
+PIECE = 1 << 17  # ids that are coded at once, those of one document at least
 MAGIC = b"hufids1\n"
 
 
@@ -125,7 +125,7 @@ class Decoder:
 
 def _tokenizer(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = ByteBpe(path), struct.pack("<I", end)
+        encode, tail = of_process(ByteBpe, path), struct.pack("<I", end)
         kind = np.dtype("<u2") if max(encode.size, end + 1) <= 1 << 16 else np.dtype("<u4")
         counts, none = np.zeros(max(encode.size, end + 1), np.int64), None
         for batch in batches:

@@ -56,7 +56,7 @@ def test_ids_of_odd_texts(tokenizer, plain, monkeypatch):
             assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
     finally:
         tokenizer.encode_special_tokens = False
-    assert encode.known.forgotten > 0
+    assert encode.known.turns > 0
 
 
 def huffman_cost(counts):

@@ -127,17 +127,18 @@ def _tokenizer(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = of_process(ByteBpe, path), struct.pack("<I", end)
         kind = np.dtype("<u2") if max(encode.size, end + 1) <= 1 << 16 else np.dtype("<u4")
-        counts, none = np.zeros(max(encode.size, end + 1), np.int64), None
+        counts, doc_type = np.zeros(max(encode.size, end + 1), np.int64), None
         for batch in batches:
-            ids = []
-            for text in batch.column("text"):
-                found = np.frombuffer(encode(text.as_py()) + tail, "<u4")
-                counts += np.bincount(found, minlength=len(counts))
-                ids.append(found.astype(kind).tobytes())
-            none = pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), none], ["doc_id", "ids", "counts"])
             doc_type = batch.column("doc_id").type
-        if none is not None:
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                found = [encode(text) + tail for text in some.column("text").to_pylist()]
+                ids = np.frombuffer(b"".join(found), "<u4")
+                counts += np.bincount(ids, minlength=len(counts))
+                ends = np.cumsum([0, *[len(f) // 4 * kind.itemsize for f in found]])
+                lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists.cast(pa.binary()), pa.nulls(len(found), pa.binary())], ["doc_id", "ids", "counts"])
+        if doc_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, doc_type), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
     return run

@@ -18,6 +18,8 @@ SYMBOLS = ".,;:!?$&%#*|"
 # Letters below this are letters in every version of the tables in use.
 SETTLED = "\u0530"
 
+SMALL = [struct.Struct(f"<{n}I").pack for n in range(17)]
+
 
 def ends_in_word(piece: str) -> bool:
     last = piece[-1:]
@@ -50,12 +52,13 @@ class Memory(dict):
     def __missing__(self, word: str):
         value = self.aside.get(word)
         if value is None:
-            if not ends_in_word(word):
+            if not (word.isalpha() or ends_in_word(word)):
                 raise KeyError(word)
             value = self.make(word)
-        if len(word) <= LONGEST:
-            self.size += 200 + 4 * len(word) + len(value)
-            if 2 * self.size > HELD:
+        length = len(word)
+        if length <= LONGEST:
+            self.size = size = self.size + 200 + 8 * length
+            if 2 * size > HELD:
                 self.aside = dict(self)
                 self.clear()
                 self.size, self.turns = 0, self.turns + 1
@@ -90,7 +93,7 @@ class ByteBpe:
 
     def _pre_token(self, text: str) -> bytes:
         ids = [token.id for token in self.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return SMALL[len(ids)](*ids) if len(ids) < len(SMALL) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _make(self, word: str) -> bytes:
         if word.isalpha():

@@ -244,7 +244,7 @@ def write_ids(docs: DataFrame, tokenizer: str, where: str, end: int = END) -> Da
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = cut(text_columns(docs).mapInArrow(_tokenizer(tokenizer, end), f"doc_id {kind}, ids binary, counts binary"), codec="zstd")
+    ids = cut(text_columns(docs).mapInArrow(_tokenizer(tokenizer, end), f"doc_id {kind}, ids binary, counts binary"))
     counted = ids.select("counts").where("counts IS NOT NULL").mapInArrow(_sums, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.collect()  # at most one row for each id of the vocabulary
     counts = np.zeros(max([end, *[r.id for r in rows]]) + 1, np.int64)

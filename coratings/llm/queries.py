@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coratings.llm.alignment import alignment
 from coratings.llm.decontamination import contamination
 from coratings.llm.licenses import license_scan, license_sql
 from coratings.llm.merkle import merkle_manifest, merkle_sql
@@ -89,6 +90,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_table(spark, sf_dir, "documents"), byte_tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_repeated_text": op2_repeated_text,
@@ -102,6 +107,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_token_files": op11_token_files,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op8_url_verdicts": verdict_sql(URL_RULES),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from coratings.llm.packing import byte_letters
 from coratings.llm.staging import cut, sized, text_columns
-from coratings.llm.subwords import CUTS, ByteBpe, Memory, ends_in_word, joints, of_process, piece_of
+from coratings.llm.subwords import CUTS, HELD, ByteBpe, Memory, ends_in_word, joints, of_process, piece_of
 
 CHUNK = 64 << 10  # bytes of a fragment; a longer document becomes several
 CONTEXT = 4 << 10  # bytes to look through for a cut on both sides of a fragment's ends
@@ -59,7 +59,7 @@ class Pieces:
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = ByteBpe(byte_path, plain_specials=True), Pieces(piece_path)
+        self.a, self.b = ByteBpe(byte_path, plain_specials=True, held=HELD // 10), Pieces(piece_path)
         back = {letter: b for b, letter in enumerate(byte_letters())}
         entries = {i: t for t, i in self.a.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.a_bytes = [bytes(map(back.__getitem__, entries.get(i, ""))) for i in range(self.a.size)]
@@ -67,7 +67,7 @@ class Aligner:
         self.a_length, self.b_length = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
         self.wide = max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16
         self.shift, self.kind = (32, "<u8") if self.wide else (16, "<u4")
-        self.known = Memory(lambda word: self.closed(piece_of(word)))
+        self.known = Memory(lambda word: self.closed(piece_of(word)), 350, HELD)
 
     def tokens(self, piece: str) -> tuple[list[int], list[int]] | None:
         """Ids of both, or None where the joined bytes of either aren't the piece."""
@@ -280,7 +280,7 @@ def compose(left: dict, right: dict) -> tuple[dict, tuple[list, list] | None]:
         for t in "ab":
             out[f"before_{t}"] = [*left[f"before_{t}"], *right[f"before_{t}"]]
         return out, None
-    group = [*left["after_a"], *right["before_a"]], [*left["after_b"], *right["before_b"]]
+    group = tuple([int(i) for side in (left["after_" + t], right["before_" + t]) for i in side] for t in "ab")
     return out, group if group[0] else None
 
 

@@ -9,7 +9,7 @@ import types
 
 from coratings.llm.packing import byte_letters
 
-HELD = 256 << 20  # bytes of pieces and ids that a task remembers at most
+HELD = 320 << 20  # bytes that a worker process remembers at most
 LONGEST = 1 << 10  # longer pieces of text are encoded each time
 # Before a blank or line end that follows no white space every pre-token ends, so texts are cut there.
 CUTS = re.compile(r"(?<=[\w!-~])(?=[ \n])")
@@ -36,27 +36,23 @@ def piece_of(word: str) -> str:
 
 
 class Memory(dict):
-    """Values by word, made by ``make`` when first asked for.
+    """Values by word, made by ``make`` when first asked for; emptied when ``held`` bytes are used.
 
     A word that isn't ``ends_in_word`` is a KeyError: its neighbours matter.
-    When half of HELD is used, the words are put aside, and those put aside
-    before and not asked for since are forgotten; ``turns`` counts that.
+    ``each`` is what an entry takes beside 8 bytes a letter; ``turns`` counts
+    how often all was forgotten.
     """
 
-    def __init__(self, make):
-        self.make, self.size, self.turns, self.aside = make, 0, 0, {}
+    def __init__(self, make, each: int, held: int):
+        self.make, self.each, self.held, self.size, self.turns = make, each, held, 0, 0
 
     def __missing__(self, word: str):
-        value = self.aside.get(word)
-        if value is None:
-            if not (word.isalpha() or ends_in_word(word)):
-                raise KeyError(word)
-            value = self.make(word)
-        length = len(word)
+        if not (word.isalpha() or ends_in_word(word)):
+            raise KeyError(word)
+        value, length = self.make(word), len(word)
         if length <= LONGEST:
-            self.size = size = self.size + 200 + 8 * length
-            if 2 * size > HELD:
-                self.aside = dict(self)
+            self.size = size = self.size + self.each + 8 * length
+            if size > self.held:
                 self.clear()
                 self.size, self.turns = 0, self.turns + 1
             self[word] = value
@@ -71,7 +67,7 @@ class ByteBpe:
     tokenizer's model; any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, plain_specials: bool = False):
+    def __init__(self, path: str, plain_specials: bool = False, held: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,7 +76,7 @@ class ByteBpe:
         self.letters = dict(enumerate(byte_letters()))
         self.blank = self.letters[32]
         self.size = self.tokenizer.get_vocab_size()
-        self.known = Memory(self._make)
+        self.known = Memory(self._make, 200, HELD if held is None else held)
         self.symbols: dict[str, bytes] = {}
 
     def whole(self, piece: str) -> bytes:

@@ -4,6 +4,7 @@ from coratings.operators.distances import candidate_totals, distances, overlaps,
 from coratings.operators.neighbors import knn
 from coratings.operators.numbering import number_rows
 from coratings.operators.pairs import common_movies, pair_report
+from coratings.operators.prefixes import prefix_overlaps
 from coratings.operators.profiling import count_uppercase, greet
 from coratings.operators.ratings import (
     latest_movies,
@@ -41,6 +42,7 @@ __all__ = [
     "number_rows",
     "overlaps",
     "pair_report",
+    "prefix_overlaps",
     "ranked",
     "ratings_per_user",
     "recommend",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,11 +32,16 @@ def overlaps(ratings: DataFrame, targets: DataFrame, min_common: int = 1) -> Dat
     Runs jobs: the targets' ratings are written.
     """
     mine = stored(target_ratings(ratings, targets), compact=True)
-    if min_common > 1:
-        enough = mine.groupBy("target_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_common)
-        mine = stored(mine.join(sized(stored(enough.select("target_id"))), "target_id", "left_semi"))
+    # One look at the targets' ratings tells their number, the range of their
+    # movies and whether any target falls below.
+    sizes = mine.groupBy("target_id").agg(F.count("*").alias("n"), F.min("movie_id").alias("low"), F.max("movie_id").alias("high"))
+    rows, low, high, least = sizes.agg(F.sum("n"), F.min("low"), F.max("high"), F.min("n")).first()
+    known = (rows or 0, low, high)
+    if least is not None and least < min_common:
+        enough = sizes.where(F.col("n") >= min_common).select("target_id")
+        mine, known = stored(mine.join(sized(stored(enough)), "target_id", "left_semi")), None
     return (
-        join_small(ratings, mine, "movie_id")
+        join_small(ratings, mine, "movie_id", known)
         .where(F.col("user_id") != F.col("target_id"))
         .groupBy("target_id", "user_id")
         .agg(*co_rated_sums(F.col("target_rating"), F.col("rating")))
@@ -44,15 +49,17 @@ def overlaps(ratings: DataFrame, targets: DataFrame, min_common: int = 1) -> Dat
 
 
 def candidates(
-    ratings: DataFrame, targets: DataFrame, metric: str | Sequence[str], min_common: int
+    ratings: DataFrame, targets: DataFrame, metric: str | Sequence[str], min_common: int,
+    joined: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """``distances`` in no order, for a plan that goes on from here. Several
-    metrics are read off one join, with a column ``metric``."""
+    metrics are read off one join, with a column ``metric``. ``joined`` makes
+    the sums: ``overlaps`` (also if None) or ``prefix_overlaps``."""
     metrics = [metric] if isinstance(metric, str) else list(metric)
     for name in metrics:
         if name not in METRICS:
             raise ValueError(f"unknown metric {name!r}, expected one of {METRICS}")
-    found = overlaps(ratings, targets, min_common).where(F.col("n_common") >= min_common)
+    found = (joined or overlaps)(ratings, targets, min_common).where(F.col("n_common") >= min_common)
     intersects = (F.col("n_common") > 0).alias("intersects")
     if isinstance(metric, str):
         return found.select("target_id", "user_id", metric_value(metric).alias("value"), intersects, "n_common")

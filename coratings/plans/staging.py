@@ -18,6 +18,9 @@ BROADCAST_ROWS = 1_000_000
 # Up to this many wanted keys are named in the filter itself.
 NAMED_KEYS = 1_000
 
+# Results of more files than this are compacted where that is asked for.
+COMPACT_FILES = 8
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables, below the shared
@@ -33,11 +36,12 @@ def stored(df: DataFrame, compact: bool = False) -> DataFrame:
     """Write ``df`` once, in a job of its own, and return the written table.
 
     Partitions behind a shuffle are merged by AQE as they are. ``compact`` is
-    for results without one, such as a narrow filter of a wide scan: it adds a
-    shuffle that merges them into few files.
+    for results without one, such as a narrow filter of a wide scan: where that
+    reads many files, a shuffle is added that merges the partitions.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    compact = compact and len(df.inputFiles()) > COMPACT_FILES
     (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -80,21 +84,24 @@ def among(ratings: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return _among(ratings, keys, on)[0]
 
 
-def join_small(ratings: DataFrame, side: DataFrame, on: str) -> DataFrame:
+def join_small(
+    ratings: DataFrame, side: DataFrame, on: str, known: tuple | None = None
+) -> DataFrame:
     """Inner join with a side that usually fits a broadcast: then ``ratings``
     are narrowed by ``among`` first and joined where they lie.
 
     Beyond the bound that narrowing would cost a shuffle itself; both sides
-    are shuffled once, and AQE splits the partition of a hot key.
+    are shuffled once, and AQE splits the partition of a hot key. ``known``
+    are the side's rows and its least and greatest key, if the caller has them.
     """
-    narrowed, fits = _among(ratings, side, on)
+    narrowed, fits = _among(ratings, side, on, known)
     if not fits:
         return ratings.join(side, on)
     return narrowed.join(F.broadcast(side), on)
 
 
-def _among(ratings: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, bool]:
-    rows, low, high = keys.agg(F.count("*"), F.min(on), F.max(on)).first()
+def _among(ratings: DataFrame, keys: DataFrame, on: str, known: tuple | None = None) -> tuple[DataFrame, bool]:
+    rows, low, high = known or keys.agg(F.count("*"), F.min(on), F.max(on)).first()
     fits = rows <= BROADCAST_ROWS
     if rows <= NAMED_KEYS:
         named = [r[0] for r in keys.select(on).distinct().collect()]

@@ -95,6 +95,10 @@ _NEAREST = knn_sql(v.DENSE, BATCH, "euclidean", 5, 1)
 _DEBTORS = "SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000"
 
 
+def _knn_prefix(view, metric: str, min_common: int):
+    return lambda s, d: co.knn(view(s, d), _debtors(s, d), metric, 5, min_common, co.prefix_overlaps)
+
+
 def _debtors(s: SparkSession, d: str) -> DataFrame:
     suppliers = v.table(s, d, "supplier").where("s_acctbal < 1000")
     return suppliers.select(F.col("s_suppkey").alias("user_id"))
@@ -148,6 +152,8 @@ QUERIES = {
     "knn_unbounded": _knn(v.sparse, BATCH, "manhattan", 1_000_000_000, 1),
     "knn_wide": _knn(v.sparse, BATCH, "cosine", 2000, 1),
     "knn_metrics": _knn(v.dense, BATCH, list(MEASURES), 5, 1),
+    "knn_prefix": _knn_prefix(v.sparse, "cosine", 3),
+    "knn_prefix_popular": _knn_prefix(v.popular, "euclidean", 14),
     **{
         f"dist_{m}_ranked": lambda s, d, m=m: co.ranked(_distances(v.sparse, SPARSE_TARGET, m, 1)(s, d), m)
         for m in MEASURES
@@ -244,6 +250,8 @@ ORACLES = {
     "knn_batch": f"{_NEAREST} {_NN}",
     "knn_unbounded": f"{knn_sql(v.SPARSE, BATCH, 'manhattan', 1_000_000_000, 1)} {_NN}",
     "knn_wide": f"{knn_sql(v.SPARSE, BATCH, 'cosine', 2000, 1)} {_NN}",
+    "knn_prefix": f"{knn_sql(v.SPARSE, [_DEBTORS], 'cosine', 5, 3)} {_NN}",
+    "knn_prefix_popular": f"{knn_sql(v.POPULAR, [_DEBTORS], 'euclidean', 5, 14)} {_NN}",
     "knn_metrics": " UNION ALL ".join(
         f"SELECT '{m}' AS metric, * FROM ({knn_sql(v.DENSE, BATCH, m, 5, 1)} {_NN})" for m in MEASURES
     ),

@@ -39,6 +39,16 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rated(lines.join(orders, lines.l_orderkey == orders.o_orderkey), "o_custkey")
 
 
+def popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as users; two ratings in three go to the same 49 movies."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem")
+    common = F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber"), F.lit(49))
+    part = F.when(F.col("l_linenumber") % 3 != 0, common).otherwise(F.col("l_partkey") + 49)
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    return _rated(joined.withColumn("l_partkey", part.cast("bigint")), "o_custkey")
+
+
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as movies; brand and type as genres."""
     return table(spark, sf_dir, "part").select(
@@ -97,6 +107,11 @@ DENSE = _RATED.format(user="l_suppkey", source="lineitem")
 SPARSE = _RATED.format(
     user="o_custkey", source="lineitem JOIN orders ON l_orderkey = o_orderkey"
 )
+POPULAR = _RATED.format(
+    user="o_custkey",
+    source="""(SELECT * REPLACE ((CASE WHEN l_linenumber % 3 <> 0 THEN (l_partkey * 7 + l_linenumber) % 49
+      ELSE l_partkey + 49 END)::BIGINT AS l_partkey) FROM lineitem) AS li JOIN orders ON l_orderkey = o_orderkey""",
+)
 MOVIES = """
   SELECT p_partkey AS movie_id, p_name AS title, p_brand || '|' || p_type AS genres FROM part"""
 # Fixed value: the form of the names of recordings.

@@ -25,6 +25,7 @@ from coratings.operators.sampling import (
 )
 from coratings.plans.neighborhood import neighborhood, write_neighborhood
 from coratings.plans.staging import release, stored
+from coratings.sinks.upsert import read_version, upsert, vacuum
 
 __all__ = [
     "candidate_totals",
@@ -44,6 +45,7 @@ __all__ = [
     "pair_report",
     "prefix_overlaps",
     "ranked",
+    "read_version",
     "ratings_per_user",
     "recommend",
     "rejected_videos",
@@ -54,7 +56,9 @@ __all__ = [
     "sampling_plan",
     "stored",
     "totals",
+    "upsert",
     "user_ratings",
     "users",
+    "vacuum",
     "write_neighborhood",
 ]

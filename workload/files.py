@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import coratings as co
 from coratings.plans.staging import scratch_root
 from coratings.sinks import reports
+from coratings.sinks.upsert import read_version, upsert
 from coratings.sources.recordings import CATALOG_COLUMNS, read_catalog
 from coratings.sources.tables import accepted, read_movies, read_names, read_ratings, rejected
 from workload import neighbors as n
@@ -143,6 +144,26 @@ def _neighborhood_lines(s: SparkSession, d: str) -> DataFrame:
     return reports.neighbor_lines(result.neighbors).union(reports.rated_lines(result.recommendations))
 
 
+def _deltas(s: SparkSession, d: str) -> DataFrame:
+    """Ratings in four parts by ship date, the late ones first, merged one by
+    one into a table; position and rating as in ``dense``."""
+    path = _folder(s)
+    rated = v.positioned(v.table(s, d, "lineitem"), "l_suppkey", "l_shipdate")
+    for year in (1998, 1995, 1993, 0):
+        upsert(rated.where(F.col("part") == year).drop("part"), path, n_buckets=16)
+    return read_version(s, path).select("user_id", "movie_id", "rating")
+
+
+def _upsert_delta(s: SparkSession, d: str) -> DataFrame:
+    """The late half of the order keys merged into the table of the early half."""
+    path = _folder(s)
+    lines = v.table(s, d, "lineitem")
+    half = lines.agg((F.max("l_orderkey") / 2).cast("bigint")).first()[0]
+    for part in (lines.where(F.col("l_orderkey") <= half), lines.where(F.col("l_orderkey") > half)):
+        upsert(v.positioned(part, "l_suppkey", "l_shipdate").drop("part"), path, n_buckets=16)
+    return read_version(s, path).select("user_id", "movie_id", "rating")
+
+
 QUERIES = {
     "ratings_from_csv": lambda s, d: co.latest_ratings(
         accepted(_read_ratings(s, d), *_REQUIRED), "load_order", total_order=True
@@ -163,6 +184,8 @@ QUERIES = {
     "recommendations_table": lambda s, d: _neighborhood_tables(s, d, "recommendations"),
     "neighbor_ratings_table": lambda s, d: _neighborhood_tables(s, d, "ratings"),
     "neighborhood_lines": _neighborhood_lines,
+    "upsert_delta": _upsert_delta,
+    "upsert_late_first": _deltas,
     "report_overwritten": _report_overwritten,
 }
 
@@ -175,6 +198,8 @@ def _all_metrics(select: str) -> str:
 
 
 ORACLES = {
+    "upsert_delta": v.DENSE,
+    "upsert_late_first": v.DENSE,
     "ratings_from_csv": """
   SELECT l_suppkey AS user_id, l_partkey AS movie_id,
          ceil(max({'o': l_orderkey, 'l': l_linenumber, 'q': l_quantity}).q / 5) / 2 AS rating

@@ -3,7 +3,7 @@ and, under the same name, in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coratings import latest_ratings
 from coratings.functions.clock import stamp
@@ -13,18 +13,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _rated(lines: DataFrame, user: str) -> DataFrame:
+def _raw(lines: DataFrame, user: str, *more: Column) -> DataFrame:
     # Order, line and quantity in one number: lines are below 8 and quantities
     # below 64, and the rating follows from the quantity, so it is a total
     # order of the ratings of a (user, movie).
     position = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("bigint")
-    raw = lines.select(
+    return lines.select(
         F.col(user).alias("user_id"),
         F.col("l_partkey").alias("movie_id"),
         (F.ceil(F.col("l_quantity") / 5) / 2).cast("double").alias("rating"),
         position.alias("position"),
+        *more,
     )
-    return latest_ratings(raw, "position", total_order=True)
+
+
+def _rated(lines: DataFrame, user: str) -> DataFrame:
+    return latest_ratings(_raw(lines, user), "position", total_order=True)
+
+
+def positioned(lines: DataFrame, user: str, date: str) -> DataFrame:
+    """All ratings with their positions and ``part``, a year of ``date`` from
+    which on they belong to one part."""
+    year = F.year(date)
+    part = F.when(year >= 1998, 1998).when(year >= 1995, 1995).when(year >= 1993, 1993).otherwise(0)
+    return _raw(lines, user, part.alias("part"))
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:

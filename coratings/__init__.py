@@ -1,5 +1,6 @@
 """Neighbourhood-based recommendation and light data preparation on DataFrames."""
 
+from coratings.operators.bitmaps import common_counts, movie_bitmaps
 from coratings.operators.distances import candidate_totals, distances, overlaps, ranked
 from coratings.operators.neighbors import knn
 from coratings.operators.numbering import number_rows
@@ -29,6 +30,7 @@ from coratings.sinks.upsert import read_version, upsert, vacuum
 
 __all__ = [
     "candidate_totals",
+    "common_counts",
     "common_movies",
     "count_uppercase",
     "distances",
@@ -38,6 +40,7 @@ __all__ = [
     "latest_movies",
     "latest_ratings",
     "lookup_ratings",
+    "movie_bitmaps",
     "neighbor_ratings",
     "neighborhood",
     "number_rows",

@@ -55,3 +55,40 @@ def metric_value(metric: str) -> Column:
             _ratio(covariance, _spread("sum_aa", "sum_a") * _spread("sum_bb", "sum_b")),
         ).otherwise(0.0)
     raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
+
+
+def exact_sums(a: Column, b: Column, digits: int) -> list[Column]:
+    """``co_rated_sums`` in whole numbers: ratings count in units of the last of
+    ``digits`` decimals. Sums are exact, so they don't depend on the order of
+    the rows, and differences of large sums lose nothing."""
+    x, y = (F.round(c * F.lit(10.0**digits)).cast("bigint") for c in (a, b))
+    wide = lambda c: c.cast("decimal(18,0)")
+    return [
+        F.count("*").alias("n_common"),
+        F.sum(wide(x)).alias("sum_a"),
+        F.sum(wide(y)).alias("sum_b"),
+        F.sum(wide(x) * wide(y)).alias("sum_ab"),
+        F.sum(wide(x) * wide(x)).alias("sum_aa"),
+        F.sum(wide(y) * wide(y)).alias("sum_bb"),
+        F.sum(wide(F.abs(x - y))).alias("sum_abs"),
+        F.sum(wide(x - y) * wide(x - y)).alias("sum_sq"),
+    ]
+
+
+def exact_value(metric: str, digits: int) -> Column:
+    """The measure over the columns of ``exact_sums``, for at least one co-rated
+    movie. Only the last steps, on exact numbers, are rounded."""
+    real = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    unit = F.lit(10.0**digits)
+    if metric == "euclidean":
+        return F.sqrt(real("sum_sq")) / unit
+    if metric == "manhattan":
+        return real("sum_abs") / unit
+    if metric == "cosine":
+        return _ratio(real("sum_ab"), F.sqrt(real("sum_aa")) * F.sqrt(real("sum_bb")))
+    if metric == "pearson":
+        n = F.col("n_common").cast("decimal(18,0)")
+        spread = lambda total_sq, total: real(n * F.col(total_sq) - F.col(total) * F.col(total))
+        covariance = real(n * F.col("sum_ab") - F.col("sum_a") * F.col("sum_b"))
+        return _ratio(covariance, F.sqrt(spread("sum_aa", "sum_a")) * F.sqrt(spread("sum_bb", "sum_b")))
+    raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coratings.functions.metrics import METRICS, co_rated_sums, metric_value
+from coratings.functions.metrics import METRICS, co_rated_sums, exact_sums, exact_value, metric_value
 from coratings.operators.numbering import number_rows
 from coratings.plans.staging import among, join_small, sized, stored
 
@@ -20,9 +20,12 @@ def target_ratings(ratings: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(ratings: DataFrame, targets: DataFrame, min_common: int = 1) -> DataFrame:
+def overlaps(
+    ratings: DataFrame, targets: DataFrame, min_common: int = 1, digits: int | None = None
+) -> DataFrame:
     """Sums over the co-rated movies of every (target, other user) that have
-    at least one. One join serves all measures.
+    at least one. One join serves all measures. With ``digits`` the sums are
+    exact, of ratings with so many decimals.
 
     The targets' ratings are written once. If they fit a broadcast, the
     ratings are cut down to the targets' movies before anything is shuffled,
@@ -40,30 +43,38 @@ def overlaps(ratings: DataFrame, targets: DataFrame, min_common: int = 1) -> Dat
     if least is not None and least < min_common:
         enough = sizes.where(F.col("n") >= min_common).select("target_id")
         mine, known = stored(mine.join(sized(stored(enough)), "target_id", "left_semi")), None
+    a, b = F.col("target_rating"), F.col("rating")
     return (
         join_small(ratings, mine, "movie_id", known)
         .where(F.col("user_id") != F.col("target_id"))
         .groupBy("target_id", "user_id")
-        .agg(*co_rated_sums(F.col("target_rating"), F.col("rating")))
+        .agg(*(co_rated_sums(a, b) if digits is None else exact_sums(a, b, digits)))
     )
 
 
 def candidates(
     ratings: DataFrame, targets: DataFrame, metric: str | Sequence[str], min_common: int,
-    joined: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
+    joined: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, digits: int | None = None,
 ) -> DataFrame:
     """``distances`` in no order, for a plan that goes on from here. Several
     metrics are read off one join, with a column ``metric``. ``joined`` makes
-    the sums: ``overlaps`` (also if None) or ``prefix_overlaps``."""
+    the sums: ``overlaps`` (also if None) or ``prefix_overlaps``, not with ``digits``."""
+    if digits is not None and joined is not None:
+        raise ValueError("digits go with the plain join only")
+    value_of = metric_value if digits is None else (lambda m: exact_value(m, digits))
     metrics = [metric] if isinstance(metric, str) else list(metric)
     for name in metrics:
         if name not in METRICS:
             raise ValueError(f"unknown metric {name!r}, expected one of {METRICS}")
-    found = (joined or overlaps)(ratings, targets, min_common).where(F.col("n_common") >= min_common)
+    if digits is None:
+        found = (joined or overlaps)(ratings, targets, min_common)
+    else:
+        found = overlaps(ratings, targets, min_common, digits)
+    found = found.where(F.col("n_common") >= min_common)
     intersects = (F.col("n_common") > 0).alias("intersects")
     if isinstance(metric, str):
-        return found.select("target_id", "user_id", metric_value(metric).alias("value"), intersects, "n_common")
-    values = [F.struct(F.lit(m).alias("metric"), metric_value(m).alias("value")) for m in metrics]
+        return found.select("target_id", "user_id", value_of(metric).alias("value"), intersects, "n_common")
+    values = [F.struct(F.lit(m).alias("metric"), value_of(m).alias("value")) for m in metrics]
     return found.select("target_id", "user_id", "n_common", intersects, F.explode(F.array(*values)).alias("m")).select(
         "m.metric", "target_id", "user_id", "m.value", "intersects", "n_common"
     )
@@ -76,11 +87,15 @@ def listing_order(metric: str) -> Column:
 
 
 def distances(
-    ratings: DataFrame, targets: DataFrame, metric: str, min_common: int
+    ratings: DataFrame, targets: DataFrame, metric: str, min_common: int, digits: int | None = None
 ) -> DataFrame:
     """Every other user with at least ``min_common`` movies in common with a
-    target, by the measure; ties by user id. No overlap is never listed."""
-    found = candidates(ratings, targets, metric, min_common)
+    target, by the measure; ties by user id. No overlap is never listed.
+
+    Give ``digits``, the decimals that ratings have, if they don't lie on a
+    0.5 grid: sums are then exact, and neither values nor near-ties depend on
+    the order of summation. Ratings are rounded to so many decimals."""
+    found = candidates(ratings, targets, metric, min_common, digits=digits)
     return found.orderBy("target_id", listing_order(metric), "user_id")
 
 

@@ -25,18 +25,18 @@ def nearness(metric: str) -> Column:
 
 def knn(
     ratings: DataFrame, targets: DataFrame, metric: str | Sequence[str], k: int, min_common: int,
-    joined: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
+    joined: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, digits: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest users of every target, ranked from 1, ties by user id.
 
     With a list of metrics one join serves all of them, and a column
     ``metric`` comes first. All candidates if there are fewer than ``k``, none
-    for ``k = 0``. ``joined`` is for ``candidates``. Runs jobs; store the result
-    before using it more than once.
+    for ``k = 0``. ``joined`` and ``digits`` are for ``candidates``. Runs jobs;
+    store the result before using it more than once.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    found = candidates(ratings, targets, metric, min_common, joined).withColumnRenamed(
+    found = candidates(ratings, targets, metric, min_common, joined, digits).withColumnRenamed(
         "user_id", "neighbor_id"
     )
     if isinstance(metric, str):

@@ -1,23 +1,31 @@
 """Tables (parquet) and text reports, one row per record.
 
 Text reports are sorted across their part files and hold no header or footer
-lines; the totals are tables of their own (``totals``, ``rows_per_neighbor``).
+lines; writers return the number of rows, which the write itself counts, and
+totals by key are tables of their own (``totals``, ``rows_per_neighbor``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from coratings.functions.text import ten_decimals
 from coratings.operators.ratings import users
 from coratings.plans.staging import stored
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Any result as parquet."""
+def write_table(df: DataFrame, path: str) -> int:
+    """Any result as parquet; returns the number of rows, counted as they are written."""
+    seen, df = _observed(df)
     df.write.mode("overwrite").parquet(path)
+    return seen.get.get("rows", 0)
+
+
+def _observed(df: DataFrame) -> tuple[Observation, DataFrame]:
+    seen = Observation()
+    return seen, df.observe(seen, F.count(F.lit(1)).alias("rows"))
 
 
 def write_ratings(ratings: DataFrame, path: str) -> None:
@@ -66,26 +74,30 @@ def distance_lines(distances: DataFrame) -> DataFrame:
     )
 
 
-def write_users(ratings: DataFrame, path: str) -> None:
-    """User ids, one per line."""
-    _write_lines(users(ratings).orderBy("user_id"), path, F.col("user_id"))
+def write_users(ratings: DataFrame, path: str) -> int:
+    """User ids, one per line; returns how many users have ratings."""
+    return _write_lines(users(ratings).orderBy("user_id"), path, F.col("user_id"))
 
 
-def write_movies(movies: DataFrame, path: str) -> None:
-    """``id title`` per line."""
-    _write_lines(movies.orderBy("movie_id"), path, F.col("movie_id"), F.col("title"))
+def write_movies(movies: DataFrame, path: str) -> int:
+    """``id title`` per line; returns how many movies are listed."""
+    return _write_lines(movies.orderBy("movie_id"), path, F.col("movie_id"), F.col("title"))
 
 
-def write_distances(distances: DataFrame, path: str) -> None:
-    """``id value flag`` per line, in the order of ``distances``."""
-    distance_lines(distances).write.mode("overwrite").text(path)
+def write_distances(distances: DataFrame, path: str) -> int:
+    """``id value flag`` per line, in the order of ``distances``; returns the
+    number of candidates."""
+    return _write_lines(distance_lines(distances), path, F.col("line"))
 
 
-def write_common_movies(common: DataFrame, path: str) -> None:
-    """Movie ids, one per line. For one pair; use ``write_table`` for many."""
-    _write_lines(common.orderBy("movie_id"), path, F.col("movie_id"))
+def write_common_movies(common: DataFrame, path: str) -> int:
+    """Movie ids, one per line; returns their number. For one pair; use
+    ``write_table`` for many."""
+    return _write_lines(common.orderBy("movie_id"), path, F.col("movie_id"))
 
 
-def _write_lines(df: DataFrame, path: str, *columns: Column) -> None:
+def _write_lines(df: DataFrame, path: str, *columns: Column) -> int:
     line = F.concat_ws(" ", *columns)
-    df.select(line.alias("line")).write.mode("overwrite").text(path)
+    seen, lines = _observed(df.select(line.alias("line")))
+    lines.write.mode("overwrite").text(path)
+    return seen.get.get("rows", 0)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from coratings.functions.clock import base_name
 from coratings.sources.tables import read_lines
 
 CATALOG_SCHEMA = "path STRING, fps DOUBLE, total_frames BIGINT"
@@ -26,3 +27,19 @@ def list_recordings(spark: SparkSession, path: str, pattern: str = "*") -> DataF
         .load(path)
         .select("path", "length", "modificationTime")
     )
+
+
+def match_catalog(catalog: DataFrame, files: DataFrame, of_file: Column | None = None) -> DataFrame:
+    """A catalog held against the files of ``list_recordings``: ``name, path,
+    fps, total_frames, file, length, status``.
+
+    Both are matched by the recording's name, a path's last part without its
+    ending, or for files what ``of_file`` makes of their columns. ``status`` is
+    ``matched``, ``no_file`` (a catalog row only) or ``not_in_catalog`` (a file only).
+    A name that either side has several times gives a row for each pair.
+    """
+    rows = catalog.select(base_name(F.col("path")).alias("name"), *CATALOG_COLUMNS, F.lit(True).alias("listed"))
+    name = base_name(F.col("path")) if of_file is None else of_file
+    found = files.select(name.alias("name"), F.col("path").alias("file"), "length")
+    status = F.when(F.col("file").isNull(), "no_file").when(F.col("listed").isNull(), "not_in_catalog").otherwise("matched")
+    return rows.join(found, "name", "full").select("name", *CATALOG_COLUMNS, "file", "length", status.alias("status"))

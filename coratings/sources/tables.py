@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coratings.functions.text import split_genres
 
@@ -16,6 +16,10 @@ CORRUPT = "_corrupt_record"
 # The listing and the scan write the slashes after a scheme differently.
 SLASHES = (r"^(\w+):/+", r"\1:/")
 
+# Ranks of so many files are broadcast, with their names; those of more are
+# joined by a shuffle, in which AQE parts the lines of a large file.
+BROADCAST_FILES = 100_000
+
 # Column order of the three files. A reader skips the header
 # line of each file without looking at it.
 RATINGS_SCHEMA = "user_id BIGINT, movie_id BIGINT, rating DOUBLE, ts STRING"
@@ -41,10 +45,9 @@ def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     )
     # The driver has listed the files to plan the scan.
     files = sorted({re.sub(*SLASHES, f) for f in lines.inputFiles()})
-    if len(files) >= 1 << 18:
-        raise ValueError("more than 262,143 files in one load; load them in parts")
-    ranks = list(enumerate(files))
-    ranks = F.broadcast(spark.createDataFrame(ranks, "_rank BIGINT, _file STRING"))
+    ranks = spark.createDataFrame(list(enumerate(files)), "_rank BIGINT, _file STRING")
+    if len(files) <= BROADCAST_FILES:
+        ranks = F.broadcast(ranks)
     placed = lines.withColumns(
         {
             "_path": F.regexp_replace("_metadata.file_path", SLASHES[0], SLASHES[1].replace("\\", "$")),
@@ -53,11 +56,15 @@ def read_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
         }
     ).join(ranks, F.col("_path") == F.col("_file"), "left")
     rank = F.coalesce("_rank", F.raise_error(F.lit("a file that was not listed")).cast("bigint"))
-    # 18 bits of rank and 44 of a byte in a file are one long; a line counter
-    # is below ten thousand million.
-    block = rank * (1 << 44) + F.col("_block")
-    order = block.cast("DECIMAL(19,0)") * F.lit(10**10).cast("DECIMAL(11,0)") + F.col("_line")
-    return placed.select(*lines.columns, order.cast("DECIMAL(38,0)").alias("load_order"))
+    return placed.select(*lines.columns, load_order(rank, F.col("_block"), F.col("_line")).alias("load_order"))
+
+
+def load_order(rank: Column, block: Column, line: Column) -> Column:
+    """One number for a place: ten digits of the file's rank, fourteen of a
+    byte in the file, ten of a line counter."""
+    wide = lambda c, digits: c.cast(f"DECIMAL({digits},0)")
+    of_file = wide(rank, 10) * wide(F.lit(10**14), 15) + wide(block, 14)
+    return (wide(of_file, 26) * wide(F.lit(10**10), 11) + wide(line, 10)).cast("DECIMAL(38,0)")
 
 
 def read_ratings(spark: SparkSession, path: str | list[str]) -> DataFrame:

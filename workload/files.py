@@ -11,7 +11,7 @@ import coratings as co
 from coratings.plans.staging import scratch_root
 from coratings.sinks import reports
 from coratings.sinks.upsert import read_version, upsert
-from coratings.sources.recordings import CATALOG_COLUMNS, read_catalog
+from coratings.sources.recordings import CATALOG_COLUMNS, list_recordings, match_catalog, read_catalog
 from coratings.sources.tables import accepted, read_movies, read_names, read_ratings, rejected
 from workload import neighbors as n
 from workload import views as v
@@ -144,6 +144,37 @@ def _neighborhood_lines(s: SparkSession, d: str) -> DataFrame:
     return reports.neighbor_lines(result.neighbors).union(reports.rated_lines(result.recommendations))
 
 
+def _written_totals(s: SparkSession, d: str) -> DataFrame:
+    """What the writers of the reports say they have written."""
+    ratings = co.stored(v.sparse(s, d))
+    found = n.QUERIES["dist_euclidean_sparse"](s, d)
+    totals = [
+        ("users", reports.write_users(ratings, _folder(s))),
+        ("movies", reports.write_movies(v.movies(s, d), _folder(s))),
+        ("candidates", reports.write_distances(found, _folder(s))),
+        ("ratings", reports.write_table(ratings, _folder(s))),
+        ("nobody", reports.write_distances(found.where("n_common < 0"), _folder(s))),
+    ]
+    return s.createDataFrame(totals, "kind STRING, total BIGINT")
+
+
+def _catalog_joined(s: SparkSession, d: str) -> DataFrame:
+    """A recording a month, its file with a line for each order; every fifth
+    month has no file and every seventh no catalog row."""
+    orders = v.table(s, d, "orders")
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("month")
+    name = F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd_HH-mm-ss").alias("recording")
+    lines = co.stored(orders.select(month, name, F.col("o_orderkey").cast("string").alias("line")))
+    folder = _folder(s)
+    lines.where("month % 5 <> 0").repartition("recording").select("recording", "line").write.partitionBy("recording").text(folder)
+    catalog = lines.where("month % 7 <> 0").groupBy("recording").agg(F.count("*").alias("total_frames")).select(
+        F.concat(F.lit("/v/"), "recording", F.lit(".mkv")).alias("path"), F.lit(30.0).alias("fps"), "total_frames"
+    )
+    named = F.regexp_extract("path", "recording=([^/]+)/", 1)
+    matched = match_catalog(catalog, list_recordings(s, folder, "*.txt"), named)
+    return matched.select("name", "path", "fps", "total_frames", "length", "status")
+
+
 def _deltas(s: SparkSession, d: str) -> DataFrame:
     """Ratings in four parts by ship date, the late ones first, merged one by
     one into a table; position and rating as in ``dense``."""
@@ -185,6 +216,8 @@ QUERIES = {
     "neighbor_ratings_table": lambda s, d: _neighborhood_tables(s, d, "ratings"),
     "neighborhood_lines": _neighborhood_lines,
     "upsert_delta": _upsert_delta,
+    "written_totals": _written_totals,
+    "catalog_joined": _catalog_joined,
     "upsert_late_first": _deltas,
     "report_overwritten": _report_overwritten,
 }
@@ -198,6 +231,18 @@ def _all_metrics(select: str) -> str:
 
 
 ORACLES = {
+    "written_totals": f"""SELECT 'users' AS kind, count(DISTINCT o_custkey) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT 'movies', count(*) FROM part
+  UNION ALL SELECT 'candidates', count(*) FROM ({n.distances_sql(v.SPARSE, [n.SPARSE_TARGET], 'euclidean', 1)} SELECT user_id FROM dist)
+  UNION ALL SELECT 'ratings', count(*) FROM ({v.SPARSE})
+  UNION ALL SELECT 'nobody', 0""",
+    "catalog_joined": """WITH m AS (
+  SELECT year(o_orderdate) * 12 + month(o_orderdate) AS month, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d_%H-%M-%S') AS name,
+         count(*) AS total_frames, sum(strlen(o_orderkey::VARCHAR) + 1)::BIGINT AS length FROM orders GROUP BY 1, 2)
+  SELECT name, CASE WHEN month % 7 <> 0 THEN '/v/' || name || '.mkv' END AS path, CASE WHEN month % 7 <> 0 THEN 30.0::DOUBLE END AS fps,
+         CASE WHEN month % 7 <> 0 THEN total_frames END AS total_frames, CASE WHEN month % 5 <> 0 THEN length END AS length,
+         CASE WHEN month % 5 = 0 THEN 'no_file' WHEN month % 7 = 0 THEN 'not_in_catalog' ELSE 'matched' END AS status
+  FROM m WHERE month % 5 <> 0 OR month % 7 <> 0""",
     "upsert_delta": v.DENSE,
     "upsert_late_first": v.DENSE,
     "ratings_from_csv": """

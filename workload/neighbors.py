@@ -31,6 +31,17 @@ _SUMS = """count(*) AS n_common, sum(a.rating) AS sa, sum(b.rating) AS sb,
          sum((a.rating - b.rating) * (a.rating - b.rating)) AS sdd"""
 
 
+# The same over sums of cents, which are whole numbers.
+_EXACT = {
+    "euclidean": "sqrt(sdd::DOUBLE) / 100.0::DOUBLE",
+    "manhattan": "sabs::DOUBLE / 100.0::DOUBLE",
+    "cosine": "CASE WHEN saa <> 0 AND sbb <> 0 THEN sab::DOUBLE / (sqrt(saa::DOUBLE) * sqrt(sbb::DOUBLE)) ELSE 0.0::DOUBLE END",
+    "pearson": """CASE WHEN n_common * saa <> sa * sa AND n_common * sbb <> sb * sb
+      THEN (n_common * sab - sa * sb)::DOUBLE / (sqrt((n_common * saa - sa * sa)::DOUBLE) * sqrt((n_common * sbb - sb * sb)::DOUBLE))
+      ELSE 0.0::DOUBLE END""",
+}
+
+
 def _overlap(ratings: str, targets: Iterable[int]) -> str:
     ids = ", ".join(str(t) for t in targets)
     return f"""WITH r AS ({ratings}),
@@ -40,16 +51,16 @@ def _overlap(ratings: str, targets: Iterable[int]) -> str:
   WHERE a.user_id IN ({ids}) GROUP BY 1, 2)"""
 
 
-def distances_sql(ratings: str, targets: Iterable[int], metric: str, min_common: int) -> str:
+def distances_sql(ratings: str, targets: Iterable[int], metric: str, min_common: int, exact: bool = False) -> str:
     return f"""{_overlap(ratings, targets)},
   dist AS (
-  SELECT target_id, user_id, {MEASURES[metric]} AS value, n_common > 0 AS intersects, n_common
+  SELECT target_id, user_id, {(_EXACT if exact else MEASURES)[metric]} AS value, n_common > 0 AS intersects, n_common
   FROM overlap WHERE n_common >= {min_common})"""
 
 
-def knn_sql(ratings: str, targets: Iterable[int], metric: str, k: int, min_common: int) -> str:
+def knn_sql(ratings: str, targets: Iterable[int], metric: str, k: int, min_common: int, exact: bool = False) -> str:
     direction = "DESC" if metric in ("cosine", "pearson") else "ASC"
-    return f"""{distances_sql(ratings, targets, metric, min_common)},
+    return f"""{distances_sql(ratings, targets, metric, min_common, exact)},
   nn AS (
   SELECT target_id, user_id AS neighbor_id,
          row_number() OVER (PARTITION BY target_id ORDER BY value {direction}, user_id) AS neighbor_rank,
@@ -129,6 +140,12 @@ QUERIES = {
     "user_ratings": lambda s, d: co.user_ratings(v.dense(s, d), _users(s, [DENSE_TARGET])),
     "user_ratings_batch": lambda s, d: co.user_ratings(v.dense(s, d), _debtors(s, d)),
     "common_movies": lambda s, d: co.common_movies(v.dense(s, d), v.supplier_pairs(s, d)),
+    "common_counts": lambda s, d: co.common_counts(
+        co.stored(co.movie_bitmaps(v.dense(s, d))), v.supplier_pairs(s, d)
+    ),
+    "common_counts_wide": lambda s, d: co.common_counts(
+        co.stored(co.movie_bitmaps(v.dense(s, d).withColumn("movie_id", F.col("movie_id") * 37))), v.supplier_pairs(s, d)
+    ),
     "pair_report": lambda s, d: co.pair_report(v.dense(s, d), v.supplier_pairs(s, d)),
     "pair_report_sparse": lambda s, d: co.pair_report(v.sparse(s, d), v.supplier_pairs(s, d)),
     "dist_euclidean": _distances(v.dense, DENSE_TARGET, "euclidean", 135),
@@ -152,6 +169,11 @@ QUERIES = {
     "knn_unbounded": _knn(v.sparse, BATCH, "manhattan", 1_000_000_000, 1),
     "knn_wide": _knn(v.sparse, BATCH, "cosine", 2000, 1),
     "knn_metrics": _knn(v.dense, BATCH, list(MEASURES), 5, 1),
+    **{
+        f"dist_{m}_offgrid": lambda s, d, m=m: co.distances(v.offgrid(s, d), _users(s, BATCH), m, 2, digits=2)
+        for m in MEASURES
+    },
+    "knn_offgrid": lambda s, d: co.knn(v.offgrid(s, d), _users(s, BATCH), list(MEASURES), 5, 2, digits=2),
     "knn_prefix": _knn_prefix(v.sparse, "cosine", 3),
     "knn_prefix_popular": _knn_prefix(v.popular, "euclidean", 14),
     **{
@@ -194,6 +216,10 @@ _PAIR_REPORT = """WITH r AS ({ratings}), pairs AS ({pairs}),
     FROM pairs p LEFT JOIN sizes x ON x.user_id = p.user_a LEFT JOIN sizes y ON y.user_id = p.user_b
                  LEFT JOIN sums ON sums.user_a = p.user_a AND sums.user_b = p.user_b)
   SELECT user_a, user_b, size_a, size_b, n_common, n_common > 0 AS intersects, {measures} FROM report"""
+_COMMON_COUNTS = f"""WITH r AS ({v.DENSE}), pairs AS ({v.SUPPLIER_PAIRS}),
+  counts AS (SELECT user_a, user_b, count(*) AS n FROM pairs JOIN r a ON a.user_id = user_a
+             JOIN r b ON b.user_id = user_b AND b.movie_id = a.movie_id GROUP BY 1, 2)
+  SELECT user_a, user_b, coalesce(n, 0) AS n_common, n IS NOT NULL AS intersects FROM pairs LEFT JOIN counts USING (user_a, user_b)"""
 _LOOKUP = """WITH r AS ({ratings}), q AS ({requests})
   SELECT q.user_id, q.movie_id, r.rating,
          CASE WHEN r.user_id IS NOT NULL THEN 'found'
@@ -228,6 +254,8 @@ ORACLES = {
     "common_movies": f"""WITH r AS ({v.DENSE}), pairs AS ({v.SUPPLIER_PAIRS})
   SELECT user_a, user_b, a.movie_id FROM pairs JOIN r a ON a.user_id = user_a
   JOIN r b ON b.user_id = user_b AND b.movie_id = a.movie_id""",
+    "common_counts": _COMMON_COUNTS,
+    "common_counts_wide": _COMMON_COUNTS,
     "pair_report": _pair_report_sql(v.DENSE),
     "pair_report_sparse": _pair_report_sql(v.SPARSE),
     "dist_euclidean": f"{distances_sql(v.DENSE, [DENSE_TARGET], 'euclidean', 135)} {_DIST}",
@@ -250,6 +278,10 @@ ORACLES = {
     "knn_batch": f"{_NEAREST} {_NN}",
     "knn_unbounded": f"{knn_sql(v.SPARSE, BATCH, 'manhattan', 1_000_000_000, 1)} {_NN}",
     "knn_wide": f"{knn_sql(v.SPARSE, BATCH, 'cosine', 2000, 1)} {_NN}",
+    **{f"dist_{m}_offgrid": f"{distances_sql(v.OFFGRID, BATCH, m, 2, exact=True)} {_DIST}" for m in MEASURES},
+    "knn_offgrid": " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, * FROM ({knn_sql(v.OFFGRID, BATCH, m, 5, 2, exact=True)} {_NN})" for m in MEASURES
+    ),
     "knn_prefix": f"{knn_sql(v.SPARSE, [_DEBTORS], 'cosine', 5, 3)} {_NN}",
     "knn_prefix_popular": f"{knn_sql(v.POPULAR, [_DEBTORS], 'euclidean', 5, 14)} {_NN}",
     "knn_metrics": " UNION ALL ".join(

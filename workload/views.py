@@ -61,6 +61,20 @@ def popular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rated(joined.withColumn("l_partkey", part.cast("bigint")), "o_custkey")
 
 
+def offgrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as users; the last five digits of prices, with two decimals, as ratings."""
+    cents = F.round(F.col("l_extendedprice").cast("double") * 100).cast("bigint") % 100_000
+    raw = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("user_id"),
+        F.col("l_partkey").alias("movie_id"),
+        (cents / 100).alias("rating"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_quantity",
+    )
+    return latest_ratings(raw, ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as movies; brand and type as genres."""
     return table(spark, sf_dir, "part").select(
@@ -119,6 +133,11 @@ DENSE = _RATED.format(user="l_suppkey", source="lineitem")
 SPARSE = _RATED.format(
     user="o_custkey", source="lineitem JOIN orders ON l_orderkey = o_orderkey"
 )
+OFFGRID = """
+  SELECT l_suppkey AS user_id, l_partkey AS movie_id,
+         max({'o': l_orderkey, 'l': l_linenumber, 'q': l_quantity,
+              'c': round(l_extendedprice::DOUBLE * 100)::BIGINT % 100000}).c AS rating
+  FROM lineitem GROUP BY 1, 2"""
 POPULAR = _RATED.format(
     user="o_custkey",
     source="""(SELECT * REPLACE ((CASE WHEN l_linenumber % 3 <> 0 THEN (l_partkey * 7 + l_linenumber) % 49

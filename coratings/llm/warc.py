@@ -18,6 +18,7 @@ from coratings.llm.staging import BROADCAST_TEXT_ROWS, cut, folder, sized
 
 ARCHIVE = 256 << 20  # bytes after which a task begins another archive
 READ = 8 << 20  # bytes read at once, a larger record excepted
+TASK = 64 << 20  # bytes of archives that a task reads, about
 GAP = 64 << 10  # bytes between two wanted records that are read along
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -162,9 +163,12 @@ def read_records(selected: DataFrame, where: str, with_payload: bool = False) ->
     """The records of the index rows ``selected``: page_id and refers_to as text, url, record_type, payload_digest, payload_bytes.
 
     Rows are range partitioned and sorted by file and offset, and neighbours
-    are read together. Every response's payload is held against its digest.
+    are read together. There are as many partitions as the archives' bytes
+    ask for, whatever the size of the index. Every response's payload is held
+    against its digest. Runs a job: the lengths are added up.
     """
-    ordered = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // TASK))
+    ordered = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     payload = ", payload binary" if with_payload else ""
     return ordered.mapInArrow(
         _reader(where, with_payload),

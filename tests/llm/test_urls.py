@@ -1,5 +1,7 @@
+import duckdb
 from coratings.llm.queries import URL_RULES
-from coratings.llm.urls import spread, url_verdicts
+from coratings.llm.urls import spread, url_verdicts, verdict_sql
+from pyspark.sql import functions as F
 
 
 def link(*hosts):
@@ -33,11 +35,51 @@ def test_rules_and_links(spark):
 
 
 def test_page_rank_by_hand(spark):
+    """What the linkless c holds goes back to the seed, so scores add up to 1."""
     seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, p double")
     edges = spark.createDataFrame([("a", "b", 3), ("a", "c", 1), ("b", "a", 1)], "src string, dst string, n long")
-    got = {r.host: r.p for r in spread(seeds, edges, rounds=60).where("kind = 'trust'").collect()}
-    a = 0.15 / (1 - 0.85 * 0.75 * 0.85)
-    assert abs(got["a"] - a) < 1e-6 and abs(got["b"] - a * 0.85 * 0.75) < 1e-6 and abs(got["c"] - a * 0.85 * 0.25) < 1e-6
+    got = {r.host: r.p for r in spread(seeds, edges, 10**6).where("kind = 'trust'").collect()}
+    a = 1 / 1.85
+    assert abs(got["a"] - a) < 1e-7 and abs(got["b"] - a * 0.85 * 0.75) < 1e-7 and abs(got["c"] - a * 0.85 * 0.25) < 1e-7
+    assert set(got) == {"a", "b", "c"}
+
+
+def test_a_long_chain_is_judged_to_its_end(spark):
+    pages = [(k, f"http://h{k}.org/", link(f"h{k - 1}.org" if k else "bad.net")) for k in range(40)]
+    pages = spark.createDataFrame([*pages, (-1, "http://bad.net/es/1", ""), (-2, "http://alone.org/", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_verdicts(pages, URL_RULES).collect()}
+    assert [got[k].verdict for k in range(40)] == ["block"] * 40 and got[-2].verdict == "allow"
+    assert all(got[k].distrust > got[k + 1].distrust > 0 for k in range(39))
+
+
+def test_few_blocked_pages_seed_too(spark):
+    """One blocked page of five tells against a host without trust, and with trust the greater share decides."""
+    rows = [(k, "http://mixed.net/en/", "") for k in range(4)] + [(4, "http://mixed.net/es/", "")]
+    rows += [(5, "http://b.example.com/en/", ""), (6, "http://b.example.com/", "")] + [(k, "http://www.example.com/en/", link("c.org", "mixed.net")) for k in (7, 8)] + [(9, "http://c.org/", "")]
+    got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert got[0].distrust > 0 and got[0].trust > 0 and got[9].trust > 0 and got[9].verdict == "allow"
+    assert got[0].verdict == ("block" if got[0].distrust >= got[0].trust else "allow")
+
+
+def test_hosts_with_blocked_pages_carry_distrust(spark, sf_check):
+    got = url_verdicts(spark.read.parquet(f"{sf_check}/pages.parquet"), URL_RULES)
+    by_host = got.groupBy("host").agg(F.max(F.expr("rule IN ('net/es/', 'net/fr/', 'example.com/en/')")).alias("ruled"), F.min("distrust").alias("least"))
+    rows = by_host.where("ruled").collect()
+    assert len(rows) >= 4 and all(r.least > 0 for r in rows)
+
+
+def test_sql_on_a_graph(spark, tmp_path):
+    """The SQL twin agrees where links carry trust, with links in every form."""
+    forms = [(100 + i, f"http://helper{i}.org/", html) for i, html in enumerate([*FORMS, *NO_LINKS])]
+    chain = [(200 + k, f"http://h{k}.org/", link(f"h{k - 1}.org" if k else "bad.net", "good.com")) for k in range(6)]
+    pages = spark.createDataFrame([*PAGES, *forms, *chain], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({verdict_sql(URL_RULES)})").fetchall()
+    got = [tuple(r) for r in url_verdicts(pages, URL_RULES).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_no_pages(spark):

@@ -26,6 +26,7 @@ from coratings.operators.sampling import (
 )
 from coratings.plans.neighborhood import neighborhood, write_neighborhood
 from coratings.plans.staging import release, stored
+from coratings.sinks.indexed import open_indexed, write_indexed
 from coratings.sinks.upsert import read_version, upsert, vacuum
 
 __all__ = [
@@ -44,6 +45,7 @@ __all__ = [
     "neighbor_ratings",
     "neighborhood",
     "number_rows",
+    "open_indexed",
     "overlaps",
     "pair_report",
     "prefix_overlaps",
@@ -63,5 +65,6 @@ __all__ = [
     "user_ratings",
     "users",
     "vacuum",
+    "write_indexed",
     "write_neighborhood",
 ]

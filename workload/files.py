@@ -175,6 +175,17 @@ def _catalog_joined(s: SparkSession, d: str) -> DataFrame:
     return matched.select("name", "path", "fps", "total_frames", "length", "status")
 
 
+def _indexed(s: SparkSession, ratings: DataFrame) -> DataFrame:
+    return co.write_indexed(ratings, f"ratings_{uuid.uuid4().hex}", _folder(s), n_buckets=8)
+
+
+def _neighbor_ratings_indexed(s: SparkSession, d: str) -> DataFrame:
+    ratings = _indexed(s, v.dense(s, d))
+    targets = s.createDataFrame([(t,) for t in n.BATCH], "user_id BIGINT")
+    nearest = co.stored(co.knn(ratings, targets, "euclidean", 5, 1))
+    return co.neighbor_ratings(ratings, nearest)
+
+
 def _deltas(s: SparkSession, d: str) -> DataFrame:
     """Ratings in four parts by ship date, the late ones first, merged one by
     one into a table; position and rating as in ``dense``."""
@@ -217,6 +228,9 @@ QUERIES = {
     "neighborhood_lines": _neighborhood_lines,
     "upsert_delta": _upsert_delta,
     "written_totals": _written_totals,
+    "lookup_indexed": lambda s, d: co.lookup_ratings(_indexed(s, v.sparse(s, d)), v.requests(s, d)),
+    "user_ratings_indexed": lambda s, d: co.user_ratings(_indexed(s, v.dense(s, d)), n._debtors(s, d)),
+    "neighbor_ratings_indexed": _neighbor_ratings_indexed,
     "catalog_joined": _catalog_joined,
     "upsert_late_first": _deltas,
     "report_overwritten": _report_overwritten,
@@ -231,6 +245,9 @@ def _all_metrics(select: str) -> str:
 
 
 ORACLES = {
+    "lookup_indexed": n.ORACLES["lookup_rating_sparse"],
+    "user_ratings_indexed": n.ORACLES["user_ratings_batch"],
+    "neighbor_ratings_indexed": n.ORACLES["neighbor_ratings"],
     "written_totals": f"""SELECT 'users' AS kind, count(DISTINCT o_custkey) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   UNION ALL SELECT 'movies', count(*) FROM part
   UNION ALL SELECT 'candidates', count(*) FROM ({n.distances_sql(v.SPARSE, [n.SPARSE_TARGET], 'euclidean', 1)} SELECT user_id FROM dist)

@@ -1,8 +1,10 @@
 import re
+import textwrap
 from importlib import resources
 
+import duckdb
 import pytest
-from coratings.llm.licenses import license_scan
+from coratings.llm.licenses import license_scan, license_sql
 
 
 def test_whole_texts_and_lines(spark):
@@ -46,6 +48,39 @@ def test_whole_licenses(spark, filed):
     assert all(name in got[i][1].split(",") for i, (name, _) in enumerate(rows))
 
 
+def test_any_width_of_lines(spark, filed):
+    """Every text at eleven widths and on one line, as filed and below a copyright statement of its own."""
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text.strip()))
+
+    rows = [(name, wrapped(text, width)) for name, text in filed.items() for width in range(50, 101, 5)]
+    rows += [(name, f"Copyright (c) 1999, 2001 Another One\nCopyright The Other Authors\nAll rights reserved.\n\n{text}") for name, text in rows]
+    rows += [(name, " ".join(text.split())) for name, text in filed.items()]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.whole_license for r in license_scan(docs).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_words_of_other_lines_stay(spark):
+    """A line that only begins with the word, or with a clause's letter, is no statement."""
+    known = spark.createDataFrame([("Mine", "(c) You must keep this.\ncopyright notices go here")], "license string, text string")
+    rows = [(1, "(c) You must keep this. copyright notices\ngo here"), (2, "go here"), (3, "You must keep this.\ngo here")]
+    got = {r.doc_id: r.whole_license for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert got == {1: "Mine", 2: None, 3: None}
+
+
+def test_sql_knows_whole_licenses(spark, filed, tmp_path):
+    rows = [(1, filed["MIT"]), (2, f"Copyright (c) 2001 X\n\n{filed['GPL-2.0']}"), (3, None), (4, filed["Apache-2.0"].replace("\n", " ")), (5, "a\n\nMIT"), (6, "SPDX-License-Identifier: MIT"), (7, " \n\n©")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/docs/*.parquet'")
+    columns = ["doc_id", "text_digest", "whole_license", "licenses", "n_license_lines"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({license_sql()})").fetchall()
+    got = [tuple(r) for r in license_scan(docs).select(*columns).collect()]
+    assert sorted(got) == sorted(want) and [r[2] for r in sorted(got)] == ["MIT", "GPL-2.0", None, "Apache-2.0", None, "MIT", None]
+
+
 def test_part_of_a_license(spark, filed):
     docs = spark.createDataFrame([(1, filed["MIT"].split("\n\n")[0]), (2, f"{filed['MIT']}\nand more")], "doc_id long, text string")
     assert all(r.whole_license is None for r in license_scan(docs).collect())

@@ -59,6 +59,8 @@ SPELLINGS = (
 STATEMENT = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©)[^\p{L}\p{N}]*(c\)|copyright|[12][0-9]{3}|yyyy|year)"
 # In a paragraph of nothing else also lines like these.
 LOOSE = STATEMENT + r"|^[^\p{L}\p{N}]*(copyright|all rights reserved[^\p{L}\p{N}]*$)"
+# Texts without any of these have one canonical form.
+SIGNS = r"(?i)copyright|\(c\)|©|all rights reserved"
 PARAGRAPHS = r"\n[ \t\r]*\n"
 
 
@@ -80,7 +82,7 @@ def canonical_lines(text: Column) -> Column:
 
 def canonical_paragraphs(text: Column) -> Column:
     """Canonical forms of paragraphs, without those of copyright statements alone: how paragraphs are wrapped plays no part."""
-    alone = lambda p: F.forall(F.split(p, "\n"), lambda x: F.lower(x).rlike(LOOSE) | (words_of(x) == ""))
+    alone = lambda p: F.forall(F.split(p, "\n"), lambda x: F.lower(x).rlike(LOOSE) | ~x.rlike(r"[\p{L}\p{N}]"))
     parts = F.transform(F.split(text, PARAGRAPHS), lambda p: F.when(alone(p), F.lit("")).otherwise(words_of(p)))
     return F.filter(parts, lambda x: x != "")
 
@@ -90,16 +92,18 @@ def digest(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
 
 
-def digests(text: Column) -> Column:
-    """Digests of a text without the lines that state a copyright, without paragraphs of them, and of all its words."""
+def digests(text: Column, lines: Column) -> Column:
+    """Digests of a text, given its canonical lines too: without the lines that state a copyright, without paragraphs of them, and of all its words."""
     every = F.filter(F.array(words_of(text)), lambda x: x != "")
-    found = F.array(digest(canonical_lines(text)), digest(canonical_paragraphs(text)), digest(every))
+    several = F.array(digest(lines), digest(canonical_paragraphs(text)), digest(every))
+    found = F.when(text.rlike(SIGNS), several).otherwise(F.array(digest(lines)))
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """license, digest of every known text (columns license, text); of equal texts the least name."""
-    return known.select("license", F.explode(digests(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    lines = known.select("license", "text", canonical_lines(F.col("text")).alias("lines"))
+    return lines.select("license", F.explode(digests(F.col("text"), F.col("lines"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -147,9 +151,9 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     spark = docs.sparkSession
     lookup = known_digests(known if known is not None else built_in(spark))
     lines = text_columns(docs).select(
-        "doc_id", F.monotonically_increasing_id().alias("rid"), canonical_lines(F.col("text")).alias("lines"), digests(F.col("text")).alias("digests")
+        "doc_id", "text", F.monotonically_increasing_id().alias("rid"), canonical_lines(F.col("text")).alias("lines")
     )
-    hashed = lines.select("rid", "doc_id", digest(F.col("lines")).alias("text_digest"), "digests", F.transform("lines", lambda x: F.sha2(x, 256)).alias("lines"))
+    hashed = lines.select("rid", "doc_id", digest(F.col("lines")).alias("text_digest"), digests(F.col("text"), F.col("lines")).alias("digests"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("lines"))
     hashed = cut(hashed)
     lookup = sized(cut(lookup), BROADCAST_TEXT_ROWS)
     by_line = (

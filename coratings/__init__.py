@@ -1,6 +1,7 @@
 """Neighbourhood-based recommendation and light data preparation on DataFrames."""
 
 from coratings.operators.bitmaps import common_counts, movie_bitmaps
+from coratings.operators.bounded import BOUNDED, knn_bounded
 from coratings.operators.distances import candidate_totals, distances, overlaps, ranked
 from coratings.operators.neighbors import knn
 from coratings.operators.numbering import number_rows
@@ -30,6 +31,7 @@ from coratings.sinks.indexed import open_indexed, write_indexed
 from coratings.sinks.upsert import read_version, upsert, vacuum
 
 __all__ = [
+    "BOUNDED",
     "candidate_totals",
     "common_counts",
     "common_movies",
@@ -38,6 +40,7 @@ __all__ = [
     "frames_per_video",
     "greet",
     "knn",
+    "knn_bounded",
     "latest_movies",
     "latest_ratings",
     "lookup_ratings",

@@ -174,6 +174,11 @@ QUERIES = {
         for m in MEASURES
     },
     "knn_offgrid": lambda s, d: co.knn(v.offgrid(s, d), _users(s, BATCH), list(MEASURES), 5, 2, digits=2),
+    **{
+        f"knn_bounded_{m}": lambda s, d, m=m: co.knn_bounded(v.dense(s, d), _users(s, BATCH), m, 5, 15)
+        for m in co.BOUNDED
+    },
+    "knn_bounded_popular": lambda s, d: co.knn_bounded(v.popular(s, d), _users(s, BATCH), "cosine", 5, 6),
     "knn_prefix": _knn_prefix(v.sparse, "cosine", 3),
     "knn_prefix_popular": _knn_prefix(v.popular, "euclidean", 14),
     **{
@@ -282,6 +287,8 @@ ORACLES = {
     "knn_offgrid": " UNION ALL ".join(
         f"SELECT '{m}' AS metric, * FROM ({knn_sql(v.OFFGRID, BATCH, m, 5, 2, exact=True)} {_NN})" for m in MEASURES
     ),
+    **{f"knn_bounded_{m}": f"{knn_sql(v.DENSE, BATCH, m, 5, 15)} {_NN}" for m in co.BOUNDED},
+    "knn_bounded_popular": f"{knn_sql(v.POPULAR, BATCH, 'cosine', 5, 6)} {_NN}",
     "knn_prefix": f"{knn_sql(v.SPARSE, [_DEBTORS], 'cosine', 5, 3)} {_NN}",
     "knn_prefix_popular": f"{knn_sql(v.POPULAR, [_DEBTORS], 'euclidean', 5, 14)} {_NN}",
     "knn_metrics": " UNION ALL ".join(

@@ -16,7 +16,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from coratings.llm.staging import cut, text_columns
 
 END = 1  # the id put after each document
-CACHED = 500_000  # chunks of text whose ids a task remembers at most, about 100 MB
+CACHED = 128 << 20  # bytes of chunks and their ids that a task remembers at most, about
+LONG = 256  # longer chunks of text are encoded each time
 SYMBOLS = ".,;:!?$&%#*|"
 
 
@@ -47,6 +48,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.letters = {b: x for b, x in enumerate(byte_letters())}
         self.ids: dict[bytes, bytes] = {}
+        self.size = 0
 
     def _part(self, text: str) -> list[int]:
         if not text.isascii():
@@ -70,12 +72,19 @@ class ChunkEncoder:
         try:
             parts = [known[c] for c in chunks]
         except KeyError:
-            if len(known) > CACHED:
+            if self.size > CACHED:
                 known.clear()
+                self.size = 0
+            long: dict[bytes, bytes] = {}
             for chunk in chunks:
-                if chunk not in known:
-                    known[chunk] = self._encode(chunk)
-            parts = [known[c] for c in chunks]
+                if chunk not in known and chunk not in long:
+                    ids = self._encode(chunk)
+                    if len(chunk) > LONG:
+                        long[chunk] = ids
+                    else:
+                        known[chunk] = ids
+                        self.size += 170 + len(chunk) + len(ids)
+            parts = [known[c] for c in chunks] if not long else [long[c] if c in long else known[c] for c in chunks]
         parts.append(struct.pack("<I", END))
         return b"".join(parts)
 
@@ -95,20 +104,21 @@ def binary_lengths(total: int, longest: int) -> list[int]:
 def _packer(path: str, longest: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ChunkEncoder(path)
-        task, count = TaskContext.get().partitionId(), 0
+        task, count = TaskContext.get().partitionId(), dict.fromkeys(binary_lengths(2 * longest - 1, longest), 0)
         names = ["start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                rows: dict[str, list] = {n: [] for n in ["row", *names, "ids"]}
+                rows: dict[str, list] = {n: [] for n in ["row", *names, "nth", "ids"]}
                 for row, text in enumerate(some.column("text").cast(pa.binary()).to_pylist()):
                     ids = encode(text)
                     start, total = 0, len(ids) // 4
                     for length in binary_lengths(total, longest):
                         piece = ids[4 * start : 4 * (start + length)]
-                        values = (row, start, length, zlib.crc32(piece), total)
-                        for name, value in zip(["row", *names], values, strict=True):
+                        values = (row, start, length, zlib.crc32(piece), total, count[length])
+                        for name, value in zip(["row", *names, "nth"], values, strict=True):
                             rows[name].append(value)
+                        count[length] += 1
                         if with_ids:
                             rows["ids"].append(np.frombuffer(piece, "<i4"))
                         start += length
@@ -117,10 +127,9 @@ def _packer(path: str, longest: int, with_ids: bool):
                     some.column("doc_id").take(pa.array(rows["row"], pa.int64())),
                     *[pa.array(rows[c], pa.int64()) for c in names],
                     pa.array([task] * n, pa.int64()),
-                    pa.array(np.arange(count, count + n)),
+                    pa.array(rows["nth"], pa.int64()),
                     *([pa.array(rows["ids"], pa.list_(pa.int32()))] if with_ids else []),
                 ]
-                count += n
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "task", "nth", *(["ids"] if with_ids else [])])
 
     return run
@@ -137,16 +146,18 @@ def packed(docs: DataFrame, tokenizer: str, longest: int = 2048, with_ids: bool
 
     ``tokenizer`` is the path of a tokenizers file that drops white space.
     Null or empty text: the END id alone, one piece. Repeated rows and null
-    doc_ids are documents of their own. Empty input: no rows.
+    doc_ids are documents of their own, rows that share a doc_id too. A very
+    long text is encoded in one piece, so memory follows the longest one. Other columns of ``docs``
+    play no part. Empty input: no rows.
     """
     fields = [StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "task", "nth")]
     ids = [StructField("ids", ArrayType(IntegerType()))] if with_ids else []
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *fields, *ids])
     pieces = cut(text_columns(docs).mapInArrow(_packer(tokenizer, longest, with_ids), schema))
-    # One row per task of the step above: their running total fits any broadcast.
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = pieces.groupBy("task").agg(F.count("*").alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return pieces.join(F.broadcast(tasks), "task").select(
+    # A row per bucket and task of the step above: their running total fits any broadcast.
+    before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = pieces.groupBy("length", "task").agg(F.count("*").alias("n")).select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return pieces.join(F.broadcast(tasks), ["length", "task"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("before") + F.col("nth")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),

@@ -29,7 +29,10 @@ def assert_packed(pieces, rows, tokenizer, longest):
             at += p.length
         assert at == len(ids)
     assert not by_doc
-    assert sorted(p.sequence_id for p in pieces) == list(range(len(pieces)))
+    pieces = sorted(pieces, key=lambda p: p.sequence_id)
+    assert [p.sequence_id for p in pieces] == list(range(len(pieces)))
+    # Buckets of equal lengths, one behind the other.
+    assert [p.length for p in pieces] == sorted([p.length for p in pieces], reverse=True)
 
 
 def test_round_trip(spark, sf_small, tokenizer):
@@ -47,6 +50,18 @@ def test_ids_of_odd_chunks(tokenizer):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == [*tokenizer.encode(text, add_special_tokens=False).ids, END]
 
 
+def test_little_is_remembered_of_long_chunks(tokenizer, monkeypatch):
+    from coratings.llm import packing
+
+    monkeypatch.setattr(packing, "CACHED", 20_000)
+    encode, pick = ChunkEncoder(tokenizer_path()), random.Random(1)
+    for k in range(60):
+        text = " ".join("".join(pick.choices("abcdefgh", k=pick.choice([3, 9, 400]))) for _ in range(40)) + " same" * 3 + " x" * 300 + "y" * 999 * (k % 2)
+        ids = encode(text.encode())
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == [*tokenizer.encode(text, add_special_tokens=False).ids, END]
+        assert encode.size < 40_000 and max(map(len, encode.ids)) <= packing.LONG
+
+
 def test_binary_lengths():
     assert binary_lengths(1, 8) == [1] and binary_lengths(23, 8) == [8, 8, 4, 2, 1] and binary_lengths(16, 8) == [8, 8]
 

@@ -19,10 +19,10 @@ def folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table."""
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in the session's codec if None, and go on from the written table."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

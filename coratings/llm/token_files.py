@@ -18,7 +18,7 @@ from coratings.llm.warc import _filesystem
 from coratings.plans.staging import release
 
 END = 0  # the id put after each document
-LIMIT = 20  # bits of the longest code
+LIMIT = 18  # bits of the longest code, more only where there are too many ids for that
 BLOCK = 256  # ids between two checkpoints
 SEGMENT = 1 << 20  # bytes of code that are written together
 FILE = 256 << 20  # bytes of code that a task writes, about
@@ -31,7 +31,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Bits of each symbol's code, 0 for those that don't occur: the shortest in all with none above ``limit`` (package-merge)."""
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
-    if len(used) > 1 << min(limit, 24):
+    if len(used) > 1 << min(limit, 25):
         raise ValueError(f"{len(used)} symbols have no codes of {limit} bits")
     if len(used) < 2:
         lengths[used] = 1
@@ -68,11 +68,12 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Encoder:
     def __init__(self, lengths: np.ndarray):
-        self.bits, self.codes = lengths.astype(np.int64), canonical(lengths)[0]
+        self.both = (canonical(lengths)[0].astype(np.int64) << 6) | lengths.astype(np.int64)
 
     def __call__(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """(bit offsets of the blocks but the first, code) of consecutive lists of ``counts`` ids each, none empty."""
-        bits, codes = self.bits[ids], self.codes[ids]
+        both = self.both[ids]
+        bits, codes = both & 63, (both >> 6).view(np.uint64)
         ends = np.cumsum(bits)
         last = np.cumsum(counts)
         first = last - counts
@@ -83,10 +84,11 @@ class Encoder:
         room = 64 - (place & 63) - bits
         word, fits = place >> 6, room >= 0
         out = np.zeros(int(word[-1]) + 2, np.uint64)
-        here = np.where(fits, codes << np.where(fits, room, 0).astype(np.uint64), codes >> np.where(fits, 0, -room).astype(np.uint64))
+        over = np.flatnonzero(~fits)  # at most one code in a word
+        here = codes << np.maximum(room, 0).view(np.uint64)
+        here[over] = codes[over] >> (-room[over]).view(np.uint64)
         new = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[new]] = np.bitwise_or.reduceat(here, new)
-        over = np.flatnonzero(~fits)
         out[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
         data = out.astype(">u8").tobytes()
         for a, n, size, low in zip(first, counts, n_bytes, at, strict=True):
@@ -99,28 +101,28 @@ class Decoder:
     def __init__(self, lengths: np.ndarray):
         _, order = canonical(lengths)
         self.longest = int(lengths.max(initial=1))
-        entries = (order.astype(np.uint32) << np.uint32(5)) | lengths[order].astype(np.uint32)
-        self.table = np.zeros(1 << self.longest, np.uint32)
+        entries = (order.astype(np.int32) << 5) | lengths[order].astype(np.int32)
+        self.table = np.zeros(1 << self.longest, np.int32)
         rows = np.repeat(entries, 1 << (self.longest - lengths[order].astype(np.int64)))
         self.table[: len(rows)] = rows
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids of blocks that begin at bits ``starts`` and hold ``counts`` ids, one block behind the other."""
-        padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
+        padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int64)
         window = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
         order = np.argsort(-counts, kind="stable")
         at, falling = starts[order].astype(np.int64), -counts[order]
-        out = np.zeros((len(counts), int(counts.max(initial=0))), np.uint32)
-        shift = np.uint32(32 - self.longest)
-        for k in range(out.shape[1]):
+        out = np.zeros((int(counts.max(initial=0)), len(counts)), np.uint32)
+        room, mask = 32 - self.longest, (1 << self.longest) - 1
+        for k in range(len(out)):
             live = int(np.searchsorted(falling, -k))  # blocks with more than k ids
             here = at[:live]
-            entry = self.table[(window[here >> 3] << (here & 7).astype(np.uint32)) >> shift]
-            out[:live, k] = entry >> np.uint32(5)
-            here += (entry & np.uint32(31)).astype(np.int64)
+            entry = self.table[(window[here >> 3] >> (room - (here & 7))) & mask]
+            out[k, :live] = entry >> 5
+            here += entry & 31
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return out[back][np.arange(out.shape[1]) < counts[:, None]]
+        return out.T[back][np.arange(len(out)) < counts[:, None]]
 
 
 def _tokenizer(path: str, end: int):
@@ -244,15 +246,15 @@ def write_ids(docs: DataFrame, tokenizer: str, where: str, end: int = END) -> Da
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = cut(text_columns(docs).mapInArrow(_tokenizer(tokenizer, end), f"doc_id {kind}, ids binary, counts binary"))
+    ids = cut(text_columns(docs).mapInArrow(_tokenizer(tokenizer, end), f"doc_id {kind}, ids binary, counts binary"), codec="uncompressed")
     counted = ids.select("counts").where("counts IS NOT NULL").mapInArrow(_sums, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.collect()  # at most one row for each id of the vocabulary
     counts = np.zeros(max([end, *[r.id for r in rows]]) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
-    lengths = code_lengths(counts)
+    lengths = code_lengths(counts, max(LIMIT, int(np.count_nonzero(counts)).bit_length()))
     size = 2 if max(ByteBpe(tokenizer).size, end + 1) <= 1 << 16 else 4
-    coded = cut(ids.where("ids IS NOT NULL").select("doc_id", "ids").mapInArrow(_coder(lengths, size), f"doc_id {kind}, n_ids long, n_bytes long, blocks binary, code binary"))
+    coded = cut(ids.where("ids IS NOT NULL").select("doc_id", "ids").mapInArrow(_coder(lengths, size), f"doc_id {kind}, n_ids long, n_bytes long, blocks binary, code binary"), codec="uncompressed")
     release(ids)
     total = coded.agg(F.sum("n_bytes")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE))

@@ -8,7 +8,7 @@ from coratings.llm import subwords, token_files
 from coratings.llm.queries import byte_tokenizer_path
 from coratings.llm.staging import folder
 from coratings.llm.subwords import ByteBpe
-from coratings.llm.token_files import BLOCK, Decoder, Encoder, canonical, code_lengths, read_ids, write_ids
+from coratings.llm.token_files import BLOCK, LIMIT, Decoder, Encoder, canonical, code_lengths, read_ids, write_ids
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +80,7 @@ def test_code_lengths():
     fibonacci = [1, 1]
     while len(fibonacci) < 40:
         fibonacci.append(sum(fibonacci[-2:]))
-    assert code_lengths(np.array(fibonacci)).max() == 20
+    assert code_lengths(np.array(fibonacci)).max() == LIMIT
     with pytest.raises(ValueError):
         code_lengths(np.ones(5, np.int64), 2)
 

@@ -4,6 +4,7 @@ import random
 import brute
 from coratings.llm import decontamination as module
 from coratings.llm.decontamination import contamination
+from pyspark.sql import functions as F
 
 COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -28,9 +29,9 @@ def test_against_brute_force(spark):
     assert rows_of(contamination(docs, benchmark)) == sorted(brute.contaminated(rows, items), key=str)
 
 
-def test_a_benchmark_in_blocks(spark, monkeypatch):
+def test_a_filter_that_lets_every_word_pass(spark, monkeypatch):
     rows, items, docs, benchmark = small(spark)
-    monkeypatch.setattr(module, "TERMS", 4)
+    monkeypatch.setattr(module, "BITS", 1)
     assert rows_of(contamination(docs, benchmark)) == sorted(brute.contaminated(rows, items), key=str)
 
 
@@ -92,3 +93,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert rows_of(contamination(odd_docs, items)) == sorted(brute.contaminated(rows, [(1, "c d e f")]), key=str)
     assert contamination(no_docs, items).collect() == []
     assert not any(r.contaminated for r in contamination(odd_docs, items.limit(0)).collect())
+
+
+def test_postings_lie_by_term(spark):
+    """A word is one row per segment, all its places in it; a file holds each term's rows next to each other."""
+    _, _, docs, benchmark = small(spark)
+    terms = module.benchmark_windows(benchmark, 10).select(F.explode("terms").alias("hash")).distinct()
+    index = module.PositionalIndex(docs.repartition(3), terms)
+    rows = index.postings.withColumn("file", F.input_file_name()).collect()
+    assert len({(r.term, r.segment) for r in rows}) == len(rows) and all(r.n == len(r["at"]) and r["at"] == sorted(r["at"]) for r in rows)
+    for name in {r.file for r in rows}:
+        mine = [r.term for r in rows if r.file == name]
+        assert mine == sorted(mine)
+    assert len({r.segment for r in rows}) == 3
+
+
+def test_a_very_long_text(spark):
+    """A benchmark passage behind three million bytes of its own words, in one document."""
+    item = "one two three four five six seven eight nine ten".split()
+    long = "one two three ten nine " * 140_000
+    docs = spark.createDataFrame([(1, long + " ".join(item)), (2, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in contamination(docs, items, slop=2).collect()}
+    assert got == {1: (700_010, 10, True), 2: (700_000, 0, False)}

@@ -237,6 +237,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
     judged each; items with the same window all count, those without item_id
     are left out of the list of items but their words are hit. Empty tables:
     no rows, or no hits.
+    A very long text is a segment of its own and is
+    read whole. Other columns of either table play no part, whatever their names.
     """
     items = cut(benchmark_windows(benchmark, size))
     windows = cut(items.groupBy("terms").agg(F.count("*").alias("times")).withColumn("wid", F.monotonically_increasing_id()))

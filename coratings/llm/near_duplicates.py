@@ -17,6 +17,9 @@ from coratings.llm.text import SPACED, Words, long_lists, mix, pieces, salt, shi
 ROWS = 5  # signature values per band
 MISS = 1e-7  # most likely share of pairs exactly at the threshold that meet in no band
 BLOCK = 512  # documents on one side of a block of comparisons
+ELEMENTS = 2_000_000  # set elements on one side of a block, on average
+SLICE = 256  # documents of one hub that a task tests, on average
+COUNTERS = 1 << 18  # hashed counters of how many sets have an element
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -104,6 +107,36 @@ def _set_reader(words: int):
     return run
 
 
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements per counter, one row per counter and task."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+
+
+def _rarest(counts, percent: int):
+    """The rarest elements of each set, as many as a set that is alike enough must share one of.
+
+    Of n elements at least ``percent`` in a hundred are common, so the first
+    common one, in any order that all sets agree on, is among the first
+    n - ceil(n * percent / 100) + 1. The order is by counter, then by element.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            value, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((value, counts.value[value & (COUNTERS - 1)], row))
+            place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+            chosen = place < (size - -(-size * percent // 100) + 1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(value[order][chosen]), batch.column(0).take(pa.array(row[chosen]))], ["key", "doc"])
+
+    return run
+
+
 def _enough(both, left, right, percent: int):
     return both * 100 >= (left + right - both) * percent
 
@@ -173,6 +206,63 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
 
 
+def hub_pairs(keyed: DataFrame) -> DataFrame:
+    """(hub, doc) from (key, doc): every document beside the smallest id that shares a key with it."""
+    # Written, so that the join below reads plain shuffles, of which Spark splits hot keys.
+    hubs = cut(keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
+    return cut(keyed.join(hubs, "key").where("hub <> doc").select("hub", "doc").distinct())
+
+
+def tested_with_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub, doc, size and linked of every pair, on full sets. The documents of a hub are dealt to tasks in slices."""
+    heads = cut(pairs.groupBy("hub").agg(F.ceil(F.count("*") / SLICE).alias("slices")))
+    dealt = pairs.join(sized(heads), "hub").select("hub", "doc", F.pmod(F.xxhash64("doc"), "slices").alias("slice"))
+    of_hub = heads.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).join(
+        sets.select(F.col("doc").alias("hub"), F.col("elements").alias("hub_elements")), "hub"
+    )
+    common = F.size(F.array_intersect("elements", "hub_elements")).cast("long")
+    linked = _enough(common, F.size("elements"), F.size("hub_elements"), percent)
+    return cut(
+        dealt.join(sets, "doc")
+        .join(of_hub, ["hub", "slice"])
+        .select("hub", "doc", F.size("elements").cast("long").alias("size"), linked.alias("linked"))
+    )
+
+
+def loose_hubs(tested: DataFrame) -> DataFrame:
+    """Hubs that some of their documents are not linked with, and the blocks in which those meet the others."""
+    out = ~F.col("linked")
+    found = tested.groupBy("hub").agg(
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.count_if(out).alias("n_out"), F.sum(F.when(out, F.col("size"))).alias("size_out")
+    )
+    blocks = [F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / ELEMENTS)) for n, size in (("n", "size"), ("n_out", "size_out"))]
+    return cut(found.where("n > 1 AND n_out > 0").select("hub", blocks[0].alias("across"), blocks[1].alias("down")))
+
+
+def block_members(tested: DataFrame, hubs: DataFrame) -> DataFrame:
+    """hub, doc, probe, i, j: the blocks of comparisons that the documents of loose hubs go to."""
+    mixed = tested.join(sized(hubs), "hub")
+    spot = F.xxhash64("doc")
+
+    def all_of(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    targets = mixed.select("hub", "doc", F.lit(False).alias("probe"), all_of("down").alias("i"), F.pmod(spot, "across").alias("j"))
+    probes = mixed.where(~F.col("linked")).select("hub", "doc", F.lit(True).alias("probe"), F.pmod(spot, "down").alias("i"), all_of("across").alias("j"))
+    return targets.union(probes)
+
+
+def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, doc): of each set the elements that one alike enough must share one of, the rarest among ``sets``."""
+    counted = sets.select("elements").mapInArrow(_counter, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    table = counted.toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[table.column("counter").to_numpy()] = table.column("n").to_numpy()
+    kind = sets.schema["doc"].dataType.simpleString()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    return cut(sets.select("doc", "elements").mapInArrow(_rarest(shared, percent), f"key long, doc {kind}"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and key_a, key_b of the text, per row of ``docs``.
 
@@ -181,14 +271,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
 
     Equal sets are one class, found by a combined aggregate, so copies cost
     nothing further. Classes that meet in a band are first compared with the
-    smallest id of their bucket only. Where some of a bucket fail that test,
-    they are compared, in blocks of bounded size spread over tasks, with all
-    that share such a smallest id; so no link is lost and no bucket is capped.
+    smallest id of their bucket only. The members of buckets where some fail
+    that test must also share one of their rarest elements to be linked, so
+    they are dealt by those anew, which leaves texts of one template apart, and
+    compared with the smallest id again. Where some fail that too, they are
+    compared, in blocks of bounded size spread over tasks, with all that share
+    such a smallest id; so no link is lost and no bucket is capped.
 
     Null text, or text without words: empty set, linked with nothing, itself
     its component. Null doc_id: component null, kept. Rows that share a doc_id
     are each judged by their own text; where one of them must stand for the id
-    in a comparison, it is the one with the least set. Empty input: no rows.
+    in a comparison, it is the one with the least set. Empty input: no rows. A text of any length is one
+    set, read whole in one task. Columns other than doc_id and text are not
+    looked at.
     """
     source = text_columns(docs)
     bands = bands_for(percent)
@@ -202,10 +297,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
         .agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"))
     )
 
-    banded = classes.select("doc", F.explode("bands").alias("band"))
-    # Written, so that the join below reads plain shuffles, of which Spark splits hot buckets.
-    hubs = cut(banded.groupBy("band").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub"))
-    pairs = cut(banded.join(hubs, "band").where("hub <> doc").select("hub", "doc").distinct())
+    pairs = hub_pairs(classes.select("doc", F.explode("bands").alias("key")))
     wanted = cut(pairs.select(F.explode(F.array("hub", "doc")).alias("doc_id")).distinct())
     sets = cut(
         source.join(sized(wanted), "doc_id", "left_semi")
@@ -213,37 +305,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
         .groupBy(F.col("doc_id").alias("doc"))
         .agg(F.min("elements").alias("elements"))
     )
-
-    of_hub = sets.select(F.col("doc").alias("hub"), F.col("elements").alias("hub_elements"))
-    common = F.size(F.array_intersect("elements", "hub_elements")).cast("long")
-    tested = cut(
-        pairs.join(sets, "doc")
-        .join(of_hub, "hub")
-        .select("hub", "doc", _enough(common, F.size("elements"), F.size("hub_elements"), percent).alias("linked"))
-    )
-    sizes = (
-        tested.groupBy("hub")
-        .agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("n_out"))
-        .where("n > 1 AND n_out > 0")
-        .select("hub", F.ceil(F.col("n") / BLOCK).alias("across"), F.ceil(F.col("n_out") / BLOCK).alias("down"))
-    )
-    mixed = tested.join(sizes, "hub")
-    spot = F.xxhash64("doc")
-    targets = mixed.select(
-        "hub", "doc", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("i"),
-        F.pmod(spot, "across").alias("j"),
-    )
-    probes = mixed.where(~F.col("linked")).select(
-        "hub", "doc", F.lit(True).alias("probe"), F.pmod(spot, "down").alias("i"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("j"),
-    )
-    found = (
-        targets.union(probes)
-        .join(sets, "doc")
-        .groupBy("hub", "i", "j")
-        .applyInPandas(_block_edges(percent), "a long, b long")
-    )
-    roots = components(tested.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b")).union(found))
+    tested = tested_with_hubs(pairs, sets, percent)
+    edges = tested.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    loose = cut(tested.join(sized(loose_hubs(tested).select("hub")), "hub", "left_semi").select("doc").distinct())
+    if not loose.isEmpty():
+        rest = cut(sets.join(sized(loose), "doc", "left_semi"))
+        tested = tested_with_hubs(hub_pairs(rare_keys(rest, percent)), rest, percent)
+        found = (
+            block_members(tested, loose_hubs(tested))
+            .join(rest, "doc")
+            .groupBy("hub", "i", "j")
+            .applyInPandas(_block_edges(percent), "a long, b long")
+        )
+        edges = edges.union(tested.where("linked").select("hub", "doc")).union(found)
+    roots = components(edges)
 
     class_of = classes.select(*same, "doc").join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left")
     class_of = class_of.select(*same, F.coalesce("root", "doc").alias("component_id"))

@@ -83,3 +83,76 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[2, 0].component_id == 2 and by[2, 0].kept
     assert by[None, 4].component_id is None and by[None, 4].kept
     assert near_duplicates(no_docs).collect() == []
+
+
+def sets_of(spark, rows):
+    """doc and its set of word hashes."""
+    made = [(doc, sorted(int(x) for x in mix(np.array([hash(w) & 0xFFFFFFFF for w in text.split()], np.uint64)).view(np.int64))) for doc, text in rows]
+    return spark.createDataFrame(made, "doc long, elements array<long>")
+
+
+def template(family, own, common, seed=5):
+    """Texts of the same words but for some of their own in between."""
+    pick = random.Random(seed)
+    base = [f"t{i}" for i in range(common)]
+    return [(i, " ".join([*base, *[f"o{i}x{pick.randrange(10**9)}" for _ in range(own)]])) for i in range(family)]
+
+
+def test_a_template_is_no_group_to_compare(spark):
+    """A family of 1,500 texts, alike by 0.6, has 1.1 million pairs; their rarest elements meet in none."""
+    sets = sets_of(spark, template(1500, 100, 300))
+    assert module.hub_pairs(module.rare_keys(sets, 85)).count() == 0
+
+
+def test_links_within_a_template(spark):
+    """Near copies among the texts of a template, whose buckets are all loose, are found, and only they."""
+    rows = template(120, 30, 90)
+    pick = random.Random(8)
+    for i in range(0, 120, 4):
+        words = rows[i][1].split()
+        words[pick.randrange(90, 120)] = "changed"
+        rows.append((200 + i, " ".join(words)))
+        words[pick.randrange(90, 120)] = "again"
+        rows.append((400 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.components(rows, 85)
+    assert rows_of(near_duplicates(docs, percent=85)) == want
+    assert sum(not kept for _, _, kept in want.values()) >= 30
+
+
+def test_rarest_elements_of_alike_sets_meet(spark):
+    """Whatever the counters say, two sets at the threshold share a key."""
+    draw = np.random.default_rng(3)
+    for n in (1, 7, 40, 333):
+        common = draw.integers(-(2**62), 2**62, n)
+        for percent in (80, 85):
+            more = n * 100 // percent - n
+            sets = [[*common.tolist(), *draw.integers(-(2**62), 2**62, k).tolist()] for k in (more, 0)]
+            keys = module.rare_keys(spark.createDataFrame(list(enumerate(sets)), "doc long, elements array<long>"), percent).collect()
+            of = [{r.key for r in keys if r.doc == d} for d in (0, 1)]
+            assert of[0] & of[1]
+
+
+def test_long_documents_in_one_hub(spark, monkeypatch):
+    """Texts of some megabytes in loose buckets go in blocks of few elements, with equal results."""
+    pick = random.Random(4)
+    base = [f"w{pick.randrange(10**7)}" for _ in range(150_000)]
+    rows = []
+    for i, changed in enumerate((0, 2_000, 4_000, 4_500, 9_000, 9_500)):
+        text = list(base)
+        for at in pick.sample(range(len(base)), changed):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(module, "ELEMENTS", 200_000)
+    monkeypatch.setattr(module, "SLICE", 2)
+    assert rows_of(near_duplicates(docs, percent=85)) == brute.components(rows, 85)
+
+
+def test_blocks_are_bounded_by_elements_and_hubs_are_dealt_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(module, "ELEMENTS", 100)
+    tested = spark.createDataFrame([(1, d, 50, d % 2 == 0) for d in range(2, 42)], "hub long, doc long, size long, linked boolean")
+    hubs = module.loose_hubs(tested)
+    assert [(r.across, r.down) for r in hubs.collect()] == [(20, 10)]
+    met = {(r.i, r.j) for r in module.block_members(tested, hubs).collect()}
+    assert len(met) > 100

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import brute
@@ -87,7 +88,10 @@ def test_odd_rows(odd_docs, no_docs):
 
 def sets_of(spark, rows):
     """doc and its set of word hashes."""
-    made = [(doc, sorted(int(x) for x in mix(np.array([hash(w) & 0xFFFFFFFF for w in text.split()], np.uint64)).view(np.int64))) for doc, text in rows]
+    def element(word):
+        return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), signed=True)
+
+    made = [(doc, sorted({element(w) for w in text.split()})) for doc, text in rows]
     return spark.createDataFrame(made, "doc long, elements array<long>")
 
 

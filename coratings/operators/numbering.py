@@ -11,6 +11,10 @@ from coratings.plans.staging import sized, stored
 # A group beyond this many rows is numbered by many tasks.
 HOT_ROWS = 5_000_000
 
+# Slices of hot groups: never more than SLICES unless they would be of more than SLICE_ROWS rows.
+SLICES = 256
+SLICE_ROWS = 1_000_000
+
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like the wanted ones that ``df`` has in no spelling."""
@@ -37,7 +41,9 @@ def number_rows(
     partitioned by key and order into slices of about ``hot_rows`` rows, so
     that one group spreads over many tasks; each slice is sorted and counted
     through as it is written, and shifted by the sizes of the slices before
-    it. Runs jobs: ``df`` is counted, so pass a stored table or a plain scan.
+    it. Every slice costs a task and a sample of rows at the driver, so for a
+    small ``hot_rows`` there are no more than ``SLICES``, or as many as
+    ``SLICE_ROWS`` rows each take, and groups share them. Runs jobs: ``df`` is counted, so pass a stored table or a plain scan.
     """
     keys, order = list(keys), list(order)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
@@ -63,9 +69,10 @@ def number_rows(
     # Places count on from row to row of a slice, so the rank within a slice is
     # the distance from the key's first place there. An explicit number of
     # slices also keeps AQE from merging them.
+    n_slices = min(-(-total // max(hot_rows, 1)), max(SLICES, -(-total // SLICE_ROWS)))
     slices = stored(
         df.join(hot, is_hot, "left_semi")
-        .repartitionByRange(-(-total // max(hot_rows, 1)), *keys, *order)
+        .repartitionByRange(n_slices, *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn(place, F.monotonically_increasing_id())
         .withColumn(part, F.spark_partition_id())

@@ -73,3 +73,19 @@ def test_two_keys(spark):
     assert {(r.a, r.b, r.id): r.n for r in got.collect()} == {
         (a, b, i): i // 6 + 1 for a, b, i in data
     }
+
+
+def test_slices_do_not_grow_with_few_hot_rows(spark, monkeypatch):
+    """Each slice is a task and a sample of rows at the driver, so small groups share one."""
+    from coratings.operators import numbering
+    from coratings.plans import staging
+
+    kept = []
+    monkeypatch.setattr(numbering, "stored", lambda df, compact=False: kept.append(staging.stored(df, compact)) or kept[-1])
+    monkeypatch.setattr(numbering, "SLICES", 4)
+    monkeypatch.setattr(numbering, "SLICE_ROWS", 900)
+    many = co.stored(spark.range(6000).selectExpr("id % 100 AS k", "id"))
+    numbered = co.number_rows(many, ["k"], ["id"], "n", hot_rows=10)
+    assert numbered.where("n <> id div 100 + 1").count() == 0 and numbered.count() == 6000
+    slices = next(df for df in kept if "_slice" in df.columns and "id" in df.columns)
+    assert 5 <= slices.select("_slice").distinct().count() <= 7

@@ -1,6 +1,7 @@
 """Overlaps counted on bitmaps."""
 
 import random
+import re
 
 import coratings as co
 from oracle import plan_of
@@ -25,3 +26,25 @@ def test_no_pairs(spark):
     ratings = spark.createDataFrame([(1, 1, 1.0)], "user_id BIGINT, movie_id BIGINT, rating DOUBLE")
     none = spark.createDataFrame([], "user_a BIGINT, user_b BIGINT")
     assert co.common_counts(co.movie_bitmaps(ratings), none).collect() == []
+
+
+def test_one_bitmap_per_user_and_bucket_is_shuffled(spark):
+    """However the ratings lie, no bitmap is made before they meet."""
+    ratings = spark.range(2000).selectExpr("id % 5 AS user_id", "id AS movie_id", "1.0D AS rating").repartition(16)
+    plan = plan_of(co.movie_bitmaps(ratings))
+    after = plan[: plan.index("Exchange hashpartitioning(user_id")]
+    assert after.count("bitmap_construct_agg") >= plan.count("bitmap_construct_agg") > 0
+
+
+def test_tasks_grow_with_the_bitmaps(spark, monkeypatch):
+    """Partitions are counted in bitmaps: their compressed size would merge them all."""
+    from coratings.operators import bitmaps
+
+    monkeypatch.setattr(bitmaps, "TASK_BITMAPS", 50)
+    ratings = spark.range(4000).selectExpr("id % 400 AS user_id", "id * 37 AS movie_id", "1.0D AS rating")
+    pairs = spark.range(400).selectExpr("id AS user_a", "explode(array(id, id + 1)) AS user_b")
+    found = co.common_counts(co.stored(co.movie_bitmaps(ratings)), pairs)
+    assert {(r.user_a, r.user_b): r.n_common for r in found.collect()} == {(u, u + d): 10 * (not d) for u in range(400) for d in (0, 1)}
+    plan = plan_of(found)
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(user_[^)]*?, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert len(tasks) >= 3 and min(tasks) >= 400 // 50

@@ -65,6 +65,7 @@ class Aligner:
         self.a_bytes = [bytes(map(back.__getitem__, entries.get(i, ""))) for i in range(self.a.size)]
         self.b_bytes = self.b.bytes
         self.a_length, self.b_length = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.digits = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.wide = max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16
         self.shift, self.kind = (32, "<u8") if self.wide else (16, "<u4")
         self.known = Memory(lambda word: self.closed(piece_of(word)), 350, HELD)
@@ -74,34 +75,45 @@ class Aligner:
         raw = self.a.known[piece[1:]] if piece[0] == " " and ends_in_word(piece) and piece[1:2] != " " and "\n" not in piece else self.a.whole(piece)
         a, b = list(struct.unpack(f"<{len(raw) // 4}I", raw)), self.b.ids(piece)
         text = piece.encode()
-        if b is None or b"".join([self.a_bytes[i] for i in a]) != text or b"".join([self.b_bytes[i] for i in b]) != text:
+        if b is None or b"".join(map(self.a_bytes.__getitem__, a)) != text or b"".join(map(self.b_bytes.__getitem__, b)) != text:
             return None
         return a, b
 
     def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
         """Groups of tokens that cover the same bytes from end to end."""
+        a_length, b_length, size = self.a_length, self.b_length, len(a)
         i = j = end_a = end_b = 0
-        while i < len(a):
+        while i < size:
             first_a, first_b = i, j
-            end_a, end_b, i, j = end_a + self.a_length[a[i]], end_b + self.b_length[b[j]], i + 1, j + 1
+            end_a += a_length[a[i]]
+            end_b += b_length[b[j]]
+            i, j = i + 1, j + 1
             while end_a != end_b:
                 if end_a < end_b:
-                    end_a, i = end_a + self.a_length[a[i]], i + 1
+                    end_a += a_length[a[i]]
+                    i += 1
                 else:
-                    end_b, j = end_b + self.b_length[b[j]], j + 1
+                    end_b += b_length[b[j]]
+                    j += 1
             yield a[first_a:i], b[first_b:j]
 
     def described(self, groups: Iterator[tuple[list[int], list[int]]]) -> tuple[str, bytes, int, tuple]:
         """(text of the groups, a key for each link, tokens of the first, (key, links) of groups with very many)."""
-        texts, keys, n_a, large = [], [], 0, []
+        texts, keys, n_a, large, digits, shift = [], [], 0, [], self.digits, self.shift
         for a, b in groups:
-            texts.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+            if len(a) == 1 == len(b):
+                x, y = a[0], b[0]
+                texts.append(f"{digits[x]}|{digits[y]}")
+                keys.append(x << shift | y)
+                n_a += 1
+                continue
+            texts.append(",".join([digits[x] for x in a]) + "|" + ",".join([digits[y] for y in b]))
             n_a += len(a)
             if len(a) + len(b) <= LARGE:
-                keys += [x << self.shift | y for x in a for y in b]
+                keys += [x << shift | y for x in a for y in b]
             else:
                 counts = Counter(b).items()
-                large += [(x << self.shift | y, n * m) for x, n in Counter(a).items() for y, m in counts]
+                large += [(x << shift | y, n * m) for x, n in Counter(a).items() for y, m in counts]
         return ";".join(texts), struct.pack(f"<{len(keys)}{'Q' if self.wide else 'I'}", *keys), n_a, tuple(large)
 
     def closed(self, piece: str) -> tuple:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from coratings.functions.metrics import co_rated_sums
 from coratings.operators.distances import target_ratings
 from coratings.operators.numbering import number_rows
-from coratings.plans.staging import among, sized, stored
+from coratings.plans.staging import BROADCAST_ROWS, among, fits_broadcast, sized, stored
 
 _PAIR = ["target_id", "user_id"]
 
+# So many of the most popular movies are a bit each of one number per user.
+HEAD = 63
+# Pairs of a target and a user that one task compares by these numbers.
+TASK_PAIRS = 5_000_000
+# Targets with these numbers and ratings are about 600 bytes each.
+_HEAD_ROWS = BROADCAST_ROWS // 6
+
 
 def prefix_overlaps(ratings: DataFrame, targets: DataFrame, min_common: int) -> DataFrame:
     """The rows of ``overlaps`` with ``n_common >= min_common``, for thresholds
@@ -24,6 +31,14 @@ def prefix_overlaps(ratings: DataFrame, targets: DataFrame, min_common: int) ->
     the others the last movies are looked up pair by pair. No pair is lost and
     every sum is over all common movies.
 
+    The ``HEAD`` most popular movies are never joined. They are bits of one
+    number per user, so a pair that shares nothing else is found by comparing
+    two numbers, and its sums are taken from the two users' rows where they
+    meet: such pairs are neither written nor shuffled. Every target meets
+    every user with ``min_common`` movies of the head, so time grows with
+    their product; memory and disk don't. If a user has rated a movie of the head
+    twice, or without a rating, all movies are joined.
+
     Pays where ``min_common`` is a good part of what users have rated, or
     popular movies make most of the overlaps; else ``overlaps`` joins fewer
     rows. Runs jobs: each step is written.
@@ -36,19 +51,37 @@ def prefix_overlaps(ratings: DataFrame, targets: DataFrame, min_common: int) ->
     placed = stored(theirs.join(sized(raters), "movie_id"))
     # Place from the popular end: the prefix are the places from min_common on.
     placed = stored(number_rows(placed, ["user_id"], [F.desc("raters"), F.desc("movie_id")], "place").drop("raters"))
+    head = [r.movie_id for r in raters.orderBy(F.desc("raters"), F.desc("movie_id")).take(HEAD)]
+    users = _users(placed, head, min_common)
+    if not users.where("bit_count(word) <> n_head").isEmpty():
+        head = []
+        users = _users(placed, head, min_common)
+    in_head = F.col("movie_id").isin(head) if head else F.lit(False)
+
     wanted = sized(stored(targets.select(F.col("user_id").alias("target_id")).distinct()))
     of_target = stored(
         placed.withColumnsRenamed({"user_id": "target_id", "rating": "target_rating", "place": "target_place"})
         .join(wanted, "target_id", "left_semi")
     )
-    rare, of_rare = placed.where(F.col("place") >= min_common), of_target.where(F.col("target_place") >= min_common)
+    rare = placed.where((F.col("place") >= min_common) & ~in_head)
+    of_rare = of_target.where((F.col("target_place") >= min_common) & ~in_head)
     matched = stored(rare.join(sized(of_rare), "movie_id").where("user_id <> target_id"))
-    reach = F.count("*") + F.least(F.min("place"), F.min("target_place")) - 1
-    pairs = stored(matched.groupBy(*_PAIR).agg(reach.alias("reach")).where(F.col("reach") >= min_common).select(*_PAIR))
+    # What can follow: the common movies of the head, and those outside of either prefix.
+    narrow = users.select("user_id", "word", "n_last")
+    words = narrow.join(wanted, narrow.user_id == F.col("target_id"), "left_semi").withColumnsRenamed(
+        {"user_id": "target_id", "word": "target_word", "n_last": "target_last"}
+    )
+    pairs = stored(
+        matched.groupBy(*_PAIR).agg(F.count("*").alias("n"))
+        .join(sized(stored(words)), "target_id")
+        .join(sized(narrow), "user_id")
+        .where(F.col("n") + F.bit_count(F.col("word").bitwiseAND(F.col("target_word"))) + F.col("n_last") + F.col("target_last") >= min_common)
+        .select(*_PAIR)
+    )
 
     rated = ["target_rating", "rating"]
-    last_of_target = of_target.where(F.col("target_place") < min_common).drop("target_place")
-    last_of_user = placed.where(F.col("place") < min_common).drop("place")
+    last_of_target = of_target.where((F.col("target_place") < min_common) | in_head).drop("target_place")
+    last_of_user = placed.where((F.col("place") < min_common) & ~in_head).drop("place")
     found = (
         matched.join(sized(pairs), _PAIR, "left_semi").select(*_PAIR, *rated)
         .union(
@@ -61,4 +94,63 @@ def prefix_overlaps(ratings: DataFrame, targets: DataFrame, min_common: int) ->
         )
     )
     sums = found.groupBy(*_PAIR).agg(*co_rated_sums(F.col("target_rating"), F.col("rating")))
+    if len(head) >= min_common:
+        met = _met_in_head(users, wanted, pairs, min_common)
+        sums = sums.union(met.select(*[F.col(f.name).cast(f.dataType) for f in sums.schema]))
     return sums.where(F.col("n_common") >= min_common)
+
+
+def _users(placed: DataFrame, head: list, min_common: int) -> DataFrame:
+    """Per user: the head as bits, its rated rows, the ratings by place in the
+    head, and how many other movies are not in the prefix."""
+    at = F.array_position(F.array(*map(F.lit, head)), F.col("movie_id")).cast("int") if head else F.lit(0)
+    rows = placed.withColumn("bit", F.coalesce(at, F.lit(0)) - 1)
+    in_head, last = F.col("bit") >= 0, F.col("place") < min_common
+    bit = F.when(in_head, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).otherwise(F.lit(0).cast("bigint"))
+    kept = [F.max(F.when(F.col("bit") == i, F.col("rating"))).alias(f"r{i}") for i in range(len(head))]
+    # A row in the head without a rating counts twice, so it shows as one too many.
+    n_head = F.sum(F.when(in_head, F.when(F.col("rating").isNull(), 2).otherwise(1)).otherwise(0))
+    found = rows.repartition("user_id").groupBy("user_id").agg(
+        F.bit_or(bit).alias("word"), n_head.alias("n_head"), F.count_if(~in_head & last).alias("n_last"), *kept
+    )
+    vector = F.array(*[F.col(f"r{i}").cast("double") for i in range(len(head))]) if head else F.lit(None)
+    return stored(found.select("user_id", "word", "n_head", "n_last", vector.cast("array<double>").alias("vector")))
+
+
+def _met_in_head(users: DataFrame, wanted: DataFrame, pairs: DataFrame, min_common: int) -> DataFrame:
+    """Sums of the pairs that have ``min_common`` movies of the head in common and are not in ``pairs``.
+
+    Both have so many movies of the head that all others are in their
+    prefixes, so a pair that shares any of those is in ``pairs``.
+    """
+    enough = users.where(F.bit_count("word") >= min_common).select("user_id", "word", "vector")
+    others = stored(enough.join(wanted, enough.user_id == F.col("target_id"), "left_semi").withColumnsRenamed(
+        {"user_id": "target_id", "word": "target_word", "vector": "target_vector"}
+    ))
+    seen = stored(pairs.groupBy("user_id").agg(F.collect_set("target_id").alias("seen")))
+    n_users, n_targets = enough.count(), others.count()
+    tasks = max(1, min(n_users, -(-n_users * n_targets // TASK_PAIRS)))
+    own = enough.join(seen, "user_id", "left").repartition(tasks, "user_id")
+    n_common = F.bit_count(F.col("word").bitwiseAND(F.col("target_word")))
+    new = ~F.coalesce(F.array_contains("seen", F.col("target_id")), F.lit(False))
+    found = own.join(
+        F.broadcast(others) if fits_broadcast(others, _HEAD_ROWS) else others,
+        (n_common >= min_common) & (F.col("user_id") != F.col("target_id")) & new,
+    )
+
+    def total(value) -> Column:
+        # Null where either has not rated the movie.
+        both = lambda a, b: F.coalesce(value(a, b), F.lit(0.0))
+        return F.aggregate(F.zip_with("target_vector", "vector", both), F.lit(0.0), lambda s, x: s + x)
+
+    return found.select(
+        *_PAIR,
+        n_common.alias("n_common"),
+        total(lambda a, b: F.when(b.isNotNull(), a)).alias("sum_a"),
+        total(lambda a, b: F.when(a.isNotNull(), b)).alias("sum_b"),
+        total(lambda a, b: a * b).alias("sum_ab"),
+        total(lambda a, b: a * a).alias("sum_aa"),
+        total(lambda a, b: b * b).alias("sum_bb"),
+        total(lambda a, b: F.abs(a - b)).alias("sum_abs"),
+        total(lambda a, b: (a - b) * (a - b)).alias("sum_sq"),
+    )

@@ -1,6 +1,7 @@
 """The prefix-filtered join against the plain one."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -60,3 +61,49 @@ def test_nobody_reaches_the_threshold(spark):
     assert co.prefix_overlaps(ratings, ids(spark, 9), 1).count() == 0
     with pytest.raises(ValueError):
         co.prefix_overlaps(ratings, ids(spark, 1), 0)
+
+
+@pytest.mark.parametrize("least", [1, 3, 6])
+def test_the_most_popular_movies_are_not_joined(spark, monkeypatch, least):
+    """Pairs met in the head only, beside it only, or in both; popular movies go into no join."""
+    monkeypatch.setattr(prefixes, "HEAD", 7)
+    pick = random.Random(least)
+    rows = {(u, m): pick.randrange(1, 10) / 2 for u in range(60) for m in pick.sample(range(7), pick.randrange(0, 8))}
+    rows |= {(u, 10 + min(int(pick.expovariate(0.2)), 30)): pick.randrange(1, 10) / 2 for u in range(60) for _ in range(12)}
+    ratings, targets, joined = rated(spark, [(*k, r) for k, r in rows.items()]), ids(spark, *range(0, 60, 3), 999), []
+
+    def kept(df, compact=False):
+        out = staging.stored(df, compact)
+        if {"target_place", "place"} <= set(out.columns):
+            joined.append(out)
+        return out
+
+    top = {m for m, _ in sorted(Counter(m for _, m in rows).items(), key=lambda x: (-x[1], -x[0]))[:7]}
+    monkeypatch.setattr(prefixes, "stored", kept)
+    want = rows_of(co.overlaps(ratings, targets, least).where(f"n_common >= {least}"))
+    assert rows_of(co.prefix_overlaps(ratings, targets, least)) == want and want
+    assert len(joined) == 1 and not top & {r.movie_id for r in joined[0].select("movie_id").collect()}
+
+
+def test_no_row_of_a_pair_that_meets_in_the_head(spark, monkeypatch):
+    """All is popular: pairs are compared where they lie, and no step writes a row per pair."""
+    rows = [(u, m, 1.0 + (u + m) % 5) for u in range(200) for m in range(20) if (u * 7 + m * 3) % 5]
+    ratings, targets, sizes = rated(spark, rows), ids(spark, *range(100)), []
+
+    def counting(df, compact=False):
+        out = staging.stored(df, compact)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(prefixes, "stored", counting)
+    monkeypatch.setattr(prefixes, "TASK_PAIRS", 5_000)
+    got = rows_of(co.prefix_overlaps(ratings, targets, 4))
+    assert got == rows_of(co.overlaps(ratings, targets, 4).where("n_common >= 4")) and len(got) == 100 * 199
+    assert max(sizes) <= len(rows)
+
+
+def test_movies_of_the_head_rated_twice(spark):
+    rows = [(u, m, 1.0 + (u + m) % 5) for u in range(6) for m in range(5)] + [(2, 4, 0.5), (3, 0, None)]
+    ratings, targets = rated(spark, rows), ids(spark, 1, 2, 3)
+    want = co.overlaps(ratings, targets, 2).where("n_common >= 2")
+    assert rows_of(co.prefix_overlaps(ratings, targets, 2)) == rows_of(want)

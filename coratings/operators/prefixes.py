@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coratings.functions.metrics import co_rated_sums
@@ -107,14 +110,14 @@ def _users(placed: DataFrame, head: list, min_common: int) -> DataFrame:
     rows = placed.withColumn("bit", F.coalesce(at, F.lit(0)) - 1)
     in_head, last = F.col("bit") >= 0, F.col("place") < min_common
     bit = F.when(in_head, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).otherwise(F.lit(0).cast("bigint"))
-    kept = [F.max(F.when(F.col("bit") == i, F.col("rating"))).alias(f"r{i}") for i in range(len(head))]
+    kept = [F.max(F.when(F.col("bit") == i, F.col("rating").cast("double"))).alias(f"r{i}") for i in range(len(head))]
     # A row in the head without a rating counts twice, so it shows as one too many.
     n_head = F.sum(F.when(in_head, F.when(F.col("rating").isNull(), 2).otherwise(1)).otherwise(0))
-    found = rows.repartition("user_id").groupBy("user_id").agg(
-        F.bit_or(bit).alias("word"), n_head.alias("n_head"), F.count_if(~in_head & last).alias("n_last"), *kept
+    return stored(
+        rows.repartition("user_id").groupBy("user_id").agg(
+            F.bit_or(bit).alias("word"), n_head.alias("n_head"), F.count_if(~in_head & last).alias("n_last"), *kept
+        )
     )
-    vector = F.array(*[F.col(f"r{i}").cast("double") for i in range(len(head))]) if head else F.lit(None)
-    return stored(found.select("user_id", "word", "n_head", "n_last", vector.cast("array<double>").alias("vector")))
 
 
 def _met_in_head(users: DataFrame, wanted: DataFrame, pairs: DataFrame, min_common: int) -> DataFrame:
@@ -123,9 +126,10 @@ def _met_in_head(users: DataFrame, wanted: DataFrame, pairs: DataFrame, min_comm
     Both have so many movies of the head that all others are in their
     prefixes, so a pair that shares any of those is in ``pairs``.
     """
-    enough = users.where(F.bit_count("word") >= min_common).select("user_id", "word", "vector")
+    own_ratings = [c for c in users.columns if c not in ("user_id", "word", "n_head", "n_last")]
+    enough = users.where(F.bit_count("word") >= min_common).select("user_id", "word", *own_ratings)
     others = stored(enough.join(wanted, enough.user_id == F.col("target_id"), "left_semi").withColumnsRenamed(
-        {"user_id": "target_id", "word": "target_word", "vector": "target_vector"}
+        {"user_id": "target_id", "word": "target_word", **{c: f"target_{c}" for c in own_ratings}}
     ))
     seen = stored(pairs.groupBy("user_id").agg(F.collect_set("target_id").alias("seen")))
     n_users, n_targets = enough.count(), others.count()
@@ -139,9 +143,8 @@ def _met_in_head(users: DataFrame, wanted: DataFrame, pairs: DataFrame, min_comm
     )
 
     def total(value) -> Column:
-        # Null where either has not rated the movie.
-        both = lambda a, b: F.coalesce(value(a, b), F.lit(0.0))
-        return F.aggregate(F.zip_with("target_vector", "vector", both), F.lit(0.0), lambda s, x: s + x)
+        # Null where either has not rated the movie. Columns, as functions over arrays take several times as long.
+        return reduce(add, [F.coalesce(value(F.col(f"target_{c}"), F.col(c)), F.lit(0.0)) for c in own_ratings])
 
     return found.select(
         *_PAIR,
@@ -149,8 +152,8 @@ def _met_in_head(users: DataFrame, wanted: DataFrame, pairs: DataFrame, min_comm
         total(lambda a, b: F.when(b.isNotNull(), a)).alias("sum_a"),
         total(lambda a, b: F.when(a.isNotNull(), b)).alias("sum_b"),
         total(lambda a, b: a * b).alias("sum_ab"),
-        total(lambda a, b: a * a).alias("sum_aa"),
-        total(lambda a, b: b * b).alias("sum_bb"),
+        total(lambda a, b: F.when(b.isNotNull(), a * a)).alias("sum_aa"),
+        total(lambda a, b: F.when(a.isNotNull(), b * b)).alias("sum_bb"),
         total(lambda a, b: F.abs(a - b)).alias("sum_abs"),
         total(lambda a, b: (a - b) * (a - b)).alias("sum_sq"),
     )

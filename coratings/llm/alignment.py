@@ -9,6 +9,7 @@ are reduced in a tree across tasks.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections import Counter
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from coratings.llm.packing import byte_letters
 from coratings.llm.staging import cut, sized, text_columns
-from coratings.llm.subwords import CUTS, HELD, ByteBpe, Memory, ends_in_word, joints, of_process, piece_of
+from coratings.llm.subwords import CUTS, HELD, LONGEST, SETTLED, SYMBOLS, ByteBpe, ends_in_word, joints, of_process, piece_of
 
 CHUNK = 64 << 10  # bytes of a fragment; a longer document becomes several
 CONTEXT = 4 << 10  # bytes to look through for a cut on both sides of a fragment's ends
@@ -30,6 +31,8 @@ FAN = 16  # fragments composed in one step of the tree
 LARGE = 64  # tokens of a group beyond which its pairs are counted, not listed
 FREQUENT = 1_000_000  # pairs whose counts every task holds, the most frequent ones, 16 MB
 COMBINED = 4_000_000  # pairs a task gathers before it adds them up
+AT_ONCE = 1 << 19  # characters of texts whose new words are tokenized together
+EACH = 350  # bytes that a remembered word takes beside 8 a letter
 BYTE_CUTS = re.compile(rb"(?<=[!-~])(?=[ \n])")
 
 
@@ -45,6 +48,8 @@ class Pieces:
         if any(re.search("[^▁]▁|\n", name) for name in names):
             raise ValueError("pieces of this model reach over blanks or line ends")
         self.blank = self.model.piece_to_id("▁")
+        # Merges can't join letters with a symbol behind them if no piece holds both.
+        self.symbols_apart = not any(x.isalpha() and y in SYMBOLS for name in names for x, y in zip(name, name[1:], strict=False))
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
 
     def ids(self, piece: str) -> list[int] | None:
@@ -56,6 +61,32 @@ class Pieces:
         ids = self.model.encode(piece)
         return ids[1:] if ids[:1] == [self.blank] else None
 
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """``ids`` of the pieces of words, empty instead of None."""
+        found = self.model.encode(words, num_threads=1)
+        return [(ids[1:] if ids[:1] == [self.blank] else []) if word[0] == "\n" else ids for word, ids in zip(words, found, strict=True)]
+
+
+class Halves:
+    """Values by word, in two halves of ``held`` bytes: when the younger is full the older is forgotten. Words asked for stay."""
+
+    def __init__(self, held: int):
+        self.young, self.old, self.size, self.half = {}, {}, 0, held // 2
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those of ``words`` without a value; all others are in the younger half then."""
+        rest, old = words.difference(self.young), self.old
+        self.add({w: old[w] for w in rest if w in old})
+        return [w for w in rest if w not in old]
+
+    def add(self, values: dict) -> None:
+        self.young.update(values)
+        self.size += EACH * len(values) + 8 * sum(map(len, values))
+
+    def turn(self) -> None:
+        if self.size > self.half:
+            self.young, self.old, self.size = {}, self.young, 0
+
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
@@ -68,7 +99,14 @@ class Aligner:
         self.digits = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.wide = max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16
         self.shift, self.kind = (32, "<u8") if self.wide else (16, "<u4")
-        self.known = Memory(lambda word: self.closed(piece_of(word)), 350, HELD)
+        self.known = Halves(HELD)
+        self.lengths = np.array(self.a_length, np.int32), np.array(self.b_length, np.int32)
+        # Decimal ids in rows of equal width, with room for what stands behind.
+        self.width = np.char.str_len(np.array(self.digits))
+        self.signs = np.zeros((len(self.digits), int(self.width.max()) + 1), np.uint8)
+        for row, digits in zip(self.signs, self.digits, strict=True):
+            row[: len(digits)] = list(digits.encode())
+        self.tails: dict[str, tuple] = {}  # short ones
 
     def tokens(self, piece: str) -> tuple[list[int], list[int]] | None:
         """Ids of both, or None where the joined bytes of either aren't the piece."""
@@ -121,21 +159,141 @@ class Aligner:
         found = self.tokens(piece)
         return self.described(self.groups(*found)) if found else ()
 
+    def ready(self, words: set[str]) -> dict[str, tuple]:
+        """What ``closed`` says of the pieces of words; those that don't end in a word are left out.
+
+        Letters are remembered without the symbols behind them. What isn't remembered is tokenized together.
+        """
+        young, cores, asked = self.known.young, {}, set()
+        ready = {w: young[w] for w in words if w in young}
+        for word in words.difference(ready):
+            if word.isalpha():
+                asked.add(word)
+            elif ends_in_word(word):
+                core = word.rstrip(SYMBOLS) if self.b.symbols_apart else ""
+                if core != word and core.isalpha() and (core.isascii() or max(core) < SETTLED):
+                    cores[word] = core
+                    if core not in young:
+                        asked.add(core)
+                else:
+                    asked.add(word)
+        long = {w for w in asked if len(w) > LONGEST}
+        missing = self.known.missing(asked - long)
+        if missing:
+            self.known.add(self.closed_all(missing))
+        ready |= {w: young[w] for w in asked - long} | {w: self.closed(piece_of(w)) for w in long}
+        behind, tails = {}, self.tails
+        for word, core in cores.items():
+            first, tail = ready.get(core) or young.get(core), word[len(core) :]
+            last = tails[tail] if tail in tails else self.tail(tail)
+            behind[word] = (f"{first[0]};{last[0]}", first[1] + last[1], first[2] + last[2], first[3] + last[3]) if first and last else ()
+        ready |= behind
+        self.known.turn()
+        return ready
+
+    def tail(self, tail: str) -> tuple:
+        """``closed`` of symbols that stand behind letters: both tokenizers have an end between them."""
+        a, b, text = [token.id for token in self.a.tokenize(tail)], self.b.model.encode("a" + tail)[1:], tail.encode()
+        fits = b"".join(map(self.a_bytes.__getitem__, a)) == text == b"".join(map(self.b_bytes.__getitem__, b))
+        found = self.described(self.groups(a, b)) if fits else ()
+        if len(tail) <= 8:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = found
+        return found
+
+    def closed_all(self, words: list[str]) -> dict[str, tuple]:
+        """``closed`` of the pieces of words that end in words, all at once."""
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < SETTLED)]
+        words = plain + list(set(words).difference(plain)) if len(plain) < len(words) else plain
+        pieces = [piece_of(w) for w in words]
+        found = self._closed_all([p.encode() for p in pieces], self.a_ids(plain, pieces[len(plain) :]), self.b.ids_of(words))
+        if found is not None:
+            return {w: p or self.closed(piece) for w, p, piece in zip(words, found, pieces, strict=True)}
+        if len(words) == 1:
+            return {words[0]: self.closed(pieces[0])}
+        half = len(words) // 2  # bytes differ somewhere
+        return self.closed_all(words[:half]) | self.closed_all(words[half:])
+
+    def a_ids(self, plain: list[str], pieces: list[str]) -> list[int]:
+        """Ids of words of settled letters, and of pieces behind them, one after the other."""
+        tokenize, blank, letters = self.a.tokenize, self.a.blank, self.a.letters
+        ids = [t.id for w in plain for t in tokenize(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]
+        return ids + self.a.tokenizer.encode("".join(pieces), add_special_tokens=False).ids if pieces else ids
+
+    def _closed_all(self, pieces: list[bytes], ids_a: list[int], of_b: list[list[int]]) -> list[tuple | None] | None:
+        """``closed`` of each piece, None in place of those with large groups; None if bytes differ."""
+        ids_b, data = list(itertools.chain.from_iterable(of_b)), b"".join(pieces)
+        if b"".join(map(self.a_bytes.__getitem__, ids_a)) != data or b"".join(map(self.b_bytes.__getitem__, ids_b)) != data:
+            return None
+        ids_a, ids_b = np.array(ids_a), np.array(ids_b)
+        ends_a, ends_b = np.cumsum(self.lengths[0][ids_a]), np.cumsum(self.lengths[1][ids_b])
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        is_a, is_b = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        is_a[ends_a], is_b[ends_b] = True, True
+        last_a, last_b = is_b[ends_a], is_a[ends_b]
+        # First token of each group, and one more; the group in which a piece ends.
+        first_a, first_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        closes = ends_a[first_a - 1]
+        until = np.searchsorted(closes, ends)
+        if not np.array_equal(closes[until], ends):
+            return None
+        first_a, first_b = np.concatenate([[0], first_a]), np.concatenate([[0], first_b])
+        n_a, n_b = np.diff(first_a), np.diff(first_b)
+        until = np.concatenate([[0], until + 1])
+
+        # Ids as text: those of A, then those of B of each group, each with what stands behind.
+        group_a, group_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        ids = np.empty(len(ids_a) + len(ids_b), np.int64)
+        behind = np.empty(len(ids), np.uint8)
+        place_a, place_b = np.arange(len(ids_a)) + first_b[group_a], np.arange(len(ids_b)) + first_a[group_b + 1]
+        ids[place_a], ids[place_b] = ids_a, ids_b
+        behind[place_a], behind[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        signs, width = self.signs[ids], self.width[ids]
+        signs[np.arange(len(ids)), width] = behind
+        texts = signs[np.arange(signs.shape[1]) <= width[:, None]].tobytes().decode()
+        text_at = np.concatenate([[0], np.cumsum(width + 1)])[first_a[until] + first_b[until]].tolist()
+
+        # Each id of A with every one of B in its group.
+        large = n_a + n_b > LARGE
+        times = np.where(large, 0, n_b)[group_a]
+        key_at = np.concatenate([[0], np.cumsum(times)])
+        of_each = np.arange(key_at[-1]) - np.repeat(key_at[:-1] - first_b[group_a], times)
+        keys = (np.repeat(ids_a, times) << self.shift | ids_b[of_each]).astype(self.kind).tobytes()
+        key_at = (key_at[first_a[until]] * np.dtype(self.kind).itemsize).tolist()
+        tokens = np.diff(first_a[until]).tolist()
+        out = [
+            (texts[x : y - 1], keys[k:m], n, ())
+            for x, y, k, m, n in zip(text_at, text_at[1:], key_at, key_at[1:], tokens, strict=False)
+        ]
+        for i in set((np.searchsorted(until, np.flatnonzero(large), "right") - 1).tolist()):
+            out[i] = None
+        return out
+
     def parts(self, text: str) -> list[tuple]:
-        """What ``closed`` says of the pieces of a blank and ``text``."""
-        words = joints(" " + text)[1:]
-        try:
-            return [self.known[w] for w in words] if ends_in_word(words[-1]) else [*map(self.known.__getitem__, words[:-1]), self.closed(piece_of(words[-1]))]
-        except KeyError:
-            return list(map(self.closed, CUTS.split(" " + text)))
+        return self.parts_of([text])[0]
+
+    def parts_of(self, texts: list[str]) -> list[list[tuple]]:
+        """What ``closed`` says of the pieces of a blank and each of ``texts``."""
+        split = [joints(" " + text)[1:] for text in texts]
+        ready, out = self.ready(set().union(*split)), []
+        for text, words in zip(texts, split, strict=True):
+            try:
+                last = words[-1]
+                out.append([ready[w] for w in words] if ends_in_word(last) else [*map(ready.__getitem__, words[:-1]), self.closed(piece_of(last))])
+            except KeyError:
+                out.append(list(map(self.closed, CUTS.split(" " + text))))
+        return out
 
     def pairs(self, parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, ascending, and the links of each."""
-        keys = np.frombuffer(b"".join([p[1] for p in parts]), self.kind)
-        large = [x for p in parts for x in p[3]]
-        if not large:
-            keys, links = np.unique(keys, return_counts=True)
-            return keys, links.astype("<u8")
+        _, keys, _, large = zip(*parts, strict=True)
+        keys = np.frombuffer(b"".join(keys), self.kind)
+        if not any(large):
+            keys = np.sort(keys)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], np.diff(first, append=len(keys)).astype("<u8")
+        large = [x for found in large for x in found]
         every = np.concatenate([keys, np.array([k for k, _ in large], self.kind)])
         links = np.concatenate([np.ones(len(keys), "<u8"), np.array([n for _, n in large], "<u8")])
         keys, place = np.unique(every, return_inverse=True)
@@ -147,16 +305,17 @@ class Aligner:
 def packed_pairs(keys: np.ndarray, links: np.ndarray) -> bytes:
     """Ascending keys and their links, small: steps between keys, byte by byte of all numbers in turn, compressed."""
     planes = lambda x: x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    raw = planes(np.diff(keys, prepend=keys.dtype.type(0))) + planes(links)
-    return struct.pack("<I", len(keys)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    width = next(n for n in (1, 2, 4, 8) if n == 8 or int(links.max(initial=0)) < 1 << 8 * n)
+    raw = planes(np.diff(keys, prepend=keys.dtype.type(0))) + planes(links.astype(f"<u{width}"))
+    return struct.pack("<IB", len(keys), width) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def unpacked_pairs(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<I", data)
+    n, width = struct.unpack_from("<IB", data)
     size = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data[4:], n * (size + 8), asbytes=True), np.uint8)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[5:], n * (size + width), asbytes=True), np.uint8)
     plain = lambda part, width: np.ascontiguousarray(part.reshape(width, -1).T).view(f"<u{width}").ravel()
-    return np.cumsum(plain(raw[: n * size], size), dtype=kind), plain(raw[n * size :], 8)
+    return np.cumsum(plain(raw[: n * size], size), dtype=kind), plain(raw[n * size :], width).astype("<u8")
 
 
 def ranges(data: bytes, chunk: int, context: int) -> list[tuple[int, int, int, int]]:
@@ -180,6 +339,25 @@ def ranges(data: bytes, chunk: int, context: int) -> list[tuple[int, int, int, i
     return [(low, high, left, right) for (low, left, _), (high, _, right) in zip(ends, ends[1:], strict=False) if high > low]
 
 
+def read_together(aligner: Aligner, texts: list[str | None], chunk: int) -> Iterator[tuple[int, str | None, list[tuple] | None]]:
+    """(place, text, parts) of texts, AT_ONCE characters at a time; no parts is None if the text goes in byte ranges."""
+    some, size = [], 0
+
+    def done() -> Iterator[tuple[int, str | None, list[tuple] | None]]:
+        parts = iter(aligner.parts_of([text for _, text, short in some if text and short]))
+        for i, text, short in some:
+            yield i, text, None if not short else next(parts) if text else []
+
+    for i, text in enumerate(texts):
+        short = len(text or "") < chunk // 4 or len(text.encode()) < chunk
+        if size and size + len(text or "") > AT_ONCE:
+            yield from done()
+            some, size = [], 0
+        some.append((i, text, short))
+        size += len(text or "") if short else 0
+    yield from done()
+
+
 DOC = "key long, doc_id {0}, long_text boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, seq long, low long, high long, base long, part binary"
 
 
@@ -194,21 +372,21 @@ def _documents(paths: tuple[str, str], chunk: int, context: int):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some, rows, of = batch.slice(low, 256), [], []
-                for i, text in enumerate(some.column("text").to_pylist()):
+                for i, text, parts in read_together(aligner, some.column("text").to_pylist(), chunk):
                     key += 1
-                    data = b" " + text.encode() if len(text) >= chunk // 4 else b""
-                    if len(data) > chunk:
+                    if parts is None:
+                        data = b" " + text.encode()
                         cuts = ranges(data, chunk, context)
                         rows += [(key, True, 0, 0, 0, 0, "", None, k, a, b, left, data[left:right]) for k, (a, b, left, right) in enumerate(cuts)]
                         of += [i] * len(cuts)
                         continue
-                    parts = aligner.parts(text) if text else []
                     of.append(i)
                     if not parts or not all(parts):
                         rows.append((key, False, 0, 0, 0, 0, "", None, None, None, None, None, None))
                         continue
-                    joined = ";".join([p[0] for p in parts])
-                    n_groups, n_a = joined.count("|"), sum([p[2] for p in parts])
+                    texts, _, sizes, _ = zip(*parts, strict=True)
+                    joined = ";".join(texts)
+                    n_groups, n_a = joined.count("|"), sum(sizes)
                     keys, links = aligner.pairs(parts)
                     n_b = joined.count(",") + 2 * n_groups - n_a
                     digest = hashlib.sha256(joined.encode()).hexdigest()

@@ -6,6 +6,8 @@ are the two ratings of one such movie.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 METRICS = ("euclidean", "manhattan", "cosine", "pearson")
@@ -32,28 +34,26 @@ def _ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(safe, F.lit(0.0))
 
 
-def _spread(total_sq: str, total: str) -> Column:
+def _spread(total_sq: Column, total: Column, n_common: Column) -> Column:
     # Rounding can push this slightly below zero for a user who rates
     # everything alike; that user has no spread.
-    n = F.col("n_common").cast("double")
-    return F.sqrt(F.greatest(F.col(total_sq) - F.col(total) * F.col(total) / n, F.lit(0.0)))
+    return F.sqrt(F.greatest(total_sq - total * total / n_common.cast("double"), F.lit(0.0)))
 
 
-def metric_value(metric: str) -> Column:
-    """The measure as an expression over the columns of ``co_rated_sums``."""
+def metric_value(metric: str, of: Callable[[str], Column] = F.col) -> Column:
+    """The measure as an expression over the columns of ``co_rated_sums``, or
+    over what ``of`` gives for their names."""
     if metric == "euclidean":
-        return F.coalesce(F.sqrt("sum_sq"), F.lit(0.0))
+        return F.coalesce(F.sqrt(of("sum_sq")), F.lit(0.0))
     if metric == "manhattan":
-        return F.coalesce(F.col("sum_abs"), F.lit(0.0))
+        return F.coalesce(of("sum_abs"), F.lit(0.0))
     if metric == "cosine":
-        return _ratio(F.col("sum_ab"), F.sqrt("sum_aa") * F.sqrt("sum_bb"))
+        return _ratio(of("sum_ab"), F.sqrt(of("sum_aa")) * F.sqrt(of("sum_bb")))
     if metric == "pearson":
-        n = F.nullif(F.col("n_common"), F.lit(0)).cast("double")
-        covariance = F.col("sum_ab") - F.col("sum_a") * F.col("sum_b") / n
-        return F.when(
-            F.col("n_common") > 0,
-            _ratio(covariance, _spread("sum_aa", "sum_a") * _spread("sum_bb", "sum_b")),
-        ).otherwise(0.0)
+        n = F.nullif(of("n_common"), F.lit(0)).cast("double")
+        covariance = of("sum_ab") - of("sum_a") * of("sum_b") / n
+        spread_a, spread_b = (_spread(of(f"sum_{x}{x}"), of(f"sum_{x}"), of("n_common")) for x in "ab")
+        return F.when(of("n_common") > 0, _ratio(covariance, spread_a * spread_b)).otherwise(0.0)
     raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from coratings.operators.distances import candidates
 from coratings.operators.numbering import number_rows
+from coratings.operators.prefixes import prefix_overlaps
 from coratings.plans.staging import stored
 
 
@@ -36,6 +38,8 @@ def knn(
     """
     if k < 0:
         raise ValueError("k must not be negative")
+    if joined is prefix_overlaps and isinstance(metric, str) and 0 < k <= window_k(ratings.sparkSession):
+        joined = partial(prefix_overlaps, nearest=(metric, k))
     found = candidates(ratings, targets, metric, min_common, joined, digits).withColumnRenamed(
         "user_id", "neighbor_id"
     )

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 
 import coratings as co
+from coratings.functions.metrics import METRICS
 from coratings.operators import prefixes
 from coratings.plans import staging
+from oracle import plan_of
 
 
 def rated(spark, rows):
@@ -107,3 +109,48 @@ def test_movies_of_the_head_rated_twice(spark):
     ratings, targets = rated(spark, rows), ids(spark, 1, 2, 3)
     want = co.overlaps(ratings, targets, 2).where("n_common >= 2")
     assert rows_of(co.prefix_overlaps(ratings, targets, 2)) == rows_of(want)
+
+
+def popular(spark, value, users=150):
+    """Everybody has rated most of 16 movies."""
+    pick = random.Random(5)
+    return rated(spark, [(u, m, value(pick)) for u in range(users) for m in range(16) if pick.random() < 0.7] + [(None, m, value(pick)) for m in range(9)])
+
+
+VALUES = {
+    "halves": lambda pick: pick.randrange(0, 11) / 2,
+    "highest": lambda pick: pick.choice([0.0, 63.5, 127.5]),
+    "tenths": lambda pick: pick.randrange(1, 50) / 10,
+    "below zero": lambda pick: pick.randrange(-4, 5) / 2,
+    "huge": lambda pick: pick.choice([1e300, 2.0, float("nan")]),
+}
+
+
+@pytest.mark.parametrize("values, most", [*[(v, None) for v in VALUES], ("halves", 8), ("tenths", 8)])
+def test_sums_of_the_head(spark, monkeypatch, values, most):
+    """All sums, of ratings that are halves or not, with targets broadcast or dealt into blocks; nothing is a cross join."""
+    if most:
+        monkeypatch.setattr(prefixes, "_HEAD_ROWS", {True: most, False: most})
+        monkeypatch.setattr(prefixes, "TASK_PAIRS", 500)
+    ratings, targets = popular(spark, VALUES[values], 60), ids(spark, *range(30), 999)
+    want, got = co.overlaps(ratings, targets, 6).where("n_common >= 6"), co.prefix_overlaps(ratings, targets, 6)
+    plan = plan_of(got)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and ("ShuffledHashJoin" in plan) == bool(most)
+    key = lambda df: {(r.target_id, r.user_id, r.n_common): [*r[3:]] for r in df.select(want.columns).collect()}
+    want, got = key(want), key(got)
+    assert want.keys() == got.keys() and len(want) > 300
+    assert all(got[k] == (pytest.approx(want[k], rel=1e-9, nan_ok=True) if values in ("tenths", "huge") else want[k]) for k in want)
+
+
+@pytest.mark.parametrize("values, metric", [*[("halves", m) for m in METRICS], ("tenths", "euclidean")])
+def test_nearest_of_few_users_bound_those_of_all(spark, monkeypatch, metric, values):
+    """What is farther than k users of a few is dropped where it is met; the k nearest are those of the plain join."""
+    targets = ids(spark, *range(0, 400, 9))
+    ratings = popular(spark, (lambda pick: float(pick.randrange(1, 4))) if values == "halves" else VALUES[values], 400)
+
+    monkeypatch.setattr(prefixes, "BOUND_PAIRS", 0)
+    fields = lambda df: sorted((r.target_id, r.neighbor_rank, r.neighbor_id, round(r.value, 9), r.n_common) for r in df.collect())
+    want = fields(co.knn(ratings, targets, metric, 3, 9))
+    assert fields(co.knn(ratings, targets, metric, 3, 9, co.prefix_overlaps)) == want and len(want) > 100
+    all_pairs = co.prefix_overlaps(ratings, targets, 9).count()
+    assert co.prefix_overlaps(ratings, targets, 9, nearest=(metric, 3)).count() < all_pairs / 2

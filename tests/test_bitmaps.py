@@ -48,3 +48,25 @@ def test_tasks_grow_with_the_bitmaps(spark, monkeypatch):
     plan = plan_of(found)
     tasks = [int(n) for n in re.findall(r"hashpartitioning\(user_[^)]*?, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert len(tasks) >= 3 and min(tasks) >= 400 // 50
+
+
+def test_one_bitmap_of_a_pair_is_moved_and_none_is_written_again(spark, monkeypatch):
+    from coratings.operators import bitmaps
+    from coratings.plans import staging
+
+    written = []
+
+    def kept(df, compact=False):
+        written.append(staging.stored(df, compact))
+        return written[-1]
+
+    ratings = spark.range(3000).selectExpr("id % 300 AS user_id", "id * 37 AS movie_id", "1.0D AS rating")
+    pairs = spark.range(300).selectExpr("id AS user_a", "explode(array(id, pmod(id + 150, 300), null)) AS user_b")
+    made = co.stored(co.movie_bitmaps(ratings))
+    monkeypatch.setattr(bitmaps, "stored", kept)
+    found = co.common_counts(made, pairs)
+    counts = {(r.user_a, r.user_b): (r.n_common, r.intersects) for r in found.collect()}
+    assert counts == {(u, v): (10 * (u == v), u == v) for u in range(300) for v in (u, (u + 150) % 300, None)}
+    assert written and all("movies" not in df.columns for df in written)
+    plan = plan_of(found)
+    assert "ReusedExchange" in plan
